@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from verbatrix.llm import exact_dedup
+from verbatrix.llm import exact_dedup, simhash
 
 
 def queries() -> dict:
     return {
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
