@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from verbatrix.llm import exact_dedup, simhash
+from verbatrix.llm import exact_dedup, line_dedup, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_simhash": simhash.op10_simhash,
     }
@@ -14,5 +15,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }

@@ -33,10 +33,8 @@ FORKS = 2
 RESULT = "doc_id bigint, group_id bigint, group_size bigint, kept boolean"
 
 _R = 0x9E3779B97F4A7C15 | 1
-_WORD_BYTE = np.zeros(256, bool)
-for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
-    _WORD_BYTE[_c] = True
-_WORD_BYTE[128:] = True
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[list(b" \t\n\r\v\f\0")] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Signs of a byte's bits, for byte counts @ signs.
@@ -58,7 +56,7 @@ _pow_cache: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document number of every word, in order. A word is a run of
-    letters (ASCII ones without regard to case), digits and non-ASCII bytes."""
+    bytes other than ASCII white space; the case of ASCII letters doesn't count."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
