@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from verbatrix.llm import exact_dedup, line_dedup, simhash
+from verbatrix.llm import exact_dedup, line_dedup, mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op7_mixing": mixing.op7_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
 
