@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from verbatrix.llm import exact_dedup, line_dedup, mixing, packing, simhash
+from verbatrix.llm import exact_dedup, langid, license_scan, line_dedup, mixing, packing, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_langid": langid.op3_langid,
+        "op5_license_scan": license_scan.op5_license_scan,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_mixing": mixing.op7_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_packing": packing.op9_packing,
@@ -18,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op6_url_filter": url_filter.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
