@@ -1,10 +1,59 @@
-"""Corpus pipeline over ``documents``; see STAGES."""
+"""Corpus pipeline over ``documents``: language ID, line dedup, near-dedup,
+mixing of sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are
+written as Parquet in the folder that the executors share and read again as
+the next stage's ``docs``. All but the last return the columns of documents.
+After mixing a row is one part of a document in one block; a document that is cut at
+the end of a block, or whose source is drawn more than once, has several.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from verbatrix.llm import common, langid, line_dedup, mixing, packing, simhash
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the others go."""
+    return langid.keep_identified(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; emptied ones go."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of the sources, drawn to the target weights."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each row lies in the training windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup_stage),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express the trained model, fingerprints, token counts and online packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+    return STAGES[-1][1](spark, docs, sf_dir)
