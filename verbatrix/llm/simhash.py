@@ -162,15 +162,28 @@ class _Union:
 
 def _verify(fp: np.ndarray, where: np.ndarray, union: _Union, limit: int) -> None:
     """Joins all pairs of the rows ``where`` within the distance."""
-    block = max(1, (1 << 20) // max(1, len(where)))
-    x = fp[where]
-    for s in range(0, len(where), block):
-        distance = np.zeros((min(block, len(where) - s), len(where)), np.uint16)
+    x, n = fp[where], len(where)
+    block = max(1, (1 << 20) // n)
+    near = np.empty((n, n), bool)
+    for s in range(0, n, block):
+        distance = np.zeros((min(block, n - s), n), np.uint16)
         for k in range(4):
             distance += np.bitwise_count(x[s : s + block, k, None] ^ x[None, :, k])
-        for a, b in zip(*np.nonzero(distance <= limit)):
-            if a + s < b:
-                union.join(where[a + s], where[b])
+        near[s : s + block] = distance <= limit
+    some = np.flatnonzero(near.sum(1) > 1)
+    if not len(some):
+        return
+    near, where = near[np.ix_(some, some)], where[some]
+    # smallest row of each component, spread along the pairs until nothing changes
+    label = np.arange(len(some))
+    while True:
+        low = np.where(near, label[None, :], len(some)).min(1)
+        low = np.minimum(low, low[low])
+        if np.array_equal(low, label):
+            break
+        label = low
+    for i in np.flatnonzero(label != np.arange(len(some))):
+        union.join(where[i], where[label[i]])
 
 
 def bucket_edges(fp: np.ndarray, table: int, sample: int, cap: int, limit: int) -> np.ndarray:
