@@ -11,7 +11,8 @@ STOPWORDS = tuple(sorted("i a an as at be by do in is it my of on or to and are
 VERBS = tuple(sorted("add build call compute configure create deploy fetch install invoke open read reject remove run search set update use verify".split()))
 #: First words of shell commands.
 TOOLS = tuple(sorted("aws az bash cargo curl docker gcloud git go helm kubectl make node npm npx pip pnpm python sh yarn zsh".split()))
-OWN_TOOL = "trail-docs"
+#: This engine's own command; its bare name in a text is no command.
+OWN_TOOL = "verbatrix"
 #: White space as ECMAScript defines it; Java's \s covers ASCII only.
 WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 _LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -159,6 +160,11 @@ def to_doc_id(path: Column) -> Column:
     return F.when((bare == "") | (F.lower(bare) == "readme"), "readme").otherwise(bare)
 
 
+def icu(c: Column) -> Column:
+    """``c`` ordered by Unicode collation, for ties."""
+    return F.collate(c, "UNICODE")
+
+
 def resolve_link(doc_id: Column, target: Column) -> Column:
     """Reference a link points at, null if it leaves the corpus."""
     raw = js_trim(target)

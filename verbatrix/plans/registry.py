@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from verbatrix.plans import code, corpus, evaluation, tables
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return corpus.queries() | evaluation.queries() | code.queries() | tables.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return corpus.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql() | tables.oracle_sql()
