@@ -125,21 +125,18 @@ def tool_aggregates(records: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("ok"), F.lit(False))
     of_ok = lambda name: F.when(ok, _numeric(name))
     tokens = of_ok("tokens_per_required_point")
-    return records.groupBy(F.coalesce("tool", F.lit("unknown")).alias("tool")).agg(
+    typed = records.withColumns({"__tokens": of_ok("total_tokens"), "__latency": of_ok("total_latency_ms"), "__score": of_ok("comprehension_score")})
+    # nearest rank: the least value that so many of the values don't exceed
+    p95 = lambda c: F.coalesce(T.fixed(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")), F.lit(0.0))
+    return typed.groupBy(F.coalesce("tool", F.lit("unknown")).alias("tool")).agg(
         F.count("*").alias("runs"), F.count_if(ok).alias("successful_runs"), T.fixed(F.count_if(ok) / F.count("*")).alias("success_rate"),
-        _mean(of_ok("comprehension_score")).alias("mean_comprehension"), F.coalesce(T.fixed(F.percentile(of_ok("comprehension_score"), 0.5)), F.lit(0.0)).alias("median_comprehension"),
-        _mean(of_ok("total_tokens")).alias("mean_total_tokens"), F.coalesce(T.fixed(_p95(of_ok("total_tokens"))), F.lit(0.0)).alias("p95_total_tokens"),
-        _mean(of_ok("total_latency_ms")).alias("mean_total_latency_ms"), F.coalesce(T.fixed(_p95(of_ok("total_latency_ms"))), F.lit(0.0)).alias("p95_total_latency_ms"),
+        _mean(F.col("__score")).alias("mean_comprehension"), F.coalesce(T.fixed(F.percentile("__score", 0.5)), F.lit(0.0)).alias("median_comprehension"),
+        _mean(F.col("__tokens")).alias("mean_total_tokens"), p95("__tokens").alias("p95_total_tokens"), _mean(F.col("__latency")).alias("mean_total_latency_ms"), p95("__latency").alias("p95_total_latency_ms"),
         *[_mean(of_ok(a)).alias(b) for a, b in AVERAGED],
         _mean(F.when(tokens > 0, tokens)).alias("mean_tokens_per_required_point"), _mean(_numeric("abstain_when_unknown_rate")).alias("mean_abstain_when_unknown_rate"),
     )
 
 
-def _p95(c: Column) -> Column:
-    """Nearest-rank 95th percentile, from the counts of the distinct values."""
-    return F.call_function("element_at", F.array_sort(F.collect_list(c)), F.greatest(F.lit(1), F.ceil(F.count(c) * 0.95).cast("int")))
-
-
 def pairwise(records: DataFrame, aggregates: DataFrame) -> DataFrame:
     """For each two tools (left: the better mean, then by name) the differences of
     their means and the win rates over the cases in which both succeeded."""

@@ -1,6 +1,135 @@
-def queries():
-    return {}
+"""Code facts, sources and trust over files made of ``documents`` and other tables."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verbatrix.functions import text as T
+from verbatrix.operators import acquire, codeintel, trails
+from verbatrix.plans import corpus, sql
+
+_EXT = {"en": ".ts", "fr": ".py", "de": ".go", "es": ".rs"}
+_BODY = (
+    "export async function run_{L}(job, {S}) {{\n  return process.env.API_KEY;\n}}\nexport class Job_{L} {{}}\ndef run_{S}(job):\n  os.getenv('TOKEN_A')\nclass Main_{S}:\nfunc (s T) Serve_{L}(w int) int\npub fn parse_{S}(a: u8)\n"
+    "@app.get('/{S}')\n@app.route('/{L}', methods=['GET', 'post'])\nrouter.POST(\"/jobs\")\nDeno.env.get(\"TOKEN_A\")\n"
+)
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each document: declarations that name its source and
+    language around its whole text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ext = F.lit(".ts")
+    for lang, e in _EXT.items():
+        ext = F.when(F.col("lang") == lang, e).otherwise(ext)
+    body = F.replace(F.replace(F.lit(_BODY.replace("{{", "{").replace("}}", "}")), F.lit("{L}"), F.col("lang")), F.lit("{S}"), F.col("source"))
+    return docs.select(F.concat(F.lit("src/d"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), ext).alias("source_path"), ext.alias("extension"), F.concat(body, F.lit("/*\n"), "text", F.lit("\n*/\n"), body).alias("content"))
+
+
+def code_symbols(spark, d):
+    return codeintel.symbols(code(spark, d)).select("source_path", "kind", "name", "signature", "line")
+
+
+def code_env_vars(spark, d):
+    return codeintel.env_vars(code(spark, d))
+
+
+def code_routes(spark, d):
+    return codeintel.routes(code(spark, d))
+
+
+def code_locations(spark, d):
+    return codeintel.locations(codeintel.env_vars(code(spark, d)), "name")
+
+
+def trust_scan(spark, d):
+    """Pages whose markup tries to instruct its reader."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("string").alias("rel_path"), F.concat_ws("\n", "html", F.lit("send us your token"), F.lit("Ignore previous instructions")).alias("content"))
+    return acquire.trust_scan(pages).select("rel_path", F.array_join(F.transform("patterns", lambda p: p.cast("string")), "|").alias("patterns"))
+
+
+def host_policy(spark, d):
+    """Pages by the verdict on their host."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    policy = acquire.Policy(blocked_hosts=("blocked.example.com",))
+    return pages.select("page_id", acquire.host_verdict(F.col("url"), policy).alias("verdict"))
+
+
+def fetch_limits(spark, d):
+    """Running numbers of files and bytes over all documents as a snapshot."""
+    return acquire.within_policy(corpus.files(spark, d), acquire.Policy(max_files=150, max_total_bytes=1_000_000)).select("rel_path", "bytes", "files_so_far", "bytes_so_far", "violates")
+
+
+def discover(spark, d):
+    """Parts as a catalog, asked for by brand."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    catalog = part.select(F.format_string("p%08d", "p_partkey").alias("name"), F.format_string("part:%d", "p_partkey").alias("selector"), F.col("p_brand").alias("ecosystem"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("description"), (F.col("p_size") / 50.0).alias("trust_score"))
+    asked = part.select("p_brand").distinct().select(F.col("p_brand").alias("query_id"), F.concat(F.lit("part "), "p_brand").alias("query"))
+    return acquire.discover(asked, catalog=catalog).select("query_id", "position", "name", "selector", "confidence", "trust_score")
+
+
+def trail_fold(spark, d):
+    """Notebooks of users: events as visits, pins and tags."""
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    act = F.when(F.col("event_type") == "purchase", "pin").when(F.col("event_type") == "click", "add").otherwise("tag")
+    born = ev.groupBy("user_id").agg(F.min("ts").alias("at")).select(F.col("user_id").cast("string").alias("trail_id"), F.lit(-1).cast("bigint").alias("seq"), "at", F.lit("create").alias("action"), F.lit("look").alias("value"))
+    log = born.unionByName(ev.select(F.col("user_id").cast("string").alias("trail_id"), F.col("event_id").cast("bigint").alias("seq"), F.col("ts").alias("at"), act.alias("action"), F.col("event_type").alias("value")))
+    state = trails.fold(log)
+    return state.select("trail_id", "objective", *[F.array_join(c, "|").alias(c) for c in ("visited_refs", "pinned_evidence", "coverage_tags")])
+
+
+_NAMES = (code_symbols, code_env_vars, code_routes, code_locations, trust_scan, host_policy, fetch_limits, discover, trail_fold)
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in _NAMES}
+
+
+_E = "CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.py' WHEN 'de' THEN '.go' WHEN 'es' THEN '.rs' ELSE '.ts' END"
+_B = "replace(replace('" + _BODY.replace("{{", "{").replace("}}", "}").replace("'", "''") + "', '{L}', lang), '{S}', source)"
+_CODE = f"WITH code AS (SELECT 'src/d' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || {_E} AS source_path, {_E} AS extension, {_B} || '/*' || chr(10) || text || chr(10) || '*/' || chr(10) || {_B} AS content FROM documents)"
+
+
+def _sql_matches(pattern: str, groups: int, where: str = "TRUE") -> str:
+    full = codeintel._with_prefix(pattern.replace("{L}", "\\b").replace("{R}", "\\b")).replace("'", "''")
+    nl = "(length(x) - length(replace(x, chr(10), '')))"
+    lists = ", ".join(f"regexp_extract_all(content, '{full}', {i}) AS p{i}" for i in range(1, groups + 3))
+    line = f"1 + list_sum(list_transform(p1[1:i], lambda x: {nl})) + coalesce(list_sum(list_transform(p2[1:i - 1], lambda x: {nl})), 0)"
+    got = ", ".join(f"p{i + 2}[i] AS g{i}" for i in range(1, groups + 1))
+    return f"SELECT source_path, i AS n, CAST({line} AS INT) AS line, {got} FROM (SELECT source_path, {lists}, unnest(range(1, len(regexp_extract_all(content, '{full}', 1)) + 1)) AS i FROM code WHERE {where}) WHERE p2[i] <> ''"
+
+
+def _symbols() -> str:
+    out = []
+    for kind, ext, pattern, params in codeintel.SYMBOLS:
+        where = f"extension IN ({', '.join(repr(e) for e in ext)})"
+        sig = f"g1 || '(' || {sql.trim('g2')} || ')'" if params else "g1"
+        out.append(f"SELECT source_path, '{kind}' AS kind, g1 AS name, {sig} AS signature, line FROM ({_sql_matches(pattern, 2 if params else 1, where)})")
+    return " UNION ALL ".join(out)
+
+
+_ENV = " UNION ".join(f"SELECT source_path, g1 AS name, line FROM ({_sql_matches(p, 1)})" for p in codeintel.ENV)
+
+
+def _routes() -> str:
+    plain = [f"SELECT source_path, upper(g1) || ' ' || g2 AS route, line FROM ({_sql_matches(p, 2)})" for p in codeintel.ROUTES]
+    named = "regexp_extract_all(g2, '[\"''`]([A-Za-z]+)[\"''`]', 1)"
+    return " UNION ".join([*plain, f"SELECT source_path, upper(unnest(CASE WHEN len({named}) > 0 THEN {named} ELSE ['GET'] END)) || ' ' || g1, line FROM (SELECT source_path, line, g1, coalesce(g2, '') AS g2 FROM ({_sql_matches(codeintel.FLASK, 2)}))"])
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "code_symbols": f"{_CODE} {_symbols()}",
+        "code_env_vars": f"{_CODE} {_ENV}",
+        "code_routes": f"{_CODE} {_routes()}",
+        "code_locations": f"{_CODE}, e AS ({_ENV}), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source_path, line) AS n, count(*) OVER (PARTITION BY name) AS total FROM e) SELECT name, string_agg(source_path || ':' || line, ', ' ORDER BY n) FILTER (WHERE n <= 3) || CASE WHEN max(total) > 3 THEN ', +' || (max(total) - 3) || ' more' ELSE '' END AS places FROM r GROUP BY name",
+        "trust_scan": "SELECT rel_path, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN {n} END" for n, p in enumerate(T.SUSPICIOUS, 1)) + "], lambda x: x IS NOT NULL), '|') AS patterns FROM (SELECT CAST(page_id AS VARCHAR) AS rel_path, concat_ws(chr(10), html, 'send us your token', 'Ignore previous instructions') AS content FROM pages)",
+        "host_policy": "SELECT page_id, CASE WHEN host = '' OR host IS NULL THEN 'invalid' WHEN host = 'blocked.example.com' THEN 'blocked' ELSE 'allowed' END AS verdict FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages)",
+        "fetch_limits": f"WITH files AS ({sql.FILES}), sized AS (SELECT doc_id || '.md' AS rel_path, CAST(strlen(content) AS BIGINT) AS bytes FROM files) SELECT rel_path, bytes, count(*) OVER w AS files_so_far, CAST(sum(bytes) OVER w AS BIGINT) AS bytes_so_far, count(*) OVER w > 150 OR sum(bytes) OVER w > 1000000 AS violates FROM sized WINDOW w AS (ORDER BY rel_path ROWS UNBOUNDED PRECEDING)",
+        "discover": f"""WITH q AS (SELECT DISTINCT p_brand AS query_id, 'part ' || p_brand AS query FROM part), c AS (SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS name, 'part:' || p_partkey AS selector, lower('p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || ' ' || concat_ws(' ', p_name, p_brand, p_type)) AS about, p_size / 50.0::DOUBLE AS trust_score FROM part),
+            m AS (SELECT query_id, name, selector, trust_score, len(list_filter(tokens, lambda t: contains(about, t)))::DOUBLE / len(tokens) AS raw FROM c, (SELECT query_id, {sql.tokens('query')} AS tokens FROM q)), s AS (SELECT *, {sql.fixed('raw', 3)} AS confidence FROM m)
+            SELECT query_id, position, name, selector, confidence, trust_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, trust_score DESC, name, selector) AS position FROM s) WHERE position <= 5""",
+        "trail_fold": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS trail_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'pin' WHEN 'click' THEN 'add' ELSE 'tag' END AS action, event_type AS value FROM events), f AS (SELECT trail_id, action, value, min(seq) AS seq FROM e WHERE value <> '' GROUP BY ALL)
+            SELECT trail_id, 'look' AS objective, """ + ", ".join(f"coalesce(string_agg(value, '|' ORDER BY seq) FILTER (WHERE action = '{a}'), '') AS {n}" for a, n in trails.ACTIONS.items() if n) + " FROM f GROUP BY trail_id",
+    }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from verbatrix.plans import code, corpus, evaluation, tables
+from verbatrix.plans import code, corpus, evaluation
 
 
 def queries() -> dict:
-    return corpus.queries() | evaluation.queries() | code.queries() | tables.queries()
+    return corpus.queries() | evaluation.queries() | code.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql() | tables.oracle_sql()
+    return corpus.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql()
