@@ -92,6 +92,14 @@ def _document_frequency(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[df[some], n])], ["feature", "df"])
 
 
+def _gram_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for part in common.batches_of(iter([batch]), "text", 2 << 20):
+            g, off = grams(part.column("text").to_pylist())
+            own = [np.unique(g[s:e], return_counts=True) for s, e in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([f.tobytes() for f, _ in own], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in own], pa.binary())], ["lang", "key", "grams", "counts"])
+
+
 class Model:
     """Weights (features x languages), temperature, and the languages' names."""
 
@@ -117,17 +125,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(g: np.ndarray, off: np.ndarray, y: np.ndarray, classes: int, idf: np.ndarray, epochs: int = EPOCHS, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal over the texts in turn; (weights, bias)."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, idf: np.ndarray, epochs: int = EPOCHS, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over the rows (grams, counts) in turn; (weights, bias)."""
     z, n, w = (np.zeros((SIZE, classes)) for _ in range(3))
     bz, bn, bias = np.zeros(classes), np.zeros(classes), np.zeros(classes)
     for _ in range(epochs):
-        for i in range(len(y)):
-            own = g[off[i] : off[i + 1]]
-            if not len(own):
+        for i, (f, count) in enumerate(rows):
+            if not len(f):
                 continue
-            f, count = np.unique(own, return_counts=True)
-            x = count / len(own) * idf[f] * SCALE
+            x = count / count.sum() * idf[f] * SCALE
             zf, nf = z[f], n[f]
             wf = np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((BETA + np.sqrt(nf)) / RATE + l2))
             p = softmax(x @ wf + bias)
@@ -169,18 +175,21 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     idf = np.log((1 + total) / (1 + df)) + 1
     key = common.text_key(id_col, text_col)
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    rows = sorted(labelled.orderBy("key").limit(fit_rows).collect(), key=lambda r: (r.key, r.lang))
-    if not rows:
+    # the sample is chosen by keys alone; texts become gram counts where they lie
+    last = labelled.select("key").distinct().orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
+    if last is None:
         return None
+    sample = labelled.where(F.col("key") <= last).mapInArrow(_gram_counts, "lang string, key bigint, grams binary, counts binary").dropDuplicates(["key", "lang"])
+    rows = sorted(sample.collect(), key=lambda r: (r.key, r.lang))
     langs = sorted({r.lang for r in rows})
     y = np.array([langs.index(r.lang) for r in rows])
     held = max(1, int(len(rows) * HELD_OUT)) if len(rows) > 4 else 0
-    g, off = grams([r.text for r in rows])
-    w, bias = train(g, off[: len(rows) - held + 1], y[: len(rows) - held], len(langs), idf)
+    found = [(np.frombuffer(r.grams, np.uint32), np.frombuffer(r.counts, np.uint32)) for r in rows]
+    w, bias = train(found[: len(rows) - held], y[: len(rows) - held], len(langs), idf)
     model = Model(langs, idf, w, bias, 1.0)
     if held:
-        rest = off[len(rows) - held :]
-        model.temperature = calibrate(model.logits(g[rest[0] :], rest - rest[0]), y[len(rows) - held :])
+        logits = np.array([(model.table[f].astype(np.float64) * c[:, None]).sum(0) / max(1, int(c.sum())) + bias for f, c in found[len(rows) - held :]])
+        model.temperature = calibrate(logits, y[len(rows) - held :])
     return model
 
 
