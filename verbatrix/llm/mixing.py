@@ -30,6 +30,9 @@ SEED = 20240501
 PIECES = "source string, block bigint, seq int, doc_id bigint, lang string, n_tokens int, text string"
 
 
+COUNTED = "source string, bucket bigint, doc_id bigint, key bigint, tokens bigint"
+
+
 def permute(index: np.ndarray, n: np.ndarray | int, seed: np.ndarray | int) -> np.ndarray:
     """Image of ``index`` in [0, n) under the permutation that ``seed`` names."""
     index = np.asarray(index, np.uint64)
@@ -54,7 +57,7 @@ def _bucket_tokens(path: str):
         for batch in it:
             for part in common.batches_of(iter([batch]), "text"):
                 n = [count(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("source"), part.column("bucket"), pa.array(n, pa.int64())], ["source", "bucket", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("source", "bucket", "doc_id", "key")), pa.array(n, pa.int64())], COUNTED.replace(" string", "").replace(" bigint", "").split(", "))
 
     return run
 
@@ -62,15 +65,17 @@ def _bucket_tokens(path: str):
 def _cut(path: str, block: int):
     names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def run(docs: pa.Table, start: pa.Table) -> pa.Table:
+    order = [("doc_id", "ascending"), ("key", "ascending")]
+
+    def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string())
-        if not docs.num_rows or not start.num_rows:
+        if not docs.num_rows or not counted.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         tok = tokens.tokenizer(path)
-        docs = docs.sort_by([("doc_id", "ascending"), ("key", "ascending")])
-        at, source, out = start["start"][0].as_py(), docs["source"][0].as_py(), []
-        for doc, lang, text in zip(docs["doc_id"].to_pylist(), docs["lang"].to_pylist(), docs["text"].to_pylist()):
-            n = tok.count(text)
+        # in one order, so that each document meets its own count
+        docs, counted = docs.sort_by(order), counted.sort_by(order)
+        at, source, out = counted["start"][0].as_py(), docs["source"][0].as_py(), []
+        for doc, lang, text, n in zip(*(docs[c].to_pylist() for c in ("doc_id", "lang", "text")), counted["tokens"].to_pylist()):
             marks = list(range(block - at % block, n, block))
             edges = [0, *marks, n]
             for s, e, piece in zip(edges, edges[1:], tok.cut(text, marks)):
@@ -134,7 +139,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     )
     buckets = max(1, -(-rows.count() // bucket_docs))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(buckets)))
-    sums = common.cut(rows.select("source", "bucket", "text").mapInArrow(_bucket_tokens(vocabulary), "source string, bucket bigint, tokens bigint").groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")))
+    counted = common.cut(rows.select("source", "bucket", "doc_id", "key", "text").mapInArrow(_bucket_tokens(vocabulary), COUNTED))
+    sums = counted.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
     totals = sorted((r.source, r.tokens) for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect() if r.tokens)
     share = np.array([(weights.get(s, 0.0) if weights is not None else float(t) ** ALPHA) for s, t in totals], np.float64)
     blocks = np.array([-(-t // block) for _, t in totals], np.int64)
@@ -148,7 +154,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     places = drawn.withColumn("before", before).mapInArrow(_slots([s for s, _ in totals], blocks, seed), schema)
     # token offset of each bucket in its source's stream; a row for each bucket, not for each document
     starts = sums.withColumn("start", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("tokens")).select("source", "bucket", "start")
-    pieces = rows.groupBy("source", "bucket").cogroup(starts.groupBy("source", "bucket")).applyInArrow(_cut(vocabulary, block), PIECES)
+    pieces = rows.groupBy("source", "bucket").cogroup(counted.join(starts, ["source", "bucket"]).groupBy("source", "bucket")).applyInArrow(_cut(vocabulary, block), PIECES)
     packed = pieces.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "doc_id", "lang", "n_tokens", "text"))).alias("pieces"))
     return places.join(packed, ["source", "block"]).select("shard", "slot", "source", "block", "turn", "n_tokens", "pieces")
 
