@@ -32,7 +32,7 @@ PROJECTIONS = 64
 HALF = 0.9
 #: Chance that a vector at the level's radius reaches the threshold.
 PASS = 0.93
-FACTOR = 1.12
+FACTOR = 1.25
 #: Vectors in a block of the base, and of queries.
 BASE, QUERIES = 32768, 2048
 RESULT = "vec_id bigint, neighbor_id bigint, rank int, distance double"
@@ -61,61 +61,70 @@ class Block:
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, 0).T)
         self.rank = np.empty_like(self.order, dtype=np.uint16)
         np.put_along_axis(self.rank, self.order, np.arange(len(ids), dtype=np.uint16)[None, :], 1)
-
-    def collisions(self, centre: np.ndarray, width: float, count: np.ndarray) -> np.ndarray:
+        # all sorted arrays as one, each moved past the end of the one before
+        low, high = self.sorted.min(initial=0.0), self.sorted.max(initial=0.0)
+        self.step = 4.0 * (float(high) - float(low)) + 1.0
+        self.moved = np.arange(len(self.sorted)) * self.step
+        self.joined = (self.sorted.astype(np.float64) + self.moved[:, None]).ravel()
+        self.low, self.high = float(low), float(high)
+
+    def collisions(self, centre: np.ndarray, width: float) -> np.ndarray:
         """Projections in which each vector lies within ``width`` of the centre."""
-        n = len(self.ids)
-        hit, inside = np.empty(n, np.uint16), np.empty(n, bool)
-        count[:] = 0
-        for j in range(len(self.sorted)):
-            lo, hi = np.searchsorted(self.sorted[j], (centre[j] - width, centre[j] + width)).tolist()
-            if hi - lo > n >> 3:
+        n, m = len(self.ids), len(self.sorted)
+        count, hit, inside = np.zeros(n, np.uint8), np.empty(n, np.uint16), np.empty(n, bool)
+        # windows end where the projections do, so that they stay in their own array
+        ends = np.clip(np.concatenate([centre - width, centre + width]), self.low - 0.5, self.high + 0.5) + np.concatenate([self.moved, self.moved])
+        found = np.searchsorted(self.joined, ends)
+        lo, hi = (found[:m] - np.arange(m) * n).tolist(), (found[m:] - np.arange(m) * n).tolist()
+        for j in range(m):
+            width_j = hi[j] - lo[j]
+            if width_j > n >> 4:
                 # a wide window: positions in the sorted array are compared with its ends
-                np.subtract(self.rank[j], np.uint16(lo), out=hit)
-                np.less(hit, np.uint32(hi - lo), out=inside)
-                np.add(count, inside, out=count)
-            elif hi > lo:
-                count[self.order[j, lo:hi]] += 1
+                np.subtract(self.rank[j], np.uint16(lo[j]), out=hit)
+                np.less_equal(hit, np.uint16(width_j - 1), out=inside)
+                np.add(count, inside.view(np.uint8), out=count)
+            elif width_j > 0:
+                count[self.order[j, lo[j] : hi[j]]] += 1
         return count
 
-    def search(self, own: int, q: np.ndarray, centre: np.ndarray, k: int, radius: float, need: int, half: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, distances) of the k nearest verified vectors that aren't the query's own id."""
-        n = len(self.ids)
-        seen = self.ids == own
-        left = n - int(seen.sum())
-        found, far = np.zeros(0, np.int64), np.zeros(0)
+    def at_level(self, q: np.ndarray, centre: np.ndarray, others: np.ndarray, left: int, k: int, radius: float, need: int, half: float) -> tuple[bool, np.ndarray, np.ndarray]:
+        """Whether the search of a query ends at ``radius``, and its k best verified
+        vectors there with their distances; ties go to the smaller id."""
+        found = np.flatnonzero((self.collisions(centre, half * radius) >= need) & others)
+        if len(found) < min(k, left):
+            return False, found, np.zeros(0)
+        far = np.sqrt(((self.vectors[found] - q) ** 2).sum(1, dtype=np.float64))
+        if len(found) > 4 * k:
+            near = far <= np.partition(far, k - 1)[k - 1]
+            found, far = found[near], far[near]
+        best = np.lexsort((self.ids[found], far))[:k]
+        found, far = found[best], far[best]
+        return (len(found) >= k and far[-1] <= radius), found, far
+
+    def search(self, own: int, q: np.ndarray, centre: np.ndarray, k: int, radius: float, need: int, half: float, factor: float, guess: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row numbers, distances) of the k nearest verified vectors that aren't the
+        query's own id, and the first level at which the search ends. Windows are
+        nested, so that it ends at every later level too: it is looked for from ``guess``."""
+        others = self.ids != own
+        left = int(np.count_nonzero(others))
         if not left:
-            return found, far
-        count = np.empty(n, np.uint8)
-        # the level at which every window covers its whole array
-        reach = float(np.maximum(self.sorted[:, -1] - centre, centre - self.sorted[:, 0]).max())
-        top = max(0, math.ceil(math.log(max(reach, 1e-12) * 1.001 / (half * radius)) / math.log(factor)))
-        # levels with fewer than k candidates can't end the search: bisect for the first that has them
-        low = 0
-        while low < top:
-            level = (low + top) // 2
-            if np.count_nonzero((self.collisions(centre, half * radius * factor**level, count) >= need) & ~seen) >= min(k, left):
-                top = level
-            else:
-                low = level + 1
-        level = low
-        while left:
-            at = radius * factor**level
-            new = np.flatnonzero((self.collisions(centre, half * at, count) >= need) & ~seen)
-            if len(new):
-                seen[new] = True
-                left -= len(new)
-                d = np.sqrt(((self.vectors[new] - q) ** 2).sum(1, dtype=np.float64))
-                found, far = np.r_[found, new], np.r_[far, d]
-                if len(found) > k:
-                    # ties at the k-th place go to the smaller id
-                    best = np.lexsort((self.ids[found], far))[:k]
-                    found, far = found[best], far[best]
-            if len(found) >= k and far.max() <= at:
-                break
+            return np.zeros(0, np.int64), np.zeros(0), guess
+        reach = max(self.high - float(centre.min()), float(centre.max()) - self.low, 1e-12)
+        # at the top level every window covers its whole array
+        top = max(0, math.ceil(math.log(max(reach * 1.001 / (half * radius), 1e-300)) / math.log(factor)))
+        level = min(guess, top)
+        done, found, far = self.at_level(q, centre, others, left, k, radius * factor**level, need, half)
+        if done or level == top:
+            while level > 0:
+                lower = self.at_level(q, centre, others, left, k, radius * factor ** (level - 1), need, half)
+                if not lower[0]:
+                    break
+                level, (_, found, far) = level - 1, lower
+            return found, far, level
+        while not done and level < top:
             level += 1
-        best = np.lexsort((self.ids[found], far))
-        return found[best], far[best]
+            done, found, far = self.at_level(q, centre, others, left, k, radius * factor**level, need, half)
+        return found, far, level
 
 
 def _rows(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +143,9 @@ def _search(dim: int, k: int, m: int, need: int, half: float, factor: float, rad
             block = Block(ids, vectors, directions)
             qid, q = _rows(queries, dim)
             centre = q @ directions
+            level = 0
             for i in range(len(qid)):
-                found, far = block.search(qid[i], q[i], centre[i], k, radius, need, half, factor)
+                found, far, level = block.search(qid[i], q[i], centre[i], k, radius, need, half, factor, level)
                 out.append((np.full(len(found), qid[i]), ids[found], far))
         parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(parts[0].astype(np.int64)), pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(np.float64))], ["vec_id", "neighbor_id", "distance"])
