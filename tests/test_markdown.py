@@ -37,7 +37,7 @@ def test_units(spark):
     got = [(u.line_start, u.line_end, u.type, u.text) for u in units]
     assert got == [
         (4, 4, "step", "Install the tool. It must be new."), (4, 4, "fact", "Then go."), (5, 5, "step", "Run it"), (6, 6, "fact", "continued line"),
-        (13, 13, "fact", "See #start-here, https://a.b and npm test --all ."), (13, 13, "command", "npm test --all"),
+        (13, 13, "fact", "See start-here, https://a.b and npm test --all ."), (13, 13, "command", "npm test --all"),
     ]
 
 
