@@ -30,7 +30,7 @@ SEED = 20240501
 PIECES = "source string, block bigint, seq int, doc_id bigint, lang string, n_tokens int, text string"
 
 
-COUNTED = "source string, bucket bigint, doc_id bigint, key bigint, tokens bigint"
+COUNTED = "source string, bucket bigint, doc_id bigint, key bigint, tokens bigint, chars array<int>, passed array<int>"
 
 
 def permute(index: np.ndarray, n: np.ndarray | int, seed: np.ndarray | int) -> np.ndarray:
@@ -53,11 +53,11 @@ def permute(index: np.ndarray, n: np.ndarray | int, seed: np.ndarray | int) -> n
 
 def _bucket_tokens(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = tokens.tokenizer(path).count
+        count = tokens.tokenizer(path).anchored
         for batch in it:
             for part in common.batches_of(iter([batch]), "text"):
-                n = [count(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("source", "bucket", "doc_id", "key")), pa.array(n, pa.int64())], COUNTED.replace(" string", "").replace(" bigint", "").split(", "))
+                n, chars, passed = zip(*map(count, part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("source", "bucket", "doc_id", "key")), pa.array(n, pa.int64()), pa.array(chars, pa.list_(pa.int32())), pa.array(passed, pa.list_(pa.int32()))], [x.split()[0] for x in COUNTED.split(", ")])
 
     return run
 
@@ -75,10 +75,10 @@ def _cut(path: str, block: int):
         # in one order, so that each document meets its own count
         docs, counted = docs.sort_by(order), counted.sort_by(order)
         at, source, out = counted["start"][0].as_py(), docs["source"][0].as_py(), []
-        for doc, lang, text, n in zip(*(docs[c].to_pylist() for c in ("doc_id", "lang", "text")), counted["tokens"].to_pylist()):
+        for doc, lang, text, n, chars, passed in zip(*(docs[c].to_pylist() for c in ("doc_id", "lang", "text")), *(counted[c].to_pylist() for c in ("tokens", "chars", "passed"))):
             marks = list(range(block - at % block, n, block))
             edges = [0, *marks, n]
-            for s, e, piece in zip(edges, edges[1:], tok.cut(text, marks)):
+            for s, e, piece in zip(edges, edges[1:], tok.cut_anchored(text, marks, chars, passed)):
                 if e > s:
                     out.append((source, (at + s) // block, (at + s) % block, doc, lang, e - s, piece))
             at += n
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     ``weights`` by source need not sum to 1; sources that it doesn't name get
     none. ``slots`` is as many as there are blocks if not given. The last
     block of a source may be short. Null and empty texts have no tokens and
-    no place; a null source is the source ''; null ids come first. Rows that
+    no place; a null source is the source ''; null ids come last. Rows that
     repeat take part as often as they occur. No tokens or no weight: no rows.
     ``lang`` is null where ``docs`` has no such column; other further columns aren't read.
     """
@@ -156,7 +156,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     starts = sums.withColumn("start", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("tokens")).select("source", "bucket", "start")
     pieces = rows.groupBy("source", "bucket").cogroup(counted.join(starts, ["source", "bucket"]).groupBy("source", "bucket")).applyInArrow(_cut(vocabulary, block), PIECES)
     packed = pieces.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "doc_id", "lang", "n_tokens", "text"))).alias("pieces"))
-    return places.join(packed, ["source", "block"]).select("shard", "slot", "source", "block", "turn", "n_tokens", "pieces")
+    # both sides grow with the data; their estimated sizes don't, so that a broadcast is ruled out by name
+    return places.join(packed.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "block", "turn", "n_tokens", "pieces")
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:

@@ -9,6 +9,7 @@ encoded as a whole. A part's count is exact in either case.
 from __future__ import annotations
 
 import base64
+import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,8 @@ import tiktoken
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KNOWN = 400_000
+#: Tokens between two places of a text from which it can be encoded anew.
+EVERY = 256
 
 
 class Tokenizer:
@@ -47,6 +50,45 @@ class Tokenizer:
         first, *rest = text.split(" ")
         return len(self.encode(first)) + sum(map(self.known.__getitem__, rest))
 
+    def anchored(self, text: str, every: int = EVERY) -> tuple[int, list[int], list[int]]:
+        """Count of the tokens, and characters and tokens passed at places from which
+        the rest can be encoded on its own, one for about ``every`` tokens."""
+        if len(text) <= every or "  " in text:
+            return self.count(text), [], []
+        first, *rest = text.split(" ")
+        total, char, last, chars, passed = len(self.encode(first)), len(first), 0, [], []
+        known = self.known
+        for part in rest:
+            if total - last >= every:
+                chars.append(char)
+                passed.append(total)
+                last = total
+            total += known[part]
+            char += len(part) + 1
+        return total, chars, passed
+
+    def cut_anchored(self, text: str, at: list[int], chars: list[int], passed: list[int]) -> list[str]:
+        """``cut``, with the anchors of ``anchored``: only what lies between the anchors
+        around a mark is encoded again."""
+        if not chars:
+            return self.cut(text, at)
+        marks = []
+        for k in at:
+            i = bisect.bisect_right(passed, k) - 1
+            s, e = (chars[i] if i >= 0 else 0), (chars[i + 1] if i + 1 < len(chars) else len(text))
+            char, total = s, passed[i] if i >= 0 else 0
+            parts = text[s:e].split(" ")
+            units = [" " + p for p in parts[1:]] if i >= 0 else [parts[0], *(" " + p for p in parts[1:])]
+            for unit in units:
+                n = self.known[unit[1:]] if unit[:1] == " " else len(self.encode(unit))
+                if total + n > k:
+                    if total < k:
+                        char += len(unit.encode()[: int(self.sizes(unit)[: k - total].sum())].decode("utf-8", "ignore"))
+                    break
+                total, char = total + n, char + len(unit)
+            marks.append(char)
+        return [text[s:e] for s, e in zip([0, *marks], [*marks, len(text)])]
+
     def sizes(self, text: str) -> np.ndarray:
         """Bytes of each token."""
         return self.size[np.array(self.encode(text), np.int64)]
