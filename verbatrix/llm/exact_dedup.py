@@ -27,6 +27,8 @@ from verbatrix.llm import common
 
 RESULT = "doc_id bigint, keep_id bigint, copies bigint, kept boolean"
 BUCKET = 64
+#: Bits of the directory at most; a bucket of that depth isn't split any more and takes all its keys.
+MAX_DEPTH = 22
 SEGMENT = 16 << 20
 
 
@@ -107,7 +109,7 @@ class ExtendibleHash:
             found = bucket.chains.get(key)
             if found is not None:
                 return found
-            if len(bucket.chains) < self.capacity or bucket.depth >= 64:
+            if len(bucket.chains) < self.capacity or bucket.depth >= MAX_DEPTH:
                 bucket.chains[key] = []
                 return bucket.chains[key]
             self._split(bucket)
