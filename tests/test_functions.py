@@ -49,8 +49,9 @@ def test_links(spark):
     assert column(spark, list(cases), lambda c: T.resolve_link(F.lit("d"), c)) == list(cases.values())
 
 
-def test_sentence_windows(spark):
-    assert column(spark, ["One. Two! Three? Four", "", "a `b` [c](d)"], T.sentence_windows) == [["One. Two!", "Three? Four"], [], ["a b d"]]
+def test_sentence_pairs(spark):
+    df = spark.createDataFrame([(1, "One. Two! Three? Four"), (2, ""), (3, "a `b` [c](d)")], "i int, x string").withColumn("parts", T.sentences(F.col("x")))
+    assert [r[0] for r in df.orderBy("i").select(T.sentence_pairs(F.col("parts"))).collect()] == [["One. Two!", "Three? Four"], [], ["a b d"]]
 
 
 def test_suspicious_and_citations(spark):

@@ -84,14 +84,14 @@ def normalize_sentence(c: Column) -> Column:
     return squeeze(F.regexp_replace(plain, "\\[[^\\]]+\\]\\(([^)]+)\\)", "$1"))
 
 
-def sentence_windows(c: Column) -> Column:
-    """Sentences in pairs, each at most 440 long."""
-    parts = F.filter(F.split(normalize_sentence(c), f"(?<=[.!?]){WS}+"), lambda s: s != "")
-    pairs = F.transform(
-        F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.expr("0") + F.floor((F.size(parts) - 1) / 2).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat_ws(" ", F.slice(parts, i * 2 + 1, F.lit(2))),
-    )
-    return F.transform(pairs, lambda w: truncate(w, 440))
+def sentences(c: Column) -> Column:
+    return F.filter(F.split(normalize_sentence(c), f"(?<=[.!?]){WS}+"), lambda s: s != "")
+
+
+def sentence_pairs(parts: Column) -> Column:
+    """Sentences two by two. ``parts`` should be a column: it is read for each pair."""
+    last = F.floor((F.size(parts) - 1) / 2).cast("int")
+    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.get(parts, i * 2), F.get(parts, i * 2 + 1)))).otherwise(F.array().cast("array<string>"))
 
 
 def classify_unit(text: Column, heading: Column, is_step: Column) -> Column:

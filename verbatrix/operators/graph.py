@@ -50,10 +50,13 @@ def symbol_sets(sections: DataFrame) -> DataFrame:
 
 def overlap(sets: DataFrame, least: float, top: int = TOP) -> DataFrame:
     """(src_ref, dst_ref, score, rank): for each ref of ``sets`` (ref, item) the
-    ``top`` others of largest Jaccard similarity, ``least`` or more and above 0; ties by ref."""
+    ``top`` others of largest Jaccard similarity, ``least`` or more and above 0; ties by
+    ref. Items of one 64-bit hash count as one."""
+    # items as 64-bit hashes: what is compared and shuffled is numbers
+    sets = sets.select("ref", F.xxhash64("item").alias("item")).distinct()
     df = sets.groupBy("item").agg(F.count("*").alias("df"))
     own = sets.join(df, "item").groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("items"))
-    own = own.withColumn("sid", F.sha2(F.array_join(F.transform("items", lambda x: F.concat(F.length(x), F.lit(":"), x)), ","), 256))
+    own = own.withColumn("sid", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256))
     distinct = own.groupBy("sid").agg(F.first("items").alias("items"))
     # of equal sets the first top + 1 refs are enough for anyone's best
     member = own.select("sid", "ref", F.row_number().over(Window.partitionBy("sid").orderBy(T.icu(F.col("ref")))).alias("n")).where(F.col("n") <= top + 1).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "ref"))).alias("members"))

@@ -83,7 +83,10 @@ def inline_commands(fenced: DataFrame) -> DataFrame:
 
 def windows(prose: DataFrame) -> DataFrame:
     """Sentence windows of prose blocks; ``at`` counts them in their block."""
-    return prose.select("doc_id", "ord", "anchor", "heading", "line_start", "line_end", "is_step", F.posexplode(T.sentence_windows(F.col("text"))).alias("at", "text"))
+    block = ["doc_id", "ord", "anchor", "heading", "line_start", "line_end", "is_step"]
+    # in steps, so that the text is parted once and not again for each window
+    pairs = prose.select(*block, T.sentences(F.col("text")).alias("parts")).select(*block, F.posexplode(T.sentence_pairs(F.col("parts"))).alias("at", "whole"))
+    return pairs.select(*block, "at", T.truncate(F.col("whole"), 440).alias("text"))
 
 
 def sections(body: DataFrame) -> DataFrame:

@@ -161,23 +161,24 @@ def select_by_budget(ranked: DataFrame) -> DataFrame:
         F.first("budget").alias("budget"), F.first("max_items").alias("max_items"),
         F.array_sort(F.collect_list(F.struct("rank", "text_hash", "words", "token_estimate"))).alias("todo"),
     )
-    zero = F.expr("named_struct('chosen', cast(array() as array<struct<rank: int, novelty: double, words: array<string>, text_hash: string>>), 'spent', 0L)")
+    zero = F.expr("named_struct('chosen', cast(array() as array<struct<rank: int, nearest: double, words: array<string>, text_hash: string>>), 'spent', 0L)")
 
     def step(state: Column, c: Column) -> Column:
         chosen, spent = state["chosen"], state["spent"]
         nearest = F.aggregate(chosen, F.lit(0.0), lambda m, x: F.greatest(m, T.jaccard(x["words"], c["words"])))
         taken = (
             (F.size(chosen) < F.col("max_items"))
+            # similarity is looked at last, for what has passed the rest
             & ~F.exists(chosen, lambda x: x["text_hash"] == c["text_hash"])
             & (spent + c["token_estimate"] <= F.col("budget"))
             & (nearest <= MAX_SIMILARITY)
         )
-        item = F.struct(c["rank"].alias("rank"), T.fixed(1 - nearest).alias("novelty"), c["words"].alias("words"), c["text_hash"].alias("text_hash"))
+        item = F.struct(c["rank"].alias("rank"), nearest.alias("nearest"), c["words"].alias("words"), c["text_hash"].alias("text_hash"))
         return F.when(taken, F.struct(F.concat(chosen, F.array(item)).alias("chosen"), (spent + c["token_estimate"]).alias("spent"))).otherwise(state)
 
     done = grouped.withColumn("state", F.aggregate("todo", zero, step))
     picked = done.select("query_id", F.col("state.spent").alias("spent_tokens"), F.greatest(F.lit(0), F.col("budget") - F.col("state.spent")).alias("remaining_tokens"), F.posexplode("state.chosen").alias("at", "c"))
-    picked = picked.select("query_id", (F.col("at") + 1).alias("position"), F.col("c.rank").alias("rank"), F.col("c.novelty").alias("novelty"), "spent_tokens", "remaining_tokens")
+    picked = picked.select("query_id", (F.col("at") + 1).alias("position"), F.col("c.rank").alias("rank"), T.fixed(1 - F.col("c.nearest")).alias("novelty"), "spent_tokens", "remaining_tokens")
     return picked.join(ranked.drop("budget", "max_items"), ["query_id", "rank"]).withColumn("score", _final(F.col("novelty")))
 
 
