@@ -19,7 +19,9 @@ BULLET = "^\\s*(?:[-*+]\\s+|\\d+[.]\\s+)"
 def lines(files: DataFrame) -> DataFrame:
     """Body lines with their section: doc_id, source_path, ord, anchor, heading,
     line_start, line_end, line, text; heading lines have ``is_head``."""
-    docs = files.where("content is not null").select(T.to_doc_id(F.col("rel_path")).alias("doc_id"), F.col("rel_path").alias("source_path"), "content").repartition("doc_id")
+    docs = files.where("content is not null").select(T.to_doc_id(F.col("rel_path")).alias("doc_id"), F.col("rel_path").alias("source_path"), "content")
+    # by number, for parsing costs more than its bytes tell: small inputs aren't coalesced into few tasks
+    docs = docs.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     raw = docs.select("doc_id", "source_path", F.posexplode(F.split("content", "\r?\n", -1)).alias("pos", "text")).withColumn("line", F.col("pos") + 1)
     head = "^(#{1,6})\\s+(.+?)\\s*$"
     doc = Window.partitionBy("doc_id")
