@@ -124,8 +124,13 @@ def pairs_of(units: DataFrame, queries: DataFrame) -> DataFrame:
     classes = queries.groupBy(*CLASS).agg(F.max("max_items").alias("most"))
     symbol, command = _boosts(F.lit(False))
     bare = units.crossJoin(classes).withColumn("bare", T.fixed(_base(F.lit(0.0), F.lit(0.0), symbol, command, F.col("cost"))))
-    # a bound on the literal limit lets every map task keep only its best
-    best = bare.withColumn("rank", F.row_number().over(Window.partitionBy(*CLASS).orderBy(*_order("bare")))).where(F.col("rank") <= F.col("most") * DEPTH).drop("rank", "bare", "most")
+    # scores have four digits, so that their counts are few: they give the score below which nothing is
+    # among the best, and only what reaches it is put in order
+    counts = bare.groupBy(*CLASS, "bare").agg(F.count("*").alias("n"), F.first("most").alias("most"))
+    above = F.sum("n").over(Window.partitionBy(*CLASS).orderBy(F.desc("bare"))) - F.col("n")
+    least = counts.withColumn("above", above).where(F.col("above") < F.col("most") * DEPTH).groupBy(*CLASS).agg(F.min("bare").alias("least"))
+    best = bare.join(F.broadcast(least), CLASS).where(F.col("bare") >= F.col("least"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*CLASS).orderBy(*_order("bare")))).where(F.col("rank") <= F.col("most") * DEPTH).drop("rank", "bare", "most", "least")
     others = best.join(queries, CLASS).where(apart & ~_flag_matched())
     columns = by_flag.columns
     return by_token.select(columns).unionByName(by_flag).unionByName(others.select(columns))
