@@ -30,6 +30,8 @@ L1, L2, RATE, BETA = 0.02, 0.02, 0.5, 1.0
 #: A document whose most probable language has less than this is rejected.
 MIN_PROBABILITY = 0.6
 SCALE = 64.0
+#: Grams whose weights are looked up at once.
+PIECE = 1 << 18
 RESULT = "doc_id bigint, lang_pred string, probability double, rejected boolean"
 
 _FOLD = np.arange(0x3000, dtype=np.uint32)
@@ -43,7 +45,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), np.uint32)
     length = np.array([len(t) + 2 for t in texts], np.int64)
     low = np.where(code < len(_FOLD), _FOLD[np.minimum(code, len(_FOLD) - 1)], code)
-    text = np.repeat(np.arange(len(texts)), length)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), length)
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32) | (text[1:] != text[:-1])
     low, text = low[keep], text[keep]
@@ -64,6 +66,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(text[n - 1 :][inside])
     if not codes:
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    if len(texts) == 1:
+        out = np.concatenate(codes)
+        return out, np.array([0, len(out)])
     # texts are interleaved by order: gather each text's grams
     counts = [np.bincount(o, minlength=len(texts)) for o in owners]
     ends = np.cumsum(np.sum(counts, axis=0))
@@ -111,10 +116,13 @@ class Model:
     def logits(self, g: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
         out = np.zeros((n, len(self.langs)))
-        if len(g):
-            some = np.flatnonzero(np.diff(off))
-            out[some] = np.add.reduceat(self.table[g], off[some], axis=0, dtype=np.float64) / np.diff(off)[some, None]
-        return out + self.bias
+        # in pieces, so that a long text needs no more memory than a short one
+        for start in range(0, len(g), PIECE):
+            end = min(start + PIECE, len(g))
+            first, last = np.searchsorted(off, start, side="right") - 1, np.searchsorted(off, end, side="left")
+            some = first + np.flatnonzero(np.minimum(off[first + 1 : last + 1], end) > np.maximum(off[first:last], start))
+            out[some] += np.add.reduceat(self.table[g[start:end]], np.maximum(off[some], start) - start, axis=0, dtype=np.float64)
+        return out / np.maximum(np.diff(off), 1)[:, None] + self.bias
 
     def probabilities(self, g: np.ndarray, off: np.ndarray) -> np.ndarray:
         return softmax(self.logits(g, off) / self.temperature)
