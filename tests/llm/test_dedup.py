@@ -182,3 +182,17 @@ def test_components_equal_union_find(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     got = {r.node: r.label for r in components.min_labels(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_oversized_buckets_are_compared_exactly():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 64, (8192, 4), dtype=np.uint64)
+    for i, d in enumerate([54] * 300 + [71] * 300 + [72] * 300):
+        flip = np.zeros(256, np.uint8)
+        flip[rng.permutation(256)[:d]] = 1
+        fp[4096 + i] = fp[i] ^ np.packbits(flip).view(np.uint64)
+    root = simhash.bucket_edges(fp, 0, 10, 512, 71)
+    assert (root[:600] == root[4096:4696]).all()
+    assert len(np.unique(root)) == 8192 - 600
+    one = simhash.bucket_edges(np.repeat(fp[:3], 2000, axis=0), 0, 10, 512, 71)
+    assert np.array_equal(one, np.repeat([0, 2000, 4000], 2000))

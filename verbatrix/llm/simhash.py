@@ -4,9 +4,8 @@ A document's fingerprint has 256 bits: the signs of the sums of the hashed
 word pairs of its whole text. Documents with one fingerprint are grouped
 first, so that copies by the thousand count once. Each of several tables
 samples coordinates of the fingerprint; documents that agree on a table's
-sample share a bucket. A bucket with more than ``cap`` fingerprints takes
-further sampled bits, in several independent ways, until its parts are small.
-All pairs of a bucket are verified by Hamming distance. Verified pairs are
+sample share a bucket. All pairs of a bucket are verified by Hamming distance,
+those of a bucket with more than ``cap`` fingerprints tile by tile. Verified pairs are
 edges; documents of one connected component are one group.
 """
 
@@ -29,7 +28,8 @@ PLANNED_AGREEMENT = 0.79
 RECALL = 0.95
 CAP = 512
 LEAST_SAMPLE = 10
-FORKS = 2
+#: Least and most rows of a tile.
+TILE = (64, 1024)
 RESULT = "doc_id bigint, group_id bigint, group_size bigint, kept boolean"
 
 _R = 0x9E3779B97F4A7C15 | 1
@@ -159,53 +159,56 @@ class _Union:
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
+    def flatten(self) -> None:
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
 
-def _verify(fp: np.ndarray, where: np.ndarray, union: _Union, limit: int) -> None:
-    """Joins all pairs of the rows ``where`` within the distance."""
-    x, n = fp[where], len(where)
-    block = max(1, (1 << 20) // n)
-    near = np.empty((n, n), bool)
-    for s in range(0, n, block):
-        distance = np.zeros((min(block, n - s), n), np.uint16)
-        for k in range(4):
-            distance += np.bitwise_count(x[s : s + block, k, None] ^ x[None, :, k])
-        near[s : s + block] = distance <= limit
-    some = np.flatnonzero(near.sum(1) > 1)
-    if not len(some):
-        return
-    near, where = near[np.ix_(some, some)], where[some]
-    # smallest row of each component, spread along the pairs until nothing changes
-    label = np.arange(len(some))
-    while True:
-        low = np.where(near, label[None, :], len(some)).min(1)
+
+def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    distance = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(4):
+        distance += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return distance <= limit
+
+
+def _components(near: np.ndarray) -> np.ndarray:
+    """Smallest row of each row's component, spread along the pairs until nothing changes."""
+    label, some = np.arange(len(near)), np.flatnonzero(near.sum(1) > 1)
+    near, own = near[np.ix_(some, some)], np.arange(len(some))
+    while len(some):
+        low = np.where(near, own[None, :], len(some)).min(1)
         low = np.minimum(low, low[low])
-        if np.array_equal(low, label):
+        if np.array_equal(low, own):
             break
-        label = low
-    for i in np.flatnonzero(label != np.arange(len(some))):
-        union.join(where[i], where[label[i]])
+        own = low
+    label[some] = some[own]
+    return label
 
 
 def bucket_edges(fp: np.ndarray, table: int, sample: int, cap: int, limit: int) -> np.ndarray:
-    """Component of each row of one bucket. An oversized bucket is divided by
-    additional bits, in FORKS ways at each level."""
+    """Component of each row of one bucket, from all its pairs. A bucket of more
+    than ``cap`` rows is compared in tiles, so that memory stays small."""
+    if len(fp) <= cap and len(fp) <= TILE[1]:
+        return _components(_near(fp, fp, limit))
+    side = min(max(cap, TILE[0]), TILE[1])
+    starts = range(0, len(fp), side)
     union = _Union(len(fp))
-    bits = _bits_of(fp) if len(fp) > cap else None
-    todo = [(np.arange(len(fp)), 0)]
-    while todo:
-        where, level = todo.pop()
-        if len(where) <= cap or level > 12:
-            _verify(fp, where, union, limit)
-            continue
-        more = math.ceil(math.log2(len(where) / cap))
-        for fork in range(FORKS):
-            chosen = np.random.default_rng([104729, table, level, fork]).permutation(BITS)[: max(1, more)]
-            code = _codes(bits[where], chosen)
-            order = np.argsort(code, kind="stable")
-            for part in np.split(where[order], np.flatnonzero(np.diff(code[order])) + 1):
-                if len(part) > 1:
-                    todo.append((part, level + 1))
-    return np.array([union.find(i) for i in range(len(fp))])
+    for s in starts:
+        union.parent[s : s + side] = s + _components(_near(fp[s : s + side], fp[s : s + side], limit))
+    for s in starts:
+        for t in range(s + side, len(fp), side):
+            near = _near(fp[s : s + side], fp[t : t + side], limit)
+            if not near.any():
+                continue
+            # one pair for each two components that meet, none for what is joined already
+            a, b = union.parent[s : s + side], union.parent[t : t + side]
+            x, y = np.nonzero(near & (a[:, None] != b[None, :]))
+            if not len(x):
+                continue
+            for code in np.unique(a[x] * len(fp) + b[y]).tolist():
+                union.join(*divmod(code, len(fp)))
+            union.flatten()
+    return union.parent
 
 
 def _edges(sample: int, cap: int, limit: int):
