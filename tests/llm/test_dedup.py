@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -196,3 +197,31 @@ def test_oversized_buckets_are_compared_exactly():
     assert len(np.unique(root)) == 8192 - 600
     one = simhash.bucket_edges(np.repeat(fp[:3], 2000, axis=0), 0, 10, 512, 71)
     assert np.array_equal(one, np.repeat([0, 2000, 4000], 2000))
+
+
+def test_recall_by_distance_up_to_the_limit(spark):
+    rng, texts = random.Random(11), []
+    for k in range(700):
+        base = vocabulary(rng, 300)
+        copy = list(base)
+        for at in rng.sample(range(300), 24 + k % 36):
+            copy[at] = rng.choice(W)
+        texts += [" ".join(base), " ".join(copy)]
+    raw = [t.encode() for t in texts]
+    fp, _ = simhash.fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    distance = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2, dtype=np.int64)
+    a, b = np.nonzero(np.triu(distance <= simhash.MAX_DISTANCE, 1))
+    # one fingerprint a bucket: 11 bits are sampled where 10 would do
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs(spark, *texts), cap=1).collect()}
+    met = np.array([got[x + 1] == got[y + 1] for x, y in zip(a, b)])
+    d = distance[a, b]
+    for least, most in ((0, 54), (55, 61), (62, simhash.MAX_DISTANCE)):
+        band = met[(d >= least) & (d <= most)]
+        assert len(band) >= 100 and band.mean() >= 0.92, (least, most, len(band), band.mean())
+
+
+@pytest.mark.parametrize("n", [10, 10**6, 10**8, 10**10])
+def test_plan_covers_the_acceptance_limit(n):
+    sample, tables = simhash.plan(n)
+    same = math.comb(simhash.BITS - simhash.MAX_DISTANCE, sample) / math.comb(simhash.BITS, sample)
+    assert 1 - (1 - same) ** tables >= simhash.RECALL

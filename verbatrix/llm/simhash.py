@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from verbatrix.llm import common, components
 
 BITS = 256
-#: Largest Hamming distance of a pair, of 256 bits; and the share of bits in which the pairs agree for which recall is planned.
+#: Largest Hamming distance of a pair, of 256 bits; recall is planned for pairs at this distance, which agree in this share of bits.
 MAX_DISTANCE = 71
-PLANNED_AGREEMENT = 0.79
+PLANNED_AGREEMENT = 1 - MAX_DISTANCE / BITS
 RECALL = 0.95
 CAP = 512
 LEAST_SAMPLE = 10
@@ -245,12 +245,16 @@ def _edges(sample: int, cap: int, limit: int):
     return run
 
 
-def plan(distinct: int, agreement: float = PLANNED_AGREEMENT, recall: float = RECALL, cap: int = CAP) -> tuple[int, int]:
+def plan(distinct: int, max_distance: int = MAX_DISTANCE, recall: float = RECALL, cap: int = CAP) -> tuple[int, int]:
     """Sampled bits and tables for so many fingerprints: as many bits as give
-    buckets of about ``cap``, and as many tables as a pair that agrees in
-    ``agreement`` of its bits needs to meet with probability ``recall``."""
+    buckets of about ``cap``, and as many tables as a pair at ``max_distance``
+    needs to meet with probability ``recall``. Bits are sampled without
+    repetition, so that nearer pairs meet more often."""
     sample = max(LEAST_SAMPLE, math.ceil(math.log2(max(1, distinct) / cap)))
-    return sample, math.ceil(math.log(1 - recall) / math.log(1 - agreement**sample))
+    same = math.comb(BITS - max_distance, sample) / math.comb(BITS, sample)
+    if not 0 < same < 1:
+        return sample, 1
+    return sample, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, cap: int = CAP, recall: float = RECALL) -> DataFrame:
@@ -267,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     prints = common.cut(rows.where("doc_id is not null and text is not null").mapInArrow(_fingerprint_batches, "doc_id bigint, fp binary"))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    sample, tables = plan(reps.count(), recall=recall, cap=cap)
+    sample, tables = plan(reps.count(), max_distance, recall, cap)
     spark = docs.sparkSession
     edges = (
         reps.mapInArrow(_table_rows(tables, sample), "bucket bigint, rep bigint, fp binary")
