@@ -225,3 +225,19 @@ def test_plan_covers_the_acceptance_limit(n):
     sample, tables = simhash.plan(n)
     same = math.comb(simhash.BITS - simhash.MAX_DISTANCE, sample) / math.comb(simhash.BITS, sample)
     assert 1 - (1 - same) ** tables >= simhash.RECALL
+
+
+@pytest.mark.parametrize("words", range(1, 7))
+def test_unrelated_short_texts_lie_apart(words):
+    raw = [" ".join(f"u{words}x{i}x{k}" for k in range(words)).encode() for i in range(4000)]
+    fp, _ = simhash.fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    distance = np.concatenate([np.bitwise_count(fp[i, None] ^ fp[i + 1 :]).sum(1, dtype=np.int64) for i in range(len(fp))])
+    assert (distance <= simhash.MAX_DISTANCE).sum() == 0
+    assert abs(distance.mean() - 128) < 1
+    assert abs(np.unpackbits(fp.view(np.uint8)).mean() - 0.5) < 0.01
+
+
+def test_a_text_of_ties_needs_little_memory():
+    raw = b"one two " * 150_000 + b"one"
+    fp, _ = simhash.fingerprints(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert abs(np.unpackbits(fp.view(np.uint8)).mean() - 0.5) < 0.15

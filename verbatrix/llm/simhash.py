@@ -1,7 +1,8 @@
 """Near-duplicate documents by SimHash and random bit-sampling hashing.
 
 A document's fingerprint has 256 bits: the signs of the sums of the hashed
-word pairs of its whole text. Documents with one fingerprint are grouped
+word pairs of its whole text, with sums of zero settled by weights of the pairs
+so that texts of few words are as far apart as others. Documents with one fingerprint are grouped
 first, so that copies by the thousand count once. Each of several tables
 samples coordinates of the fingerprint; documents that agree on a table's
 sample share a bucket. All pairs of a bucket are verified by Hamming distance,
@@ -81,6 +82,24 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(offsets, start, side="right") - 1
 
 
+def _settled(f: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Values of tied bits: signs of the sums in which each feature has a random
+    weight of its own for each bit."""
+    total = np.zeros(len(tied), np.int64)
+    if not len(tied):
+        return total > 0
+    own, octet, shift = tied // 64, tied % 64 // 8, (7 - tied % 8).astype(np.uint8)
+    salt = common.mix64(tied.astype(np.uint64), 17)
+    step = max(1, (1 << 18) // len(tied))
+    for s in range(0, len(f), step):
+        part = f[s : s + step]
+        octets = np.stack([common.mix64(part, 11 + k).view(np.uint8).reshape(-1, 8) for k in range(4)], axis=1)
+        sign = ((octets[:, own, octet] >> shift) & 1).astype(np.int64) * 2 - 1
+        weight = (common.mix64(part[:, None] ^ salt[None, :], 19) >> np.uint64(40)).astype(np.int64)
+        total += (sign * weight).sum(0)
+    return total > 0
+
+
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """256-bit fingerprints (n, 4) of texts, and whether a text has any word.
     Features are the pairs of neighbouring words, in a text of one word that word."""
@@ -103,7 +122,11 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             else:
                 for o in range(8):
                     sums[k, 8 * o : 8 * o + 8] = np.bincount(octets[:, o], minlength=256) @ _SIGNS
-        out[i] = np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+        above = sums > 0
+        if len(f) % 2 == 0:
+            tied = np.flatnonzero(sums.ravel() == 0)
+            above.ravel()[tied] = _settled(f, tied)
+        out[i] = np.packbits(above, axis=1).view(np.uint64).ravel()
     return out, words > 0
 
 
