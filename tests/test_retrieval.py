@@ -101,3 +101,23 @@ def test_store_and_read(spark, index, tmp_path):
     with pytest.raises(EngineError) as e:
         Index.read(spark, str(tmp_path / "none"))
     assert e.value.code == "INDEX_UNREADABLE"
+
+
+def test_extract_all_reads_every_section(spark):
+    from verbatrix.plans import corpus
+
+    d = "/root/testdata/sf0.001"
+    ix = corpus.stored(spark, d)
+    queries, refs = corpus.by_lang(spark, d, ix)
+    assert refs.select("ref").distinct().count() == ix.sections.select("doc_id", "anchor").distinct().count()
+    langs = {"d" + str(r.doc_id).rjust(8, "0"): r.lang or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    best = {}
+    for r in retrieval.all_scores(ix.marked(), ix.weighted(queries)).select("query_id", *retrieval.UNIT, "base_score").collect():
+        if r.query_id.split(":")[1] == langs[r.doc_id]:
+            best[r.query_id] = max(best.get(r.query_id, -9), r.base_score)
+    ranked = ix.candidates(queries, refs).select("query_id", "doc_id", "anchor", "rank", "base_score").collect()
+    assert {r.query_id: r.base_score for r in ranked if r.rank == 1} == best
+    assert all(r.query_id.split(":")[1] == langs[r.doc_id] for r in ranked)
+    got = corpus.extract_all(spark, d).collect()
+    assert len({r.ref.split("#")[0] for r in got} - {f"d0000000{n}" for n in range(1, 6)}) > 0
+    assert any(r.ref.split("#")[1] not in langs.values() for r in got)

@@ -119,15 +119,16 @@ class Index:
     def weighted(self, queries: DataFrame) -> DataFrame:
         return retrieval.weighted(retrieval.profiles(queries), self.token_df, self.units)
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        return retrieval.candidates(self.marked(), self.weighted(queries))
+    def candidates(self, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        return retrieval.candidates(self.marked(), self.weighted(queries), within)
 
     def find(self, queries: DataFrame) -> DataFrame:
         return retrieval.find(self.candidates(queries))
 
-    def extract(self, queries: DataFrame) -> DataFrame:
-        """Units chosen under each query's budget; its ``refs`` limit where from."""
-        return retrieval.select_by_budget(self.candidates(queries))
+    def extract(self, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        """Units chosen under each query's budget; its ``refs``, or the table
+        ``within`` (query_id, ref), limit where from."""
+        return retrieval.select_by_budget(self.candidates(queries, within))
 
     def expand(self, asked: DataFrame) -> DataFrame:
         return retrieval.expand(self.marked(), asked)

@@ -136,13 +136,21 @@ def pairs_of(units: DataFrame, queries: DataFrame) -> DataFrame:
     return by_token.select(columns).unionByName(by_flag).unionByName(others.select(columns))
 
 
-def candidates(units: DataFrame, queries: DataFrame) -> DataFrame:
+def candidates(units: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Best units of each query, 20 for each item asked for. ``units`` are
-    ``marked``, ``queries`` are ``weighted``. Queries with ``refs`` see the units of these references only."""
+    ``marked``, ``queries`` are ``weighted``. Queries with ``refs`` see the units of these references only.
+    References too many for an array come as a table ``within`` (query_id, ref), which then binds every query."""
+    if within is not None:
+        bound = units.join(within.distinct(), "ref").join(queries, "query_id")
+        return _ranked(bound)
     free, bound = queries.where("refs is null"), queries.where("refs is not null")
     within = units.join(bound.withColumn("ref", F.explode(F.array_distinct("refs"))), "ref")
     pairs = pairs_of(units, free).drop("all_words")
-    ranked = scored(pairs.unionByName(within.select(pairs.columns))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order("base_score"))))
+    return _ranked(pairs.unionByName(within.select(pairs.columns)))
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    ranked = scored(pairs).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order("base_score"))))
     return ranked.where(F.col("rank") <= F.col("max_items") * DEPTH).withColumn("why_matched", why())
 
 

@@ -136,6 +136,21 @@ def extract(spark, d):
     return _extracted(stored(spark, d).extract(_refs(spark, d)))
 
 
+def by_lang(spark, d, ix: Index) -> tuple[DataFrame, DataFrame]:
+    """Each question for each language, and the references of every section of its documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    langs = docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"))
+    put = asked(spark).crossJoin(F.broadcast(langs.select("lang").distinct())).withColumn("query_id", F.concat_ws(":", "query_id", "lang"))
+    refs = ix.sections.select("doc_id", F.concat_ws("#", "doc_id", "anchor").alias("ref")).join(langs, "doc_id")
+    return put.select("query_id", "query"), refs.join(F.broadcast(put.select("query_id", "lang")), "lang").select("query_id", "ref")
+
+
+def extract_all(spark, d):
+    """``extract`` from the whole section table: its references are those of all documents of a language."""
+    ix = stored(spark, d)
+    return _extracted(ix.extract(*by_lang(spark, d, ix)))
+
+
 def _sections_asked(ix: Index) -> DataFrame:
     """One request for each section."""
     return graph.refs(ix.sections).select(F.col("ref").alias("query_id"), "ref")
@@ -185,7 +200,7 @@ def missing_refs(spark, d):
     return ix.missing_refs(asked_).select("ref")
 
 
-_NAMES = (md_sections, md_anchors, md_code_blocks, unit_prose_blocks, unit_windows, unit_inline_cmd, evidence_units, token_df, source_hash, doc_list, stats, score_units, top_candidates, find, find_benchmark, select_by_budget, extract, expand, neighbors, graph_adjacent, graph_links, graph_keyword_overlap, graph_symbol_overlap, open_section, cite, missing_refs)
+_NAMES = (md_sections, md_anchors, md_code_blocks, unit_prose_blocks, unit_windows, unit_inline_cmd, evidence_units, token_df, source_hash, doc_list, stats, score_units, top_candidates, find, find_benchmark, select_by_budget, extract, extract_all, expand, neighbors, graph_adjacent, graph_links, graph_keyword_overlap, graph_symbol_overlap, open_section, cite, missing_refs)
 
 
 def queries() -> dict:
