@@ -1,13 +1,14 @@
 """Removal of repeated line runs by a suffix array over line-ID sequences.
 
 Every document is a sequence of line IDs. The suffixes of all sequences are
-sorted by distributed prefix doubling: the rank of a suffix starts as the
-128-bit ID of its first line, and a round that doubles the sorted depth k
-refines each interval of equal ranks by the rank k lines further on. A rank is
-(line ID, offset in the interval of that ID), so that no round needs a sort
-over all suffixes: one shuffle brings the members of an interval together, and
-suffixes that stand alone are sorted and leave. After the round for k the
+sorted by distributed prefix doubling: the first order is that of the 128-bit
+IDs of their first lines, by a range partitioning that is salted so that a line
+which is a third of all lines is spread over tasks like the others; a rank is the
+number of smaller suffixes. A round that doubles the sorted depth k refines each
+interval of equal ranks by the rank k lines further on, from counts of the pairs
+of ranks. Suffixes that stand alone are sorted and leave. After the round for k the
 intervals are those of suffixes whose longest common prefix is k lines or more.
+Every round is written to the shared folder, so that no plan grows with the rounds.
 
 A run of lines counts as repeated if it has ``min_words`` words and occurs at
 two places. Such a run is the union of the shortest runs of ``min_words``
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from verbatrix.llm import common
 
 MIN_WORDS = 50
+#: Parts of the ranks within an interval whose counts are summed before the ranks themselves.
+CHUNKS = 1024
 LINES = "doc bigint, key bigint, pos int, h1 bigint, h2 bigint, ahead int, back int"
 
 
@@ -70,54 +73,134 @@ def _line_rows(min_words: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, key, pos): the lines to delete, counted from 0. ``key`` is the
-    content key of the document (``common.text_key``)."""
+def _ordered_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one partition with the number of the first row that has
+    their pair, and whether the pair is there once. One row of a batch is held
+    back until its successor is known."""
+    from pyspark import TaskContext
+
+    part, at, first, last, held = TaskContext.get().partitionId(), 0, 0, None, None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        r, z = batch.column("r").to_numpy(), batch.column("z").to_numpy()
+        new = np.r_[last is None or last != (r[0], z[0]), (r[1:] != r[:-1]) | (z[1:] != z[:-1])]
+        number = at + np.arange(len(r))
+        firsts = np.maximum.accumulate(np.where(new, number, first))
+        done = len(r) - 1
+        if done:
+            yield _placed(batch.slice(0, done), part, firsts[:done], new[:done] & new[1:])
+            at, first, last = at + done, int(firsts[done - 1]), (r[done - 1], z[done - 1])
+        held = batch.slice(done)
+    if held is not None:
+        r, z = held.column("r").to_numpy()[0], held.column("z").to_numpy()[0]
+        new = last is None or last != (r, z)
+        yield _placed(held, part, np.array([at if new else first]), np.array([new]))
+
+
+def _placed(batch: pa.RecordBatch, part: int, firsts: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+    out = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(firsts.astype(np.int64)), pa.array(alone)]
+    return pa.RecordBatch.from_arrays(out, [*batch.schema.names, "part", "first", "alone"])
+
+
+def ordered(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc, key, pos, r) of the suffixes that share their pair (r, z) with
+    another one; the new r is the number of rows with smaller pairs. And the number of rows.
+
+    The rows are range partitioned by pair and, among equal pairs, by a hash of
+    their place, so that no task has more than its share, however often a pair
+    occurs. The driver sees one row for each partition and joins the ends."""
+    spark = pairs.sparkSession
+    parts = common.partitions(spark)
+    rows = (
+        pairs.withColumn("salt", F.xxhash64("doc", "key", "pos")).repartitionByRange(parts, "r", "z", "salt").sortWithinPartitions("r", "z")
+        .select("doc", "key", "pos", "r", "z").mapInArrow(_ordered_rows, "doc bigint, key bigint, pos int, r bigint, z bigint, part int, first bigint, alone boolean")
+    )
+    rows = common.cut(rows)
+    pair = F.struct("r", "z")
+    ends = rows.groupBy("part").agg(F.count("*").alias("n"), F.min(pair).alias("low"), F.max(pair).alias("high"), F.max("first").alias("tail")).orderBy("part").collect()
+    joined, base, rank = [], 0, 0
+    for i, e in enumerate(ends):
+        before = i > 0 and tuple(ends[i - 1].high) == tuple(e.low)
+        after = i + 1 < len(ends) and tuple(ends[i + 1].low) == tuple(e.high)
+        head = rank if before else base
+        rank = head if e.tail == 0 else base + e.tail
+        joined.append((e.part, base, head, e.tail, before, after))
+        base += e.n
+    # one row for each partition: bounded by their number
+    ends = spark.createDataFrame(joined, "part int, base bigint, head bigint, tail bigint, before boolean, after boolean")
+    at_head, at_tail = F.col("first") == 0, F.col("first") == F.col("tail")
+    ranked = rows.join(F.broadcast(ends), "part").where(~F.col("alone") | (at_head & F.col("before")) | (at_tail & F.col("after"))).select(
+        "doc", "key", "pos", F.when(at_head, F.col("head")).otherwise(F.col("base") + F.col("first")).alias("r")
+    )
+    return ranked, base
+
+
+def refined(pairs: DataFrame, total: int) -> DataFrame:
+    """(doc, key, pos, r) of the suffixes that share their pair (r, z) with
+    another one, ordered within their interval of equal r by z; ``total`` is above all ranks.
+
+    Only counts by pair are put in order, in ``CHUNKS`` chunks of z whose own
+    counts are summed first: a chunk has at most total / CHUNKS values. The join
+    back is by sort, where a pair with many places can be split."""
+    counted = pairs.groupBy("r", "z").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.expr(f"z * {CHUNKS} div {total}"))
+    before = lambda by, at: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = counted.groupBy("r", "c").agg(F.sum("n").alias("n")).select("r", "c", before(["r"], "c").alias("chunk"))
+    placed = counted.withColumn("within", before(["r", "c"], "z")).hint("merge").join(chunks, ["r", "c"])
+    return pairs.hint("merge").join(placed.select("r", "z", (F.col("r") + F.col("chunk") + F.col("within")).alias("new")), ["r", "z"]).select("doc", "key", "pos", F.col("new").alias("r"))
+
+
+def _later_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, key, start, size): the shortest runs that have an earlier place."""
     rows = (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).cast("bigint").alias("doc"), common.text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     )
     lines = rows.mapInArrow(_line_rows(min_words), LINES)
     # rows that repeat whole are one document: each line of it once
-    lines = lines.groupBy("doc", "key", "pos").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("ahead").alias("ahead"), F.first("back").alias("back"))
-    by_id = Window.partitionBy("h1", "h2")
+    lines = common.cut(lines.groupBy("doc", "key", "pos").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("ahead").alias("ahead"), F.first("back").alias("back")))
     # depth 1: suffixes whose first line occurs once stand alone and leave
-    ranked = common.cut(lines.withColumn("members", F.count("*").over(by_id)).where("members > 1").select("doc", "key", "pos", "h1", "h2", F.lit(0).cast("bigint").alias("off"), "ahead", "back"))
+    ranked, total = ordered(lines.select("doc", "key", "pos", F.col("h1").alias("r"), F.col("h2").alias("z")))
+    ranked = common.cut(ranked)
+    # a run whose first or last line occurs once isn't repeated
+    ends = ranked.select("doc", "key", "pos").hint("merge").join(lines.where("ahead > 0 or back > 0").select("doc", "key", "pos", "ahead", "back"), ["doc", "key", "pos"])
     runs = common.cut(
-        ranked.where("ahead > 0").select("doc", "key", F.col("pos").alias("start"), F.col("ahead").alias("size"))
-        .unionByName(ranked.where("back > 0").select("doc", "key", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("size")))
+        ends.where("ahead > 0").select("doc", "key", F.col("pos").alias("start"), F.col("ahead").alias("size"))
+        .unionByName(ends.where("back > 0").select("doc", "key", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("size")))
         .distinct()
+        # the interval to look at: the largest power of two that isn't longer than the run
+        .withColumn("depth", F.expr("cast(1 as int) << cast(floor(log2(size)) as int)"))
     )
     longest = runs.agg(F.max("size")).first()[0] or 0
-    rank = ["h1", "h2", "off"]
-    ranked = ranked.select("doc", "key", "pos", *rank)
-    found, depth = [], 1
-    while depth <= longest:
-        # runs of depth to 2 * depth - 1 lines: intervals at their start and depth lines before their end
-        second = ranked.select("doc", "key", F.col("pos").alias("at"), *[F.col(c).alias(f"z_{c}") for c in rank])
-        here = runs.where(F.col("size").between(depth, 2 * depth - 1)).withColumn("at", F.col("start") + F.col("size") - depth)
-        named = here.join(ranked.withColumnRenamed("pos", "start"), ["doc", "key", "start"]).join(second, ["doc", "key", "at"])
-        same = Window.partitionBy("size", *rank, *[f"z_{c}" for c in rank])
-        first = F.min(F.struct("doc", "key", "start")).over(same)
-        found.append(named.withColumn("first", first).where(F.struct("doc", "key", "start") > F.col("first")).select("doc", "key", "start", "size"))
-        if 2 * depth <= longest:
-            beyond = second.withColumn("pos", F.col("at") - depth).drop("at")
-            interval = Window.partitionBy(*rank)
-            z = [f"z_{c}" for c in rank]
-            ranked = common.cut(
-                ranked.join(beyond, ["doc", "key", "pos"])
-                .withColumn("off", F.col("off") + F.rank().over(interval.orderBy(*z)) - 1)
-                .withColumn("members", F.count("*").over(interval))
-                .where("members > 1")
-                .select("doc", "key", "pos", *rank)
-            )
+    ranks, depth = ranked.withColumn("depth", F.lit(1)), 1
+    while 2 * depth <= longest:
+        ranked = common.cut(refined(ranked.hint("merge").join(ranked.select("doc", "key", (F.col("pos") - depth).alias("pos"), F.col("r").alias("z")), ["doc", "key", "pos"]), total))
         depth *= 2
-    if not found:
-        return ranked.select("doc", "key", "pos").limit(0)
-    later = found[0]
-    for more in found[1:]:
-        later = later.unionByName(more)
-    return later.select("doc", "key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
+        ranks = ranks.unionByName(ranked.withColumn("depth", F.lit(depth)))
+    # a run is named by the intervals at its start and depth lines before its end
+    by_place = ["doc", "key", "depth", "pos"]
+    at_start = runs.withColumn("pos", F.col("start")).hint("merge").join(ranks, by_place).withColumn("pos", F.expr("start + size - depth"))
+    named = common.cut(at_start.hint("merge").join(ranks.withColumnRenamed("r", "z"), by_place).drop("pos", "depth"))
+    # the first place of each run, from partial minima
+    place = F.struct("doc", "key", "start")
+    first = named.groupBy("size", "r", "z").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return named.hint("merge").join(first, ["size", "r", "z"]).where(place > F.col("at")).select("doc", "key", "start", "size")
+
+
+def _islands(runs: DataFrame) -> DataFrame:
+    """(doc, key, s, e): the runs of each document united to ranges of lines."""
+    by_start = Window.partitionBy("doc", "key").orderBy("start", "size")
+    reach = F.max(F.col("start") + F.col("size")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.withColumn("reach", reach).withColumn("island", F.sum((F.coalesce("reach", F.lit(-1)) < F.col("start")).cast("int")).over(by_start))
+    return marked.groupBy("doc", "key", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("size") - 1).alias("e"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, key, pos): the lines to delete, counted from 0. ``key`` is the
+    content key of the document (``common.text_key``)."""
+    return _islands(_later_runs(docs, id_col, text_col, min_words)).select("doc", "key", F.explode(F.sequence("s", "e")).alias("pos"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, count_col: str | None = "n_chars") -> DataFrame:
@@ -131,10 +214,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are one document and get the same decision; rows that share only
     the id are ordered by a hash of their content. No rows: no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words)
-    # consecutive lines become ranges, a document's ranges one array
-    island = gone.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc", "key").orderBy("pos")))
-    ranges = island.groupBy("doc", "key", "island").agg(F.min("pos").alias("s"), F.max("pos").alias("e"))
+    # a document's ranges of lines are one array
+    ranges = _islands(_later_runs(docs, id_col, text_col, min_words))
     masks = ranges.groupBy("doc", "key").agg(F.collect_list(F.struct("s", "e")).alias("__vx_ranges")).select(F.col("key").alias("__vx_key"), F.col("doc").alias("__vx_doc"), "__vx_ranges")
     joined = docs.join(masks, (F.col(id_col).cast("bigint") == F.col("__vx_doc")) & (common.text_key(id_col, text_col) == F.col("__vx_key")), "left")
     rest = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.exists("__vx_ranges", lambda r: i.between(r["s"], r["e"])))
