@@ -29,6 +29,19 @@ def test_neighbours_recall_against_brute_force(spark):
     assert hits >= 0.9 * 9000
 
 
+def test_queries_are_the_ids_that_a_number_divides(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    rows = ann.nearest(df, base=150, queries=7, every=20).collect()
+    assert {r.vec_id for r in rows} == set(range(0, 400, 20)) and len(rows) == 200
+    assert {r.neighbor_id % 20 for r in rows} > {0}  # all vectors are searched
+    d = np.sqrt(((v[:, None].astype(float) - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = {i: set(np.argsort(d[i])[:10].tolist()) for i in range(0, 400, 20)}
+    assert sum(r.neighbor_id in near[r.vec_id] for r in rows) >= 180
+
+
 def test_collisions_equal_their_definition():
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 8)).astype(np.float32)

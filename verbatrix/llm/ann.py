@@ -34,7 +34,9 @@ HALF = 0.9
 PASS = 0.93
 FACTOR = 1.25
 #: Vectors in a block of the base, and of queries.
-BASE, QUERIES = 32768, 2048
+BASE, QUERIES = 32768, 16384
+#: The registered search asks for the neighbours of the vectors whose id this divides.
+ASKED_EVERY = 20
 RESULT = "vec_id bigint, neighbor_id bigint, rank int, distance double"
 
 
@@ -153,9 +155,9 @@ def _search(dim: int, k: int, m: int, need: int, half: float, factor: float, rad
     return run
 
 
-def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = PROJECTIONS, half: float = HALF, least: float = PASS, factor: float = FACTOR, base: int = BASE, queries: int = QUERIES) -> DataFrame:
-    """``vec_id, neighbor_id, rank, distance`` (Euclidean): for every vector its k
-    nearest others, approximately; ranks count from 1, ties go to the smaller id.
+def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = PROJECTIONS, half: float = HALF, least: float = PASS, factor: float = FACTOR, base: int = BASE, queries: int = QUERIES, every: int = 1) -> DataFrame:
+    """``vec_id, neighbor_id, rank, distance`` (Euclidean): for every vector whose id
+    ``every`` divides its k nearest others of all vectors, approximately; ranks count from 1, ties go to the smaller id.
 
     Vectors that are null, contain a null, NaN or infinite value, or whose length is
     not the most frequent one (the smaller of equally frequent ones) take no part, nor do rows with null id.
@@ -170,13 +172,16 @@ def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
         return spark.createDataFrame([], RESULT)
     dim = lengths["d"]
     clean = common.cut(clean.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
-    n = clean.count()
-    bases, parts = max(1, -(-n // min(base, 60000))), max(1, -(-n // queries))
+    asking = F.col("id") % every == 0
+    n, q = clean.agg(F.count("*"), F.count(F.when(asking, 1))).first()
+    bases = max(1, -(-n // min(base, 60000)))
+    # each pair of blocks is one task's work: blocks of queries are smaller where tasks would be few
+    parts = max(1, -(-q // queries), min(-(-common.partitions(spark) // bases), -(-q // 256)))
     # the first radius: a fortieth of the usual distance from the origin
     norm = clean.agg(F.avg(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()[0] or 0.0
     radius = max(norm / 40, 1e-6)
     number = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(of))
-    asked = clean.select("id", "v", number(5, parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bases - 1).cast("bigint"))).alias("block"))
+    asked = clean.where(asking).select("id", "v", number(5, parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bases - 1).cast("bigint"))).alias("block"))
     held = clean.select("id", "v", number(7, bases).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
     need = threshold(projections, half, least)
     pairs = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(_search(dim, k, projections, need, half, factor, radius), "vec_id bigint, neighbor_id bigint, distance double")
@@ -186,4 +191,5 @@ def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
 
 
 def op2_ann(spark, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Neighbours of every vector whose id 20 divides, among all vectors."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=ASKED_EVERY)
