@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from verbatrix.llm import components, exact_dedup, line_dedup, simhash
@@ -34,30 +35,63 @@ def test_exact_edge_cases(spark):
     assert exact_dedup.exact_duplicates(docs(spark)).collect() == []
 
 
-def test_index_splits_doubles_and_chains(monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_DEPTH", 12)
-    index, rng = exact_dedup.ExtendibleHash(4), random.Random(1)
-    keys = [rng.getrandbits(64) for _ in range(3000)] + [7 | (i << 40) for i in range(20)]
+def index_in(folder, capacity, pages=4):
+    return exact_dedup.ExtendibleHash(exact_dedup.Log(pafs.LocalFileSystem(), str(folder)), capacity, pages)
+
+
+def test_index_splits_doubles_and_chains(tmp_path):
+    index, rng = index_in(tmp_path / "pages", 4), random.Random(1)
+    keys = [rng.getrandbits(64) for _ in range(3000)] + [7 | (i << 60) for i in range(16)]
     for i, k in enumerate(keys):
-        index.chain(k).append((i, (0, i, 1)))
+        index.add(k, (i, 1, (0, i, 1)))
+    assert len(index.held) <= 4 and (tmp_path / "pages").exists()
     assert all([x[0] for x in index.chain(k)] == [i] for i, k in enumerate(keys))
-    for bucket in index.buckets():
-        assert len(bucket.chains) <= 4 or bucket.depth == 12
+    assert len(index.directory) == 1 << index.depth <= 64 * (len(keys) + 4)
+    for number in range(len(index.at)):
+        bucket = index.page(number)
+        assert len(bucket.chains) <= 4 or bucket.depth == index.depth
         assert len({k & ((1 << bucket.depth) - 1) for k in bucket.chains}) <= 1
-    chain = index.chain(keys[0])
-    chain.append((9, (0, 0, 1)))
+        assert np.count_nonzero(index.directory == number) == 1 << (index.depth - bucket.depth)
+    index.add(keys[0], (9, 1, (0, 0, 1)))
     assert len(index.chain(keys[0])) == 2
+    index.close(str(tmp_path / "directory"))
+    again = exact_dedup.ExtendibleHash.opened(exact_dedup.Log(pafs.LocalFileSystem(), str(tmp_path / "pages")), str(tmp_path / "directory"))
+    assert all([x[0] for x in again.chain(k)][0] == i for i, k in enumerate(keys))
+    assert again.chain(12345) == []
 
 
-def test_collisions_of_keys_are_compared_by_bytes(spark, tmp_path):
-    store = exact_dedup.Segments(f"file://{tmp_path}", 0)
-    at = [store.append(t) for t in (b"one", b"two" * 100)]
-    store.flush()
+def test_texts_are_read_back_from_files(tmp_path):
+    store = exact_dedup.Texts(pafs.LocalFileSystem(), str(tmp_path / "texts"))
+    at = [store.append(t) for t in (b"one", b"two" * 100, b"")]
+    store.log.flush()
     more = store.append(b"three")
-    assert [store.read(a) for a in (*at, more)] == [b"one", b"two" * 100, b"three"]
-    index = exact_dedup.ExtendibleHash()
-    store.close(index)
-    assert (next(tmp_path.iterdir()) / "index").exists()
+    assert [store.read(a) for a in (*at, more)] == [b"one", b"two" * 100, b"", b"three"]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 64])
+def test_collisions_of_keys_are_compared_by_bytes(spark, tmp_path, bits):
+    """All texts, or halves of them, share one key; the operator must tell them apart."""
+    rng = random.Random(bits)
+    rows = [(i, None if i % 31 == 0 else f"text {rng.randrange(60)}" if i % 3 else "hot") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    key = None if bits == 64 else F.lit(0) if not bits else F.length("text") % 2
+    got = {r.doc_id: (r.keep_id, r.copies, r.kept) for r in exact_dedup.exact_duplicates(df, key=key, capacity=2, owner_rows=20, keep_files=f"file://{tmp_path}/index").collect()}
+    same = {}
+    for i, t in rows:
+        same.setdefault(t, []).append(i)
+    assert got == {i: (i, 1, True) if t is None else (same[t][0], len(same[t]), i == same[t][0]) for i, t in rows}
+    # what the owners left finds every text again
+    found = 0
+    for folder in (tmp_path / "index").iterdir():
+        log = exact_dedup.Log(pafs.LocalFileSystem(), str(folder / "pages"))
+        index, texts = exact_dedup.ExtendibleHash.opened(log, str(folder / "directory")), exact_dedup.Texts(pafs.LocalFileSystem(), str(folder / "texts"))
+        texts.log.number = 1 << 32
+        for number in range(len(index.at)):
+            for chain in index.page(number).chains.values():
+                read = [texts.read(at).decode() for _, _, at in chain]
+                assert len(set(read)) == len(read)
+                found += len(read)
+    assert found == len(same) - 1
 
 
 # line dedup --------------------------------------------------------------------
