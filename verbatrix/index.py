@@ -93,7 +93,7 @@ class Index:
         document's first if the reference has no anchor."""
         wanted = asked.select("query_id", F.split_part("ref", F.lit("#"), F.lit(1)).alias("doc_id"), F.split_part("ref", F.lit("#"), F.lit(2)).alias("want"))
         found = wanted.join(self.sections, "doc_id").where("want = '' or want = anchor")
-        return found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("line_start"))).where("n = 1").drop("n", "want")
+        return found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("line_start", T.icu(F.col("anchor")), T.icu(F.col("source_path"))))).where("n = 1").drop("n", "want")
 
     def missing_refs(self, asked: DataFrame) -> DataFrame:
         return asked.join(self.select_sections(asked).select("query_id"), "query_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ def _share(hits: Column, of: Column, empty: float) -> Column:
     return F.when(F.coalesce(F.size(of), F.lit(0)) <= 0, empty).otherwise(T.fixed(hits / F.size(of)))
 
 
-def score_required(answer: Column, points: Column) -> Column:
-    """Share of the points that the answer covers; ``||`` parts the alternatives of a point."""
-    text = normalize(answer)
+def score_required(text: Column, points: Column) -> Column:
+    """Share of the points that an answer covers; ``||`` parts the alternatives of a point.
+    ``text`` is the normalized answer; it should be a column, for it is read for each word."""
     hit = lambda p: F.exists(F.filter(F.transform(F.split(p, "\\|\\|"), T.js_trim), lambda a: a != ""), lambda a: F.coalesce(coverage(text, a) >= POINT_COVERAGE, F.lit(False)))
     return _share(F.size(F.filter(points, hit)), points, 1.0)
 
@@ -51,12 +53,14 @@ def extract_citations(answer: Column) -> Column:
 
 
 def score_citations(citations: Column, expected: Column, answer: Column) -> Column:
-    everything = F.lower(F.concat_ws("\n", F.array_join(F.coalesce(citations, F.array().cast("array<string>")), "\n"), F.coalesce(answer, F.lit(""))))
-    return _share(F.size(F.filter(expected, lambda e: everything.contains(F.lower(e)))), expected, 1.0)
+    whole = F.lower(F.concat_ws("\n", F.array_join(F.coalesce(citations, F.array().cast("array<string>")), "\n"), F.coalesce(answer, F.lit(""))))
+    # bound once as the only element of an array, not computed again for each expected one
+    hits = F.transform(F.array(whole), lambda w: F.size(F.filter(expected, lambda e: w.contains(F.lower(e)))))
+    return _share(F.element_at(hits, 1), expected, 1.0)
 
 
-def score_forbidden(answer: Column, claims: Column) -> Column:
-    text = normalize(answer)
+def score_forbidden(text: Column, claims: Column) -> Column:
+    """Share of the claims that an answer makes; ``text`` as for ``score_required``."""
     return _share(F.size(F.filter(claims, lambda c: F.coalesce(coverage(text, c) >= CLAIM_COVERAGE, F.lit(False)))), claims, 0.0)
 
 
@@ -71,12 +75,17 @@ def final_score(required: Column, citations: Column, judge: Column, forbidden: C
     return T.fixed(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - finite(forbidden) * 0.2)))
 
 
+def _bound(answer: Column, score: Callable[[Column, Column], Column], other: Column) -> Column:
+    """``score`` of the normalized answer, which is bound as the only element of an array."""
+    return F.element_at(F.transform(F.array(normalize(answer)), lambda text: score(text, other)), 1)
+
+
 def score_answers(answers: DataFrame) -> DataFrame:
     """``answers`` (answer_text, required_points, acceptable_citations,
     forbidden_claims and others) with their citations and scores."""
     a = F.col("answer_text")
     out = answers.withColumn("answer_citations", extract_citations(a))
-    out = out.withColumns({"required_points_score": score_required(a, F.col("required_points")), "citation_score": score_citations(F.col("answer_citations"), F.col("acceptable_citations"), a), "forbidden_claims_penalty": score_forbidden(a, F.col("forbidden_claims"))})
+    out = out.withColumns({"required_points_score": _bound(a, score_required, F.col("required_points")), "citation_score": score_citations(F.col("answer_citations"), F.col("acceptable_citations"), a), "forbidden_claims_penalty": _bound(a, score_forbidden, F.col("forbidden_claims"))})
     out = out.withColumn("judge_score", mock_judge(F.col("required_points_score"), F.col("citation_score")))
     return out.withColumn("comprehension_score", final_score(*map(F.col, ("required_points_score", "citation_score", "judge_score", "forbidden_claims_penalty"))))
 
@@ -199,10 +208,31 @@ def gates(current: DataFrame, baseline: DataFrame, tool: str, rival: str | None
 
 
 def grep_terms(question: Column) -> Column:
-    """Up to eight words of three or more characters, as one pattern."""
+    """Up to eight words of three or more characters."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0)), lambda w: ~w.isin(*GREP_STOP))
-    pattern = F.array_join(F.slice(F.array_distinct(words), 1, 8), "|")
-    return F.when(pattern == "", ".").otherwise(pattern)
+    return F.slice(F.array_distinct(words), 1, 8)
+
+
+def grep_hits(lines: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(case_id, rel_path, n): the first ``most`` lines (rel_path, n, line) that
+    contain one of a case's ``terms``, or that aren't empty where it has none.
+
+    A term lies within one run of word characters, so that the runs that contain it
+    are looked up in the vocabulary, by the term's first three characters. A case's first
+    lines are among the first lines of its terms, of which each file and then each term
+    gives no more than ``most``."""
+    low = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9_]{3,}"), F.lit(0))
+    runs = lines.select("rel_path", "n", F.explode(F.array_distinct(low)).alias("run"))
+    per_file = runs.groupBy("run", "rel_path").agg(F.slice(F.array_sort(F.collect_list("n")), 1, most).alias("ns"))
+    terms = asked.select("case_id", F.explode("terms").alias("term"))
+    grams = per_file.select("run").distinct().select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substring("run", i, F.lit(3))))).alias("gram"))
+    known = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3)).join(grams, "gram").where(F.col("run").contains(F.col("term"))).select("term", "run")
+    places = per_file.join(known, "run").select("term", "rel_path", F.explode("ns").alias("n")).distinct()
+    ranked = places.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy(T.icu(F.col("rel_path")), "n"))).where(F.col("k") <= most)
+    found = terms.join(ranked, "term").select("case_id", "rel_path", "n").distinct()
+    # any line: the same few for all cases without terms
+    any_line = lines.where("line <> ''").orderBy(T.icu(F.col("rel_path")), "n").limit(most).select("rel_path", "n")
+    return found.unionByName(asked.where(F.size("terms") == 0).select("case_id").crossJoin(F.broadcast(any_line)))
 
 
 def grep_retrieve(files: DataFrame, cases: DataFrame, max_blocks: int = 8, window: int = 5, per_file: int = 60, preview: int = 12) -> DataFrame:
@@ -211,15 +241,16 @@ def grep_retrieve(files: DataFrame, cases: DataFrame, max_blocks: int = 8, windo
     ``case_id, position, text, citation``. A case without a hit gets the start of
     the first file. The blocks of a case are as many as asked for, so that only
     their files are read again for the lines around the hits."""
-    asked = cases.select("case_id", F.concat(F.lit("(?i)"), grep_terms(F.col("question"))).alias("pattern"))
-    lines = files.where("content is not null").select("rel_path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
-    hit = lines.join(asked, F.expr("line rlike pattern")).select("case_id", "rel_path", (F.col("pos") + 1).alias("n"))
+    there = files.where("content is not null")
+    asked = cases.select("case_id", grep_terms(F.col("question")).alias("terms"))
+    lines = there.select("rel_path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).select("rel_path", (F.col("pos") + 1).alias("n"), "line")
+    hit = grep_hits(lines, asked, max_blocks)
     hit = hit.withColumn("in_file", F.row_number().over(Window.partitionBy("case_id", "rel_path").orderBy("n"))).where(F.col("in_file") <= per_file)
     hit = hit.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy(T.icu(F.col("rel_path")), "n"))).where(F.col("position") <= max_blocks)
-    around = hit.join(files, "rel_path").withColumn("all", F.split("content", "\n", -1))
+    around = hit.join(there, "rel_path").withColumn("all", F.split("content", "\n", -1))
     first, last = F.greatest(F.lit(1), F.col("n") - window), F.least(F.size("all"), F.col("n") + window)
     found = around.select("case_id", "position", T.js_trim(F.array_join(F.slice("all", first, last - first + 1), "\n")).alias("text"), F.concat(F.col("rel_path"), F.lit(":"), first, F.lit("-"), last).alias("citation")).where("text <> ''")
     without = asked.select("case_id").join(found.select("case_id").distinct(), "case_id", "left_anti")
-    start = files.where("content is not null").agg(F.min_by(F.struct("rel_path", "content"), T.icu(F.col("rel_path"))).alias("f")).where("f is not null")
-    fallback = without.crossJoin(start).select("case_id", F.lit(1).alias("position"), F.array_join(F.slice(F.split("f.content", "\n", -1), 1, preview), "\n").alias("text"), F.concat(F.col("f.rel_path"), F.lit(f":1-{preview}")).alias("citation"))
+    start = there.orderBy(T.icu(F.col("rel_path"))).limit(1)
+    fallback = without.crossJoin(F.broadcast(start)).select("case_id", F.lit(1).alias("position"), F.array_join(F.slice(F.split("content", "\n", -1), 1, preview), "\n").alias("text"), F.concat(F.col("rel_path"), F.lit(f":1-{preview}")).alias("citation"))
     return found.unionByName(fallback)

@@ -2,17 +2,20 @@
 
 Overlap is a set-similarity self-join. Sections with equal sets count as one;
 tokens are ordered from rare to frequent, and only prefixes that any pair above
-the threshold must share are joined, so that frequent tokens make no pairs.
+the threshold must share are joined. Where there is no threshold, sets that share only
+frequent items are compared by these items and their sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatrix.functions import text as T
 
 KEYWORD_LEAST, TOP = 0.2, 5
+#: Items of more sets than this make no pairs of sets; the sets that share only such items are found by signature.
+HEAVY = 256
 KINDS = ("heading_prev", "heading_next", "intra_doc_link", "keyword_overlap", "symbol_overlap")
 EDGE = ["src_ref", "dst_ref", "kind", "edge_type", "rank"]
 
@@ -21,17 +24,24 @@ def refs(sections: DataFrame) -> DataFrame:
     return sections.withColumn("ref", F.concat_ws("#", "doc_id", "anchor"))
 
 
+def _copy(last: bool = False) -> Column:
+    """Number of a section among those with its reference, in order or from the last."""
+    line, path = F.col("line_start"), T.icu(F.col("source_path"))
+    return F.row_number().over(Window.partitionBy("doc_id", "anchor").orderBy(*((line.desc(), path.desc()) if last else (line, path))))
+
+
 def adjacent(sections: DataFrame) -> DataFrame:
-    """Edges to the section before and after in the same document."""
-    doc = Window.partitionBy("doc_id").orderBy("line_start")
-    near = refs(sections).select("ref", F.lag("ref").over(doc).alias("before"), F.lead("ref").over(doc).alias("after"))
+    """Edges to the section before and after in the same document; those of the first section with a reference."""
+    doc = Window.partitionBy("doc_id").orderBy("line_start", T.icu(F.col("source_path")))
+    near = refs(sections).select("ref", F.lag("ref").over(doc).alias("before"), F.lead("ref").over(doc).alias("after"), _copy().alias("copy")).where("copy = 1")
     both = near.select(F.col("ref").alias("src_ref"), F.explode(F.array(F.struct(F.col("before").alias("dst_ref"), F.lit(0).alias("kind")), F.struct(F.col("after").alias("dst_ref"), F.lit(1).alias("kind")))).alias("e"))
     return both.where("e.dst_ref is not null").select("src_ref", "e.dst_ref", "e.kind", F.lit("heading_adjacent").alias("edge_type"), F.lit(1).alias("rank"))
 
 
 def links(sections: DataFrame) -> DataFrame:
     """Edges along markdown links, each target once; a target may not exist."""
-    found = refs(sections).select("ref", "doc_id", F.explode(F.split("body", "\n", -1)).alias("line")).select("ref", "doc_id", F.explode(F.regexp_extract_all("line", F.lit("\\[[^\\]]+\\]\\(([^)]+)\\)"), F.lit(1))).alias("target"))
+    own = refs(sections).withColumn("copy", _copy()).where("copy = 1")
+    found = own.select("ref", "doc_id", F.explode(F.split("body", "\n", -1)).alias("line")).select("ref", "doc_id", F.explode(F.regexp_extract_all("line", F.lit("\\[[^\\]]+\\]\\(([^)]+)\\)"), F.lit(1))).alias("target"))
     resolved = found.select(F.col("ref").alias("src_ref"), T.resolve_link(F.col("doc_id"), F.col("target")).alias("dst_ref")).where("dst_ref is not null").distinct()
     rank = F.row_number().over(Window.partitionBy("src_ref").orderBy(T.icu(F.col("dst_ref"))))
     return resolved.select("src_ref", "dst_ref", F.lit(2).alias("kind"), F.lit("intra_doc_link").alias("edge_type"), rank.alias("rank"))
@@ -43,38 +53,49 @@ def keyword_sets(units: DataFrame) -> DataFrame:
 
 
 def symbol_sets(sections: DataFrame) -> DataFrame:
-    """(ref, item): symbol-like words of each section's lines and code."""
+    """(ref, item): symbol-like words of each section's lines and code; of sections with one reference the last counts."""
     text = F.concat_ws("\n", F.col("body"), F.array_join("code_blocks", "\n"))
-    return refs(sections).select("ref", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(T.SYMBOL_WORD), F.lit(0)), T.js_trim))).alias("item")).distinct()
+    own = refs(sections).withColumn("copy", _copy(last=True)).where("copy = 1")
+    return own.select("ref", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(T.SYMBOL_WORD), F.lit(0)), T.js_trim))).alias("item")).distinct()
 
 
-def overlap(sets: DataFrame, least: float, top: int = TOP) -> DataFrame:
+def overlap(sets: DataFrame, least: float, top: int = TOP, heavy: int = HEAVY) -> DataFrame:
     """(src_ref, dst_ref, score, rank): for each ref of ``sets`` (ref, item) the
     ``top`` others of largest Jaccard similarity, ``least`` or more and above 0; ties by
-    ref. Items of one 64-bit hash count as one."""
+    ref. Items of one 64-bit hash count as one.
+
+    With a threshold only prefixes are joined, and of a pair that meets at an item
+    only as much can agree as follows it. Without one, items of more than ``heavy``
+    sets aren't joined: what shares nothing else is found by ``_by_signature``."""
     # items as 64-bit hashes: what is compared and shuffled is numbers
     sets = sets.select("ref", F.xxhash64("item").alias("item")).distinct()
     df = sets.groupBy("item").agg(F.count("*").alias("df"))
-    own = sets.join(df, "item").groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("items"))
+    own = sets.join(df, "item").groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("counted"))
+    common_from = F.size(F.filter("counted", lambda x: x["df"] <= heavy)) if least <= 0 else F.size("counted")
+    own = own.select("ref", F.transform("counted", lambda x: x["item"]).alias("items"), common_from.alias("rare"))
     own = own.withColumn("sid", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256))
-    distinct = own.groupBy("sid").agg(F.first("items").alias("items"))
+    distinct = own.groupBy("sid").agg(F.first("items").alias("items"), F.first("rare").alias("rare"))
     # of equal sets the first top + 1 refs are enough for anyone's best
     member = own.select("sid", "ref", F.row_number().over(Window.partitionBy("sid").orderBy(T.icu(F.col("ref")))).alias("n")).where(F.col("n") <= top + 1).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "ref"))).alias("members"))
     size = F.size("items")
     # a pair above the threshold shares an item among the rarest of each: all but ceil(least * size) - 1
-    head = F.slice("items", F.lit(1), F.greatest(F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)) if least > 0 else F.col("items")
-    side = distinct.withColumn("head", head).withColumn("item", F.explode("head"))
-    x = side.select("item", *[F.col(c).alias(f"x_{c}") for c in ("sid", "items", "head")])
-    y = side.select("item", *[F.col(c).alias(f"y_{c}") for c in ("sid", "items", "head")])
+    length = F.greatest(F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1) if least > 0 else F.col("rare")
+    side = distinct.withColumn("head", F.slice("items", F.lit(1), length)).select("*", F.posexplode("head").alias("at", "item"))
+    x = side.select("item", *[F.col(c).alias(f"x_{c}") for c in ("sid", "items", "head", "at")])
+    y = side.select("item", *[F.col(c).alias(f"y_{c}") for c in ("sid", "items", "head", "at")])
     near = x.join(y, "item").where("x_sid < y_sid")
+    nx, ny = F.size("x_items"), F.size("y_items")
     if least > 0:
-        near = near.where((F.size("y_items") >= F.size("x_items") * least - 1e-9) & (F.size("x_items") >= F.size("y_items") * least - 1e-9))
+        most = F.least(nx - F.col("x_at"), ny - F.col("y_at"))
+        near = near.where((ny >= nx * least - 1e-9) & (nx >= ny * least - 1e-9) & (most * (1 + least) >= (nx + ny) * least - 1e-9))
     # each pair once, at the first item that both prefixes share
     near = near.where(F.element_at(F.array_intersect("x_head", "y_head"), 1) == F.col("item"))
     both = F.size(F.array_intersect("x_items", "y_items"))
-    near = near.select("x_sid", "y_sid", (both / (F.size("x_items") + F.size("y_items") - both)).alias("score")).where(F.col("score") >= least)
+    near = near.select("x_sid", "y_sid", (both / (nx + ny - both)).alias("score")).where(F.col("score") >= least)
     pairs = near.unionByName(near.select(F.col("y_sid").alias("x_sid"), F.col("x_sid").alias("y_sid"), "score")).unionByName(distinct.select(F.col("sid").alias("x_sid"), F.col("sid").alias("y_sid"), F.lit(1.0).alias("score")))
     offered = pairs.join(member.withColumnRenamed("sid", "y_sid"), "y_sid").select("x_sid", "score", F.explode(F.col("members.ref")).alias("dst_ref"))
+    if least <= 0:
+        offered = offered.unionByName(_by_signature(own, distinct, top)).groupBy("x_sid", "dst_ref").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("x_sid").orderBy(F.desc("score"), T.icu(F.col("dst_ref"))))
     offered = offered.withColumn("n", best).where(F.col("n") <= top + 1).drop("n")
     final = own.select(F.col("ref").alias("src_ref"), F.col("sid").alias("x_sid")).join(offered, "x_sid").where("src_ref <> dst_ref")
@@ -82,6 +103,29 @@ def overlap(sets: DataFrame, least: float, top: int = TOP) -> DataFrame:
     return final.select("src_ref", "dst_ref", "score", rank.alias("rank")).where(F.col("rank") <= top)
 
 
+def _by_signature(own: DataFrame, distinct: DataFrame, top: int) -> DataFrame:
+    """(x_sid, dst_ref, score): the best others by frequent items alone.
+
+    A set's frequent items are its signature. If two sets share nothing else, their
+    similarity follows from the signatures and sizes, and falls with the other's
+    size: of each signature the ``top`` + 1 smallest sets, by ref, are enough.
+    Where more is shared the score here is too low, and the true one comes from the rare item."""
+    tail = F.slice("items", F.col("rare") + 1, F.greatest(F.lit(0), F.size("items") - F.col("rare")))
+    named = lambda df: df.where("rare < size(items)").withColumns({"tail": tail, "size": F.size("items")}).withColumn("sign", F.sha2(F.array_join(F.transform("tail", lambda x: x.cast("string")), ","), 256))
+    sets = named(distinct)
+    signs = sets.groupBy("sign").agg(F.first("tail").alias("tail"))
+    smallest = F.row_number().over(Window.partitionBy("sign").orderBy("size", T.icu(F.col("ref"))))
+    offers = named(own).withColumn("n", smallest).where(F.col("n") <= top + 1).select(F.col("sign").alias("y_sign"), F.col("ref").alias("dst_ref"), F.col("size").alias("y_size"))
+    x, y = (signs.select(F.col("sign").alias(f"{s}_sign"), F.col("tail").alias(f"{s}_tail"), F.explode("tail").alias("item")) for s in "xy")
+    met = x.join(y, "item").where(F.element_at(F.array_intersect("x_tail", "y_tail"), 1) == F.col("item")).select("x_sign", "y_sign", F.size(F.array_intersect("x_tail", "y_tail")).alias("both"))
+    # once for each signature and size, not for each set
+    kinds = sets.select(F.col("sign").alias("x_sign"), F.col("size").alias("x_size")).distinct()
+    rated = kinds.join(met, "x_sign").join(offers, "y_sign").withColumn("score", F.col("both") / (F.col("x_size") + F.col("y_size") - F.col("both")))
+    best = F.row_number().over(Window.partitionBy("x_sign", "x_size").orderBy(F.desc("score"), T.icu(F.col("dst_ref"))))
+    rated = rated.withColumn("n", best).where(F.col("n") <= top + 1).select("x_sign", "x_size", "dst_ref", "score")
+    return sets.select(F.col("sid").alias("x_sid"), F.col("sign").alias("x_sign"), F.col("size").alias("x_size")).join(rated, ["x_sign", "x_size"]).select("x_sid", "score", "dst_ref")
+
+
 def keyword_overlap(units: DataFrame) -> DataFrame:
     return overlap(keyword_sets(units), KEYWORD_LEAST).select("src_ref", "dst_ref", F.lit(3).alias("kind"), F.lit("keyword_overlap").alias("edge_type"), "rank", "score")
 

@@ -1,12 +1,17 @@
 """Markdown documents to sections, lines and evidence units.
 
-``files`` has rel_path and content. Documents are hashed by id once, before
-their lines are exploded; all windows and groups below are by document and
-need no further shuffle.
+``files`` has rel_path and content. A file is parsed by itself: its path is its
+key, for different paths may give one document id. Files are hashed by path once,
+before their lines are exploded; windows and groups below are by file and
+need no further shuffle. Only units are then made unique by document id.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +26,19 @@ def lines(files: DataFrame) -> DataFrame:
     line_start, line_end, line, text; heading lines have ``is_head``."""
     docs = files.where("content is not null").select(T.to_doc_id(F.col("rel_path")).alias("doc_id"), F.col("rel_path").alias("source_path"), "content")
     # by number, for parsing costs more than its bytes tell: small inputs aren't coalesced into few tasks
-    docs = docs.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    docs = docs.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_path")
     raw = docs.select("doc_id", "source_path", F.posexplode(F.split("content", "\r?\n", -1)).alias("pos", "text")).withColumn("line", F.col("pos") + 1)
     head = "^(#{1,6})\\s+(.+?)\\s*$"
-    doc = Window.partitionBy("doc_id")
+    doc = Window.partitionBy("source_path")
     marked = raw.withColumn("is_mark", F.col("text").rlike(head)).withColumn("any_mark", F.max("is_mark").over(doc)).withColumn("n_lines", F.max("line").over(doc))
     # without a heading the first line stands for one and is lost from the body
     marked = marked.withColumn("is_head", F.col("is_mark") | (~F.col("any_mark") & (F.col("line") == 1)))
     heading = F.when(F.col("is_mark"), F.regexp_extract("text", head, 2)).when(F.col("is_head"), "Document")
     marked = marked.withColumn("own_heading", heading).withColumn("base", T.anchor(F.col("own_heading")))
     marked = marked.withColumn("ord", F.sum(F.col("is_head").cast("int")).over(doc.orderBy("line"))).where("ord > 0")
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "base", "is_head").orderBy("line")) - 1
+    repeat = F.row_number().over(Window.partitionBy("source_path", "base", "is_head").orderBy("line")) - 1
     marked = marked.withColumn("own_anchor", F.when(F.col("is_head"), F.when(repeat == 0, F.col("base")).otherwise(F.concat_ws("-", "base", repeat))))
-    section = Window.partitionBy("doc_id", "ord")
+    section = Window.partitionBy("source_path", "ord")
     return marked.select(
         "doc_id", "source_path", "ord", F.max("own_anchor").over(section).alias("anchor"), F.max("own_heading").over(section).alias("heading"),
         F.min("line").over(section).alias("line_start"), F.max("line").over(section).alias("line_end"), "line", "text", "is_head",
@@ -43,7 +48,7 @@ def lines(files: DataFrame) -> DataFrame:
 def with_fences(body: DataFrame) -> DataFrame:
     """Body lines (no headings) with ``is_fence``, the number of fences so far in
     the section ``fences`` and in all ``all_fences``."""
-    section = Window.partitionBy("doc_id", "ord")
+    section = Window.partitionBy("source_path", "ord")
     fenced = body.where("not is_head").withColumn("is_fence", T.js_trim(F.col("text")).startswith("```"))
     return fenced.withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(section.orderBy("line"))).withColumn("all_fences", F.sum(F.col("is_fence").cast("int")).over(section))
 
@@ -55,7 +60,7 @@ def _joined(order: str, text: str, sep: str):
 def code_blocks(fenced: DataFrame) -> DataFrame:
     """Closed fenced blocks with text: doc_id, ord, anchor, heading, block, line_start, line_end, text."""
     inside = fenced.where("fences % 2 = 1 or (is_fence and fences % 2 = 0)").withColumn("block", F.floor((F.col("fences") + 1) / 2).cast("int"))
-    grouped = inside.where("all_fences >= 2 * block").groupBy("doc_id", "ord", "anchor", "heading", "block").agg(
+    grouped = inside.where("all_fences >= 2 * block").groupBy("source_path", "ord", "doc_id", "anchor", "heading", "block").agg(
         F.min("line").alias("line_start"), F.max("line").alias("line_end"),
         T.js_trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_fence"), F.struct("line", "text")))), lambda x: x["text"]), "\n")).alias("text"),
     )
@@ -64,13 +69,13 @@ def code_blocks(fenced: DataFrame) -> DataFrame:
 
 def prose_blocks(fenced: DataFrame) -> DataFrame:
     """Runs of prose lines: doc_id, ord, anchor, heading, line_start, line_end, is_step, text."""
-    section = Window.partitionBy("doc_id", "ord").orderBy("line")
+    section = Window.partitionBy("source_path", "ord").orderBy("line")
     prose = fenced.withColumn("is_prose", ~F.col("is_fence") & (F.col("fences") % 2 == 0) & (T.js_trim(F.col("text")) != ""))
     prose = prose.withColumn("is_bullet", F.col("is_prose") & F.col("text").rlike(BULLET))
     follows = F.coalesce(F.lag(F.col("is_prose") & ~F.col("is_bullet")).over(section), F.lit(False))
     prose = prose.withColumn("starts", F.col("is_prose") & (F.col("is_bullet") | ~follows)).withColumn("block", F.sum(F.col("starts").cast("int")).over(section))
     own = T.js_trim(F.regexp_replace(T.js_trim(F.col("text")), BULLET, ""))
-    grouped = prose.where("is_prose").withColumn("own", own).groupBy("doc_id", "ord", "anchor", "heading", "block").agg(
+    grouped = prose.where("is_prose").withColumn("own", own).groupBy("source_path", "ord", "doc_id", "anchor", "heading", "block").agg(
         F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.bool_or("is_bullet").alias("is_step"), T.js_trim(_joined("line", "own", " ")).alias("text")
     )
     return grouped.where("text <> ''")
@@ -78,14 +83,14 @@ def prose_blocks(fenced: DataFrame) -> DataFrame:
 
 def inline_commands(fenced: DataFrame) -> DataFrame:
     """Code spans that look like commands, one row for each occurrence."""
-    spans = fenced.select("doc_id", "ord", "anchor", "heading", "line", F.posexplode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), F.lit(1))).alias("at", "span"))
+    spans = fenced.select("source_path", "doc_id", "ord", "anchor", "heading", "line", F.posexplode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), F.lit(1))).alias("at", "span"))
     spans = spans.withColumn("text", T.js_trim(F.col("span"))).where(T.is_inline_command(F.col("text")))
-    return spans.select("doc_id", "ord", "anchor", "heading", "line", "at", T.truncate(F.col("text"), 440).alias("text"))
+    return spans.select("source_path", "doc_id", "ord", "anchor", "heading", "line", "at", T.truncate(F.col("text"), 440).alias("text"))
 
 
 def windows(prose: DataFrame) -> DataFrame:
     """Sentence windows of prose blocks; ``at`` counts them in their block."""
-    block = ["doc_id", "ord", "anchor", "heading", "line_start", "line_end", "is_step"]
+    block = ["source_path", "doc_id", "ord", "anchor", "heading", "line_start", "line_end", "is_step"]
     # in steps, so that the text is parted once and not again for each window
     pairs = prose.select(*block, T.sentences(F.col("text")).alias("parts")).select(*block, F.posexplode(T.sentence_pairs(F.col("parts"))).alias("at", "whole"))
     return pairs.select(*block, "at", T.truncate(F.col("whole"), 440).alias("text"))
@@ -94,9 +99,9 @@ def windows(prose: DataFrame) -> DataFrame:
 def sections(body: DataFrame) -> DataFrame:
     """One row for each section, its text without code and markup."""
     fenced = with_fences(body)
-    blocks = code_blocks(fenced).groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]).alias("code_blocks"))
-    key = ["doc_id", "ord"]
-    grouped = body.groupBy(*key, "source_path", "anchor", "heading", "line_start", "line_end").agg(
+    blocks = code_blocks(fenced).groupBy("source_path", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]).alias("code_blocks"))
+    key = ["source_path", "ord"]
+    grouped = body.groupBy(*key, "doc_id", "anchor", "heading", "line_start", "line_end").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line", "text")))), lambda x: x["text"]), "\n").alias("body")
     )
     text = T.squeeze(F.regexp_replace(F.regexp_replace("body", "(?s)```.*?```", " "), "(?m)^#{1,6}\\s+", ""))
@@ -112,12 +117,12 @@ def sections(body: DataFrame) -> DataFrame:
 def units(body: DataFrame, library: str = LIBRARY, version: str = VERSION) -> DataFrame:
     """Evidence units: the smallest passages that can be cited."""
     fenced = with_fences(body)
-    code = code_blocks(fenced).select("doc_id", "ord", "anchor", "heading", "line_start", "line_end", F.lit("command").alias("type"), T.truncate(F.col("text"), 440).alias("text"), F.lit(0).alias("kind"), F.lit(0).alias("at"))
-    prose = windows(prose_blocks(fenced)).select("doc_id", "ord", "anchor", "heading", "line_start", "line_end", T.classify_unit(F.col("text"), F.col("heading"), F.col("is_step")).alias("type"), "text", F.lit(1).alias("kind"), "at")
-    inline = inline_commands(fenced).select("doc_id", "ord", "anchor", "heading", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit("command").alias("type"), "text", F.lit(2).alias("kind"), "at")
+    code = code_blocks(fenced).select("source_path", "doc_id", "ord", "anchor", "heading", "line_start", "line_end", F.lit("command").alias("type"), T.truncate(F.col("text"), 440).alias("text"), F.lit(0).alias("kind"), F.lit(0).alias("at"))
+    prose = windows(prose_blocks(fenced)).select("source_path", "doc_id", "ord", "anchor", "heading", "line_start", "line_end", T.classify_unit(F.col("text"), F.col("heading"), F.col("is_step")).alias("type"), "text", F.lit(1).alias("kind"), "at")
+    inline = inline_commands(fenced).select("source_path", "doc_id", "ord", "anchor", "heading", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit("command").alias("type"), "text", F.lit(2).alias("kind"), "at")
     every = code.unionByName(prose).unionByName(inline).withColumn("text_hash", T.hash_text(F.lower("text")))
     # of equal units the first emitted stays
-    same = Window.partitionBy("doc_id", "anchor", "line_start", "line_end", "text_hash", "type").orderBy("ord", "kind", "at", "text")
+    same = Window.partitionBy("doc_id", "anchor", "line_start", "line_end", "text_hash", "type").orderBy(T.icu(F.col("source_path")), "ord", "kind", "at", "text")
     first = every.withColumn("copy", F.row_number().over(same)).where("copy = 1")
     return first.select(
         F.concat(F.lit("unit_"), F.substring(T.hash_text(F.concat_ws("|", "doc_id", "anchor", "line_start", "type", "text")), 1, 12)).alias("unit_id"),
@@ -128,7 +133,19 @@ def units(body: DataFrame, library: str = LIBRARY, version: str = VERSION) -> Da
 
 
 def source_hash(files: DataFrame) -> DataFrame:
-    """One row ``source_hash``: a digest of all paths and contents in order of path.
-    The sorted list of digests is gathered in one place, 64 characters and a path for each file."""
-    entry = files.select(F.concat_ws(":", "rel_path", T.hash_text(F.col("content"))).alias("entry"))
-    return entry.agg(F.concat(F.lit("sha256:"), T.hash_text(F.array_join(F.array_sort(F.collect_list("entry")), "\n"))).alias("source_hash"))
+    """One row ``source_hash``: the digest of all lines ``path:digest of the content`` in order.
+
+    A digest of one sequence can't be combined from parts. Contents are hashed where they
+    lie; the lines, a path and 64 characters for each file, pass sorted through one task,
+    which holds one batch of them at a time and spills what it sorts."""
+    entry = files.where("content is not null").select(F.concat_ws(":", "rel_path", T.hash_text(F.col("content"))).alias("entry"))
+    return entry.repartition(1).sortWithinPartitions("entry").mapInArrow(_digest, "source_hash string")
+
+
+def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest, sep = hashlib.sha256(), b""
+    for batch in it:
+        for line in batch.column(0).to_pylist():
+            digest.update(sep + line.encode())
+            sep = b"\n"
+    yield pa.RecordBatch.from_arrays([pa.array(["sha256:" + digest.hexdigest()])], ["source_hash"])

@@ -1,15 +1,20 @@
 """Lexical retrieval with transparent scores under token budgets, for batches of queries.
 
-Every unit is a candidate of every query, yet no cross product is made. Units
-that share a token or flag with a query are found through an equi-join by
-token. For all others the score depends only on the unit and on three
-properties of the query, of which there are at most eight combinations: their
-best units are ranked once for each combination. A unit's true score is never
-below the one it has without hits, so that the union holds every query's best.
+Every unit is a candidate of every query. Units are range partitioned once, in
+the order that settles ties, and each chunk of them meets the queries in blocks:
+a query's weights are added along the postings of its tokens, for all units of
+the chunk at once, and only the chunk's best units of each query leave it. The
+sums run in the order of the query's tokens, as the column expressions below do,
+so that both give the same score to the last digit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +23,8 @@ from verbatrix.functions import text as T
 BUDGET, MAX_ITEMS, DEPTH = 600, 5, 20
 MAX_SIMILARITY = 0.85
 UNIT = ["unit_id", "doc_id", "anchor", "ref", "line_start", "line_end", "type", "text", "text_hash", "citation_id", "token_estimate", "source_path"]
-CLASS = ["intent", "acts", "has_letter"]
+#: Units of a chunk and queries of a block at most, about.
+CHUNK, BLOCK = 1 << 16, 512
 
 
 def profiles(queries: DataFrame) -> DataFrame:
@@ -51,7 +57,8 @@ def weighted(profiled: DataFrame, df: DataFrame, units: DataFrame) -> DataFrame:
 
 def prepared(units: DataFrame, sections: DataFrame) -> DataFrame:
     """Units with what scoring needs of them and of their section."""
-    own = sections.select("doc_id", "anchor", "source_path", "ord").groupBy("doc_id", "anchor").agg(F.max_by("source_path", "ord").alias("source_path"))
+    # of sections with one reference the last one counts
+    own = sections.select("doc_id", "anchor", "source_path", "line_start").groupBy("doc_id", "anchor").agg(F.max_by("source_path", F.struct("line_start", T.icu(F.col("source_path")))).alias("source_path"))
     joined = units.join(own, ["doc_id", "anchor"], "left").withColumn("source_path", F.coalesce("source_path", F.lit("")))
     return marked(joined)
 
@@ -112,28 +119,85 @@ def _order(score: str) -> list[Column]:
     return [F.desc(score), T.icu(F.col("doc_id")), T.icu(F.col("anchor")), F.col("line_start"), F.col("unit_id"), F.col("text_hash"), F.col("line_end")]
 
 
-def pairs_of(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Units (``marked``) with the queries (``weighted``) for which they may be
-    among the best: all that share a token or flag, and the best of the others."""
-    units = units.withColumn("all_words", F.array_distinct(F.concat("words", "heading_words")))
-    asked = queries.withColumn("token", F.explode("tokens"))
-    # a pair that shares several tokens is made at the first of them only
-    by_token = units.withColumn("token", F.explode("all_words")).join(asked, "token").where(F.element_at(F.array_intersect("all_words", "tokens"), 1) == F.col("token")).drop("token")
-    apart = ~F.arrays_overlap("all_words", "tokens")
-    by_flag = units.where(F.col("text").contains("--")).join(queries.where(F.size("flags") > 0), apart & _flag_matched())
-    classes = queries.groupBy(*CLASS).agg(F.max("max_items").alias("most"))
-    symbol, command = _boosts(F.lit(False))
-    bare = units.crossJoin(classes).withColumn("bare", T.fixed(_base(F.lit(0.0), F.lit(0.0), symbol, command, F.col("cost"))))
-    # scores have four digits, so that their counts are few: they give the score below which nothing is
-    # among the best, and only what reaches it is put in order
-    counts = bare.groupBy(*CLASS, "bare").agg(F.count("*").alias("n"), F.first("most").alias("most"))
-    above = F.sum("n").over(Window.partitionBy(*CLASS).orderBy(F.desc("bare"))) - F.col("n")
-    least = counts.withColumn("above", above).where(F.col("above") < F.col("most") * DEPTH).groupBy(*CLASS).agg(F.min("bare").alias("least"))
-    best = bare.join(F.broadcast(least), CLASS).where(F.col("bare") >= F.col("least"))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*CLASS).orderBy(*_order("bare")))).where(F.col("rank") <= F.col("most") * DEPTH).drop("rank", "bare", "most", "least")
-    others = best.join(queries, CLASS).where(apart & ~_flag_matched())
-    columns = by_flag.columns
-    return by_token.select(columns).unionByName(by_flag).unionByName(others.select(columns))
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """``T.fixed`` to four digits."""
+    a = np.abs(x)
+    t = a * 134217729.0
+    high = t - (t - a)
+    p = a * 10000.0
+    err = (high * 10000.0 - p) + (a - high) * 10000.0
+    whole = np.floor(p)
+    frac = p - whole
+    return np.sign(x) * (whole + ((frac > 0.5) | ((frac == 0.5) & (err >= 0)))) / 10000.0 + 0.0
+
+
+def _postings(lists: pa.Array, tokens: pa.Array) -> list[np.ndarray]:
+    """For each token the numbers of the lists that have it."""
+    code = pc.index_in(lists.flatten(), tokens)
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    some = code.is_valid().to_numpy(zero_copy_only=False)
+    code, row = code.drop_null().to_numpy().astype(np.int64), row[some]
+    order = np.argsort(code, kind="stable")
+    return np.split(row[order], np.searchsorted(code[order], np.arange(1, len(tokens))))
+
+
+def _best_of(columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best units of a chunk for each query of a block."""
+    def run(units: pa.Table, queries: pa.Table) -> pa.Table:
+        units = units.sort_by("ordinal").combine_chunks()
+        n, taken, owners = units.num_rows, [], []
+        col = lambda c: units[c].combine_chunks() if units[c].num_chunks != 1 else units[c].chunk(0)
+        if n and queries.num_rows:
+            asked = queries.to_pylist()
+            number = {t: i for i, t in enumerate(sorted({t["token"] for q in asked for t in q["terms"]}))}
+            tokens = pa.array(list(number), pa.string())
+            own, heads = (_postings(col(c), tokens) if number else [] for c in ("words", "heading_words"))
+            some, some_heads = (pc.list_value_length(col(c)).to_numpy(zero_copy_only=False) > 0 for c in ("words", "heading_words"))
+            kind = lambda *k: pc.is_in(col("type"), pa.array(k)).to_numpy(zero_copy_only=False)
+            command, acting, stating = kind("command"), kind("command", "step"), kind("definition", "constraint")
+            symbol, low, cost = (col(c).to_numpy(zero_copy_only=False) for c in ("has_symbol", "low_signal", "cost"))
+            for q in asked:
+                hit, head, total = np.zeros(n), np.zeros(n), 0.0
+                for t in q["terms"]:
+                    total += t["w"]
+                    hit[own[number[t["token"]]]] += t["w"]
+                    head[heads[number[t["token"]]]] += t["w"]
+                share = lambda x, there: np.where(there, x / total, 0.0) if total > 0 else np.zeros(n)
+                flagged, action = np.zeros(n, bool), q["intent"] == "action"
+                for f in q["flags"]:
+                    flagged |= pc.fill_null(pc.match_substring(col("dashed"), f), False).to_numpy(zero_copy_only=False)
+                mild = command & low & ~flagged if not action else np.zeros(n, bool)
+                lexical, heading = share(hit, some) * np.where(mild, 0.7, 1.0), share(head, some_heads) * np.where(mild, 0.8, 1.0)
+                symbols = np.where(flagged | (symbol & (action and q["has_letter"])), 1.0, 0.0)
+                commands = np.where(acting & q["acts"], 1.0, 0.0) if action else np.where(stating, 0.5, 0.0)
+                score = _rounded(0.55 * lexical + 0.15 * heading + 0.1 * symbols + 0.1 * commands - 0.25 * cost)
+                most = min(n, q["most"])
+                # of equal scores the first in order of the units
+                last = np.partition(score, n - most)[n - most]
+                above, level = np.flatnonzero(score > last), np.flatnonzero(score == last)
+                best = np.concatenate([above, level[: most - len(above)]])
+                taken.append(best)
+                owners += [q["query_id"]] * len(best)
+        rows = units.select(columns).take(pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int64)))
+        return rows.append_column("query_id", pa.array(owners, queries.schema.field("query_id").type))
+
+    return run
+
+
+def best_units(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """Units (``marked``) with the queries (``weighted``) for which they are among
+    the best of their chunk: all that can be among a query's best."""
+    spark, columns = units.sparkSession, units.columns
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // CHUNK))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    order = [c for c in _order("cost")[1:]]
+    ranged = units.withColumn("dashed", F.when(F.col("text").contains("--"), F.lower("text"))).repartitionByRange(chunks, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumns({"ordinal": F.monotonically_increasing_id(), "chunk": F.spark_partition_id()}).withColumn("block", every(blocks))
+    asked = queries.select("query_id", "terms", "flags", "intent", "acts", "has_letter", (F.col("max_items") * DEPTH).alias("most"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("chunk", every(chunks))
+    schema = units.schema.add("query_id", queries.schema["query_id"].dataType)
+    best = ranged.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInArrow(_best_of(columns), schema)
+    return best.join(queries, "query_id")
 
 
 def candidates(units: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
@@ -145,7 +209,7 @@ def candidates(units: DataFrame, queries: DataFrame, within: DataFrame | None =
         return _ranked(bound)
     free, bound = queries.where("refs is null"), queries.where("refs is not null")
     within = units.join(bound.withColumn("ref", F.explode(F.array_distinct("refs"))), "ref")
-    pairs = pairs_of(units, free).drop("all_words")
+    pairs = best_units(units, free)
     return _ranked(pairs.unionByName(within.select(pairs.columns)))
 
 

@@ -126,7 +126,7 @@ def oracle_sql() -> dict[str, str]:
         "code_locations": f"{_CODE}, e AS ({_ENV}), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source_path, line) AS n, count(*) OVER (PARTITION BY name) AS total FROM e) SELECT name, string_agg(source_path || ':' || line, ', ' ORDER BY n) FILTER (WHERE n <= 3) || CASE WHEN max(total) > 3 THEN ', +' || (max(total) - 3) || ' more' ELSE '' END AS places FROM r GROUP BY name",
         "trust_scan": "SELECT rel_path, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN {n} END" for n, p in enumerate(T.SUSPICIOUS, 1)) + "], lambda x: x IS NOT NULL), '|') AS patterns FROM (SELECT CAST(page_id AS VARCHAR) AS rel_path, concat_ws(chr(10), html, 'send us your token', 'Ignore previous instructions') AS content FROM pages)",
         "host_policy": "SELECT page_id, CASE WHEN host = '' OR host IS NULL THEN 'invalid' WHEN host = 'blocked.example.com' THEN 'blocked' ELSE 'allowed' END AS verdict FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages)",
-        "fetch_limits": f"WITH files AS ({sql.FILES}), sized AS (SELECT doc_id || '.md' AS rel_path, CAST(strlen(content) AS BIGINT) AS bytes FROM files) SELECT rel_path, bytes, count(*) OVER w AS files_so_far, CAST(sum(bytes) OVER w AS BIGINT) AS bytes_so_far, count(*) OVER w > 150 OR sum(bytes) OVER w > 1000000 AS violates FROM sized WINDOW w AS (ORDER BY rel_path ROWS UNBOUNDED PRECEDING)",
+        "fetch_limits": f"WITH files AS ({sql.FILES}), sized AS (SELECT path AS rel_path, CAST(strlen(content) AS BIGINT) AS bytes FROM files) SELECT rel_path, bytes, count(*) OVER w AS files_so_far, CAST(sum(bytes) OVER w AS BIGINT) AS bytes_so_far, count(*) OVER w > 150 OR sum(bytes) OVER w > 1000000 AS violates FROM sized WINDOW w AS (ORDER BY rel_path ROWS UNBOUNDED PRECEDING)",
         "discover": f"""WITH q AS (SELECT DISTINCT p_brand AS query_id, 'part ' || p_brand AS query FROM part), c AS (SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS name, 'part:' || p_partkey AS selector, lower('p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || ' ' || concat_ws(' ', p_name, p_brand, p_type)) AS about, p_size / 50.0::DOUBLE AS trust_score FROM part),
             m AS (SELECT query_id, name, selector, trust_score, len(list_filter(tokens, lambda t: contains(about, t)))::DOUBLE / len(tokens) AS raw FROM c, (SELECT query_id, {sql.tokens('query')} AS tokens FROM q)), s AS (SELECT *, {sql.fixed('raw', 3)} AS confidence FROM m)
             SELECT query_id, position, name, selector, confidence, trust_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, trust_score DESC, name, selector) AS position FROM s) WHERE position <= 5""",

@@ -1,38 +1,64 @@
 """Parsing, evidence, graph and retrieval over ``documents`` as a markdown corpus.
 
-A document becomes a markdown file with two headings around its whole text, a
-list item, a fenced block, a link and an inline command.
+A document becomes a markdown file with its whole text between headings, a
+list item, a fenced block, a link and an inline command. What follows varies by its
+number: a heading that is there already, a second block and one that is left open,
+links to itself, to another document and out of the corpus. Some files share a document id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatrix.functions import text as T
 from verbatrix.index import Index
 from verbatrix.operators import graph, markdown, retrieval
 from verbatrix.plans import sql
+from verbatrix.sources import shared
 
 ASKED = (("q1", "how to run the job"), ("q2", "What is the difference between en and fr?"), ("q3", "npm run --flag"), ("q4", "how to use it"), ("q5", "configure api example"))
 
 
+def path_of() -> Column:
+    """Every fifth document is the index of a folder with the name of the one before, and shares its document id."""
+    number = lambda x: F.concat(F.lit("d"), F.lpad(x.cast("string"), 8, "0"))
+    return F.when(F.col("doc_id") % 5 == 3, F.concat(number(F.col("doc_id") - 1), F.lit("/index.md"))).otherwise(F.concat(number(F.col("doc_id")), F.lit(".md")))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rest = F.col("doc_id") % 4
+    half = F.lpad(F.floor(F.col("doc_id") / 2).cast("string"), 8, "0")
+    more = (
+        F.when(rest == 1, F.concat(F.lit("\n\n## "), "lang", F.lit("\n\nYou must read "), "source", F.lit(" again. It is `git log --stat` that shows it.")))
+        .when(rest == 2, F.concat(F.lit("\n\n### Overview of "), "source", F.lit("\n\nA block means its lines.\n\n```\nmake "), "lang", F.lit(" --all\n```\n* Build x"), (F.col("doc_id") % 7).cast("string"), F.lit(".y(z)\n```\nleft open")))
+        .when(rest == 3, F.concat(F.lit("\n\n["), "lang", F.lit("](#"), "lang", F.lit("), [up](d"), half, F.lit(".md#"), "source", F.lit(") and [out](https://example.com/x#y)")))
+        .otherwise("")
+    )
     content = F.concat(
         F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n\n## "), "lang", F.lit("\n\n- Run the job\n\n```bash\ncurl https://api.example.com/"), "lang",
-        F.lit("\n```\n\nSee [next](#"), "source", F.lit(") and `npm run x --flag` to call api.run(job)."),
+        F.lit("\n```\n\nSee [next](#"), "source", F.lit(") and `npm run x --flag` to call api.run(job)."), more,
     )
-    return docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md")).alias("rel_path"), content.alias("content"))
+    return docs.select(path_of().alias("rel_path"), content.alias("content"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
     return Index.of(files(spark, sf_dir))
 
 
+_built: dict[tuple, Index] = {}
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Index:
-    """Index for queries that read units or sections more than once."""
-    return index(spark, sf_dir).materialized()
+    """Index for queries that read units or sections more than once; it is built
+    once for the tables as they are, and again if they or its files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
+    if key not in _built or not shared.there(_built[key].units) or not shared.there(_built[key].sections):
+        _built[key] = index(spark, sf_dir).materialized()
+    return _built[key]
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -49,7 +75,7 @@ def _fenced(spark, d):
 
 
 def md_sections(spark, d):
-    return index(spark, d).sections.select("section_id", "doc_id", "anchor", "heading", "line_start", "line_end", "text", "snippet", F.size("code_blocks").alias("n_code_blocks"))
+    return index(spark, d).sections.select("section_id", "source_path", "doc_id", "anchor", "heading", "line_start", "line_end", "text", "snippet", F.size("code_blocks").alias("n_code_blocks"))
 
 
 def md_anchors(spark, d):
@@ -127,33 +153,24 @@ def select_by_budget(spark, d):
     return _extracted(stored(spark, d).extract(asked(spark)))
 
 
-def _refs(spark, d):
-    """Each question is put to the references of the document with the number of the question."""
-    return asked(spark).withColumn("refs", F.transform(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es"), F.lit("web"), F.lit("news")), lambda a: F.concat(F.lit("d0000000"), F.substring("query_id", 2, 1), F.lit("#"), a)))
-
-
-def extract(spark, d):
-    return _extracted(stored(spark, d).extract(_refs(spark, d)))
-
-
 def by_lang(spark, d, ix: Index) -> tuple[DataFrame, DataFrame]:
-    """Each question for each language, and the references of every section of its documents."""
+    """Each question for each language, and the references of every section of its files."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    langs = docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"))
-    put = asked(spark).crossJoin(F.broadcast(langs.select("lang").distinct())).withColumn("query_id", F.concat_ws(":", "query_id", "lang"))
-    refs = ix.sections.select("doc_id", F.concat_ws("#", "doc_id", "anchor").alias("ref")).join(langs, "doc_id")
-    return put.select("query_id", "query"), refs.join(F.broadcast(put.select("query_id", "lang")), "lang").select("query_id", "ref")
+    langs = docs.select(path_of().alias("source_path"), F.coalesce("lang", F.lit("")).alias("lang"))
+    put = asked(spark).crossJoin(langs.select("lang").distinct()).withColumn("query_id", F.concat_ws(":", "query_id", "lang"))
+    refs = ix.sections.select("source_path", F.concat_ws("#", "doc_id", "anchor").alias("ref")).join(langs, "source_path")
+    return put.select("query_id", "query"), refs.join(put.select("query_id", "lang"), "lang").select("query_id", "ref").distinct()
 
 
-def extract_all(spark, d):
-    """``extract`` from the whole section table: its references are those of all documents of a language."""
+def extract(spark, d):
+    """Each question is put to all sections of each language."""
     ix = stored(spark, d)
     return _extracted(ix.extract(*by_lang(spark, d, ix)))
 
 
 def _sections_asked(ix: Index) -> DataFrame:
-    """One request for each section."""
-    return graph.refs(ix.sections).select(F.col("ref").alias("query_id"), "ref")
+    """One request for each reference to a section."""
+    return graph.refs(ix.sections).select(F.col("ref").alias("query_id"), "ref").distinct()
 
 
 def expand(spark, d):
@@ -164,8 +181,11 @@ def expand(spark, d):
 
 def neighbors(spark, d):
     ix = stored(spark, d)
-    near = graph.adjacent(ix.sections).unionByName(graph.links(ix.sections))
-    return retrieval.neighbors(near, _sections_asked(ix)).select("src_ref", "position", "dst_ref", "edge_type")
+    return ix.neighbors(_sections_asked(ix)).select("src_ref", "position", "dst_ref", "edge_type")
+
+
+def graph_edges(spark, d):
+    return stored(spark, d).graph.select("src_ref", "dst_ref", "kind", "edge_type", "rank")
 
 
 def graph_adjacent(spark, d):
@@ -185,8 +205,10 @@ def graph_symbol_overlap(spark, d):
 
 
 def open_section(spark, d):
-    ix = index(spark, d)
-    return ix.open(ix.docs.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("ref"))).select("ref", "heading", "content", F.array_join("code_blocks", "|").alias("code_blocks"), "source_path", "line_start", "line_end")
+    """Every document by its id and every section by its reference."""
+    ix = stored(spark, d)
+    wanted = ix.docs.select(F.col("doc_id").alias("ref")).unionByName(_sections_asked(ix).select("ref")).distinct()
+    return ix.open(wanted.select(F.col("ref").alias("query_id"), "ref")).select("query_id", "ref", "heading", "content", F.array_join("code_blocks", "|").alias("code_blocks"), "source_path", "line_start", "line_end")
 
 
 def cite(spark, d):
@@ -196,11 +218,11 @@ def cite(spark, d):
 
 def missing_refs(spark, d):
     ix = stored(spark, d)
-    asked_ = ix.docs.select(F.explode(F.array(*[F.concat("doc_id", F.lit(x)) for x in ("", "#en", "#fr", "#nothing")])).alias("ref")).withColumn("query_id", F.col("ref"))
+    asked_ = ix.docs.select("doc_id").distinct().select(F.explode(F.array(*[F.concat("doc_id", F.lit(x)) for x in ("", "#en", "#fr", "#nothing")])).alias("ref")).withColumn("query_id", F.col("ref"))
     return ix.missing_refs(asked_).select("ref")
 
 
-_NAMES = (md_sections, md_anchors, md_code_blocks, unit_prose_blocks, unit_windows, unit_inline_cmd, evidence_units, token_df, source_hash, doc_list, stats, score_units, top_candidates, find, find_benchmark, select_by_budget, extract, extract_all, expand, neighbors, graph_adjacent, graph_links, graph_keyword_overlap, graph_symbol_overlap, open_section, cite, missing_refs)
+_NAMES = (md_sections, md_anchors, md_code_blocks, unit_prose_blocks, unit_windows, unit_inline_cmd, evidence_units, token_df, source_hash, doc_list, stats, score_units, top_candidates, find, find_benchmark, select_by_budget, extract, expand, neighbors, graph_edges, graph_adjacent, graph_links, graph_keyword_overlap, graph_symbol_overlap, open_section, cite, missing_refs)
 
 
 def queries() -> dict:
@@ -221,7 +243,9 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS pos
 FROM placed JOIN steps USING (query_id, place) JOIN total USING (query_id) WHERE taken"""
 _PACKED = f""", finals AS (SELECT r.*, position, novelty, spent_tokens, 55e-2 * lexical + 15e-2 * heading_boost + 1e-1 * symbol_boost + 1e-1 * command_boost + 1e-1 * novelty - 25e-2 * cost AS raw_final FROM fresh JOIN cand r USING (query_id, rank) JOIN total USING (query_id))
 SELECT query_id, position, ref, unit_id, type, citation_id, token_estimate, array_to_string(why, '|') AS why_matched, novelty, {sql.fixed('raw_final')} AS score, spent_tokens, 600 - spent_tokens AS remaining_tokens FROM finals"""
-_WITHIN = "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, doc_id, anchor, line_start, unit_id, text_hash, line_end) AS INT) AS rank FROM scores WHERE ref IN (SELECT 'd0000000' || substr(scores.query_id, 2, 1) || '#' || unnest(['en', 'fr', 'de', 'es', 'web', 'news']))"
+_LANGS = {"queries": "SELECT query_id || ':' || lang AS query_id, query, lang FROM (" + sql.QUERIES + "), (SELECT DISTINCT coalesce(lang, '') AS lang FROM documents)"}
+_REFS = "SELECT DISTINCT ref, coalesce(d.lang, '') AS lang FROM sections JOIN documents d ON path = CASE WHEN d.doc_id % 5 = 3 THEN 'd' || lpad(CAST(d.doc_id - 1 AS VARCHAR), 8, '0') || '/index.md' ELSE 'd' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') || '.md' END"
+_WITHIN = f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, doc_id, anchor, line_start, unit_id, text_hash, line_end) AS INT) AS rank FROM scores WHERE (ref, split_part(query_id, ':', 2)) IN (SELECT (ref, lang) FROM ({_REFS}))"
 
 
 def _overlap(sets: str, least: str) -> str:
@@ -232,16 +256,29 @@ best AS (SELECT *, row_number() OVER (PARTITION BY src_ref ORDER BY s DESC, dst_
 SELECT src_ref, dst_ref, rank, {sql.fixed('s')} AS score FROM best WHERE rank <= 5"""
 
 
-_LINKS = f"""targets AS (SELECT DISTINCT ref AS src_ref, doc_id || '#' || {sql.anchor('substr(target, 2)')} AS dst_ref FROM (SELECT ref, doc_id, unnest(regexp_extract_all(line, '\\[[^\\]]+\\]\\(([^)]+)\\)', 1)) AS target FROM (SELECT ref, doc_id, unnest(string_split(body, chr(10))) AS line FROM sections)) WHERE starts_with(target, '#'))"""
-_NEAR = "near AS (SELECT ref, lag(ref) OVER w AS before, lead(ref) OVER w AS after FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY line_start))"
-_EDGES = f", {_NEAR}, {_LINKS}"
+# of sections with one reference the first has its edges, the last its symbols
+_FIRST = "firsts AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY line_start, path) = 1 AS is_first, row_number() OVER (PARTITION BY ref ORDER BY line_start DESC, path DESC) = 1 AS is_last FROM sections)"
+_ANCHOR_OF = sql.anchor("regexp_replace(target, '^[^#]*#', '')")
+_LINKS = f"""targets AS (SELECT DISTINCT ref AS src_ref, coalesce(nullif(regexp_replace(split_part(target, '#', 1), '[.]md$', ''), ''), doc_id) || '#' || {_ANCHOR_OF} AS dst_ref FROM (SELECT ref, doc_id, unnest(regexp_extract_all(line, '\\[[^\\]]+\\]\\(([^)]+)\\)', 1)) AS target FROM (SELECT ref, doc_id, unnest(string_split(body, chr(10))) AS line FROM firsts WHERE is_first)) WHERE contains(target, '#') AND NOT starts_with(target, 'http'))"""
+_NEAR = "near AS (SELECT * FROM (SELECT ref, is_first, lag(ref) OVER w AS before, lead(ref) OVER w AS after FROM firsts WINDOW w AS (PARTITION BY doc_id ORDER BY line_start, path)) WHERE is_first)"
+_KEYWORDS = "SELECT DISTINCT ref, item FROM (SELECT ref, unnest(keywords) AS item FROM units) WHERE length(item) > 2"
+_SYMBOLS = f"SELECT DISTINCT ref, {sql.trim('item')} AS item FROM (SELECT ref, unnest(regexp_extract_all(body || chr(10) || array_to_string(code_blocks, chr(10)), '\\b{sql._NAME}(?:[.:]{sql._NAME})+\\b|\\b{sql._NAME}[(][^)]*[)]')) AS item FROM firsts WHERE is_last)"
+
+
+def _edges() -> str:
+    """Rest of a statement after the sections and units: table ``e`` of all edges."""
+    wrap = lambda name, sets, least: f"{name} AS (WITH x AS (SELECT 1)" + _overlap(sets, least) + ")"
+    return f""", {_FIRST}, {_NEAR}, {_LINKS}, {wrap('kw', _KEYWORDS, '>= 2e-1')}, {wrap('sy', _SYMBOLS, '> 0')},
+e AS (SELECT ref AS src_ref, before AS dst_ref, 0 AS kind, 'heading_adjacent' AS edge_type, 1 AS rank FROM near WHERE before IS NOT NULL UNION ALL SELECT ref, after, 1, 'heading_adjacent', 1 FROM near WHERE after IS NOT NULL
+    UNION ALL SELECT src_ref, dst_ref, 2, 'intra_doc_link', row_number() OVER (PARTITION BY src_ref ORDER BY dst_ref) FROM targets UNION ALL SELECT src_ref, dst_ref, 3, 'keyword_overlap', rank FROM kw UNION ALL SELECT src_ref, dst_ref, 4, 'symbol_overlap', rank FROM sy)"""
 
 
 def oracle_sql() -> dict[str, str]:
     w = sql.with_
     graph_of = lambda rest: w("sections") + rest
+    both = w("sections").rstrip() + ", " + _chain("units", "sections")
     return {
-        "md_sections": w("sections") + "SELECT section_id, doc_id, anchor, heading, line_start, line_end, text, snippet, len(code_blocks) AS n_code_blocks FROM sections",
+        "md_sections": w("sections") + "SELECT section_id, source_path, doc_id, anchor, heading, line_start, line_end, text, snippet, len(code_blocks) AS n_code_blocks FROM sections",
         "md_anchors": w("anchored") + "SELECT doc_id, line_start AS line, anchor, heading FROM anchored",
         "md_code_blocks": w("code") + "SELECT doc_id, anchor, block, line_start, line_end, text FROM code",
         "unit_prose_blocks": w("prose_blocks") + "SELECT doc_id, anchor, line_start, line_end, is_step, text FROM prose_blocks",
@@ -249,26 +286,27 @@ def oracle_sql() -> dict[str, str]:
         "unit_inline_cmd": w("inline") + "SELECT doc_id, anchor, line, n_at AS \"at\", text FROM inline",
         "evidence_units": w("units") + "SELECT unit_id, doc_id, anchor, line_start, line_end, type, text, array_to_string(keywords, '|') AS keywords, token_estimate, text_hash, citation_id FROM units",
         "token_df": w("token_df") + "SELECT token, df FROM token_df",
-        "source_hash": w("files") + "SELECT 'sha256:' || sha256(string_agg(doc_id || '.md:' || sha256(content), chr(10) ORDER BY doc_id)) AS source_hash FROM files WHERE content IS NOT NULL",
-        "doc_list": w("sections") + "SELECT doc_id, arg_min(heading, ord) AS title, doc_id || '.md' AS source_path, count(*) AS sections FROM sections GROUP BY doc_id",
-        "stats": w("sections", {"u": "SELECT 1"}).rstrip() + ", " + _chain("units", "sections") + f", s AS (SELECT count(DISTINCT doc_id) AS docs_count, count(*) AS sections_count, sum(len(code_blocks)) AS code_blocks_count FROM sections), r AS (SELECT *, sections_count::DOUBLE / greatest(1, docs_count) AS x FROM s) SELECT docs_count, sections_count, (SELECT count(*) FROM units) AS evidence_units_count, sections_count AS anchors_count, code_blocks_count, {sql.fixed('x', 2)} AS sections_per_doc FROM r",
+        "source_hash": w("files") + "SELECT 'sha256:' || sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path)) AS source_hash FROM files WHERE content IS NOT NULL",
+        "doc_list": w("sections") + "SELECT doc_id, arg_min(heading, ord) AS title, source_path, any_value(n) AS sections FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sections) GROUP BY doc_id, source_path",
+        "stats": w("sections", {"u": "SELECT 1"}).rstrip() + ", " + _chain("units", "sections") + f", s AS (SELECT count(DISTINCT path) AS docs_count, count(*) AS sections_count, sum(len(code_blocks)) AS code_blocks_count FROM sections), r AS (SELECT *, sections_count::DOUBLE / greatest(1, docs_count) AS x FROM s) SELECT docs_count, sections_count, (SELECT count(*) FROM units) AS evidence_units_count, sections_count AS anchors_count, code_blocks_count, {sql.fixed('x', 2)} AS sections_per_doc FROM r",
         "score_units": w("scores") + f"SELECT query_id, unit_id, doc_id, anchor, line_start, line_end, {sql.fixed('lexical')} AS lexical, {sql.fixed('heading_boost')} AS heading_boost, symbol_boost, command_boost, {sql.fixed('cost')} AS token_cost_penalty, base_score FROM scores",
         "top_candidates": w("reasons") + "SELECT query_id, unit_id, doc_id, anchor, line_start, line_end, rank, base_score, array_to_string(why, '|') AS why_matched FROM reasons",
         "find": w("reasons") + _FIND,
         "find_benchmark": w("reasons", _BENCHMARK) + _FIND,
         "select_by_budget": w("reasons") + sql.greedy("SELECT * FROM reasons") + _PACKED,
-        "extract": w("reasons", {"ranks": _WITHIN}) + sql.greedy("SELECT * FROM reasons") + _PACKED,
+        "extract": w("reasons", _LANGS | {"ranks": _WITHIN}) + sql.greedy("SELECT * FROM reasons") + _PACKED,
         "expand": w("seen") + f""", base AS (SELECT *, 1e0 / greatest(1, token_estimate) AS raw FROM seen), rated AS (SELECT *, ref AS query_id, {sql.fixed('raw')} AS base_score FROM base),
             ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY ref ORDER BY base_score DESC, doc_id, anchor, line_start, unit_id, text_hash, line_end) AS INT) AS rank FROM rated)""" + sql.greedy("SELECT * FROM ranked") + f""", finals AS (SELECT c.*, position, novelty, spent_tokens, 1e-1 * CAST(has_symbol AS INT) + 1e-1 * (CASE WHEN type IN ('command', 'step') THEN 1 ELSE 0 END) + 1e-1 * novelty - 25e-2 * cost AS raw_final FROM fresh JOIN cand c USING (query_id, rank) JOIN total USING (query_id))
             SELECT ref, position, unit_id, base_score, novelty, {sql.fixed('raw_final')} AS score, spent_tokens, 600 - spent_tokens AS remaining_tokens FROM finals""",
-        "neighbors": graph_of(_EDGES + """, e AS (SELECT ref AS src_ref, before AS dst_ref, 0 AS kind, 'heading_adjacent' AS edge_type FROM near WHERE before IS NOT NULL UNION ALL SELECT ref, after, 1, 'heading_adjacent' FROM near WHERE after IS NOT NULL UNION ALL SELECT src_ref, dst_ref, 2, 'intra_doc_link' FROM targets)
-            SELECT src_ref, row_number() OVER (PARTITION BY src_ref ORDER BY kind, dst_ref) AS position, dst_ref, edge_type FROM e"""),
-        "graph_adjacent": graph_of(f", {_NEAR} SELECT ref AS src_ref, before AS dst_ref, 0 AS kind FROM near WHERE before IS NOT NULL UNION ALL SELECT ref, after, 1 FROM near WHERE after IS NOT NULL"),
-        "graph_links": graph_of(f", {_LINKS} SELECT src_ref, dst_ref, row_number() OVER (PARTITION BY src_ref ORDER BY dst_ref) AS rank FROM targets"),
-        "graph_keyword_overlap": w("units") + _overlap("SELECT DISTINCT ref, item FROM (SELECT ref, unnest(keywords) AS item FROM units) WHERE length(item) > 2", ">= 2e-1"),
-        "graph_symbol_overlap": graph_of(_overlap(f"SELECT DISTINCT ref, {sql.trim('item')} AS item FROM (SELECT ref, unnest(regexp_extract_all(body || chr(10) || array_to_string(code_blocks, chr(10)), '\\b{sql._NAME}(?:[.:]{sql._NAME})+\\b|\\b{sql._NAME}[(][^)]*[)]')) AS item FROM sections)", "> 0")),
-        "open_section": w("sections") + f"SELECT ref, heading, {sql.truncate('text', 2000)} AS content, array_to_string(code_blocks, '|') AS code_blocks, source_path, line_start, line_end FROM sections WHERE ord = 1",
-        "cite": w("sections") + "SELECT 'corpus@1.0.0:' || ref || ':' || line_start || '-' || line_end AS citation_id, doc_id, anchor, source_path, line_start, line_end FROM sections",
+        "neighbors": both + _edges() + " SELECT src_ref, row_number() OVER (PARTITION BY src_ref ORDER BY kind, rank) AS position, dst_ref, edge_type FROM e",
+        "graph_edges": both + _edges() + " SELECT src_ref, dst_ref, kind, edge_type, rank FROM e",
+        "graph_adjacent": graph_of(f", {_FIRST}, {_NEAR} SELECT ref AS src_ref, before AS dst_ref, 0 AS kind FROM near WHERE before IS NOT NULL UNION ALL SELECT ref, after, 1 FROM near WHERE after IS NOT NULL"),
+        "graph_links": graph_of(f", {_FIRST}, {_LINKS} SELECT src_ref, dst_ref, row_number() OVER (PARTITION BY src_ref ORDER BY dst_ref) AS rank FROM targets"),
+        "graph_keyword_overlap": w("units") + _overlap(_KEYWORDS, ">= 2e-1"),
+        "graph_symbol_overlap": graph_of(f", {_FIRST}" + _overlap(_SYMBOLS, "> 0")),
+        "open_section": graph_of(f""", {_FIRST}, asked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_start, anchor, path) = 1 AS leads FROM firsts), taken AS (SELECT doc_id AS query_id, * FROM asked WHERE leads UNION ALL SELECT ref, * FROM asked WHERE is_first)
+            SELECT query_id, ref, heading, {sql.truncate('text', 2000)} AS content, array_to_string(code_blocks, '|') AS code_blocks, source_path, line_start, line_end FROM taken"""),
+        "cite": graph_of(f", {_FIRST} SELECT 'corpus@1.0.0:' || ref || ':' || line_start || '-' || line_end AS citation_id, doc_id, anchor, source_path, line_start, line_end FROM firsts WHERE is_first"),
         "missing_refs": w("sections") + "SELECT d.doc_id || '#' || x AS ref FROM (SELECT DISTINCT doc_id FROM sections) d, (SELECT unnest(['en', 'fr', 'nothing']) AS x) WHERE d.doc_id || '#' || x NOT IN (SELECT ref FROM sections)",
     }
 

@@ -123,7 +123,7 @@ def _words(point: str) -> str:
 _HIT = lambda point, least: "(" + " OR ".join(f"{_COV.format(w=_words(alt))} >= {least}" for alt in point.split("||")) + ")"
 _CITES = "list_concat(list_filter(list_transform(regexp_extract_all(a, '\\[([^\\]]+)\\]', 1), lambda x: " + sql.trim("x") + "), lambda x: length(x) >= 4), regexp_extract_all(a, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+:[A-Za-z0-9_./-]+#[A-Za-z0-9_./-]+:\\d+-\\d+'), regexp_extract_all(a, '[A-Za-z0-9_./-]+\\.md(?::\\d+(?:-\\d+)?)?'))"
 _ANSWERS = f"WITH answers AS (SELECT doc_id, text || ' See [guide.md:1-2], corpus@1.0.0:d1#' || lang || ':1-2 and docs/' || source || '.md:3.' AS a FROM documents), cited AS (SELECT doc_id, a, {_CITES} AS c FROM answers)"
-_GREP = rf"""WITH files AS ({sql.FILES}), lines AS (SELECT doc_id || '.md' AS rel_path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM files),
+_GREP = rf"""WITH files AS ({sql.FILES}), lines AS (SELECT path AS rel_path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM files),
 words AS (SELECT item_id AS case_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}'), lambda w: w NOT IN ({', '.join(repr(w) for w in E.GREP_STOP)})) AS ws FROM benchmark),
 asked AS (SELECT case_id, '(?i)' || coalesce(nullif(array_to_string({sql.first_distinct('ws')}[1:8], '|'), ''), '.') AS pattern FROM words),
 hits AS (SELECT case_id, rel_path, n, row_number() OVER (PARTITION BY case_id, rel_path ORDER BY n) AS k FROM lines, asked WHERE regexp_matches(line, pattern)),

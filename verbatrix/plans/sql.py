@@ -60,9 +60,15 @@ def jaccard(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END)"
 
 
-FILES = """SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS doc_id,
-  '# ' || source || chr(10) || chr(10) || text || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || '- Run the job' || chr(10) || chr(10) || '```bash' || chr(10) || 'curl https://api.example.com/' || lang || chr(10) || '```' || chr(10) || chr(10) || 'See [next](#' || source || ') and `npm run x --flag` to call api.run(job).' AS content
-FROM documents"""
+#: Every fifth file shares its document id with the one before; what follows the text varies by number.
+FILES = """SELECT regexp_replace(path, '(/index)?[.]md$', '') AS doc_id, path, content FROM (SELECT
+  CASE WHEN doc_id % 5 = 3 THEN 'd' || lpad(CAST(doc_id - 1 AS VARCHAR), 8, '0') || '/index.md' ELSE 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md' END AS path,
+  '# ' || source || chr(10) || chr(10) || text || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || '- Run the job' || chr(10) || chr(10) || '```bash' || chr(10) || 'curl https://api.example.com/' || lang || chr(10) || '```' || chr(10) || chr(10) || 'See [next](#' || source || ') and `npm run x --flag` to call api.run(job).' ||
+  CASE doc_id % 4 WHEN 1 THEN chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || 'You must read ' || source || ' again. It is `git log --stat` that shows it.'
+    WHEN 2 THEN chr(10) || chr(10) || '### Overview of ' || source || chr(10) || chr(10) || 'A block means its lines.' || chr(10) || chr(10) || '```' || chr(10) || 'make ' || lang || ' --all' || chr(10) || '```' || chr(10) || '* Build x' || (doc_id % 7) || '.y(z)' || chr(10) || '```' || chr(10) || 'left open'
+    WHEN 3 THEN chr(10) || chr(10) || '[' || lang || '](#' || lang || '), [up](d' || lpad(CAST(doc_id // 2 AS VARCHAR), 8, '0') || '.md#' || source || ') and [out](https://example.com/x#y)'
+    ELSE '' END AS content
+FROM documents)"""
 
 QUERIES = """SELECT 'q1' AS query_id, 'how to run the job' AS query UNION ALL SELECT 'q2', 'What is the difference between en and fr?' UNION ALL SELECT 'q3', 'npm run --flag'
 UNION ALL SELECT 'q4', 'how to use it' UNION ALL SELECT 'q5', 'configure api example'"""
@@ -71,46 +77,46 @@ _key = f"coalesce(CASE WHEN known THEN NOT (own AND NOT has_space AND NOT flagge
 
 CTES: dict[str, str] = {
     "files": FILES,
-    "raw": "SELECT doc_id, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS line FROM (SELECT doc_id, regexp_split_to_array(content, '\\r?\\n') AS parts FROM files WHERE content IS NOT NULL)",
+    "raw": "SELECT path, doc_id, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS line FROM (SELECT path, doc_id, regexp_split_to_array(content, '\\r?\\n') AS parts FROM files WHERE content IS NOT NULL)",
     "marked": f"SELECT *, regexp_matches(text, '{HEAD}') AS is_mark FROM raw",
-    "headed": "SELECT *, is_mark OR (line = 1 AND NOT bool_or(is_mark) OVER (PARTITION BY doc_id)) AS is_head FROM marked",
-    "ords": "SELECT *, CAST(sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS INT) AS ord FROM headed",
-    "heads": f"SELECT doc_id, ord, line AS line_start, CASE WHEN is_mark THEN regexp_extract(text, '{HEAD}', 2) ELSE 'Document' END AS heading FROM ords WHERE is_head",
+    "headed": "SELECT *, is_mark OR (line = 1 AND NOT bool_or(is_mark) OVER (PARTITION BY path)) AS is_head FROM marked",
+    "ords": "SELECT *, CAST(sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS INT) AS ord FROM headed",
+    "heads": f"SELECT path, doc_id, ord, line AS line_start, CASE WHEN is_mark THEN regexp_extract(text, '{HEAD}', 2) ELSE 'Document' END AS heading FROM ords WHERE is_head",
     "based": f"SELECT *, {anchor('heading')} AS base FROM heads",
-    "repeats": "SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY line_start) - 1 AS n FROM based",
+    "repeats": "SELECT *, row_number() OVER (PARTITION BY path, base ORDER BY line_start) - 1 AS n FROM based",
     "anchored": "SELECT *, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS anchor FROM repeats",
-    "body": "SELECT o.doc_id, o.ord, a.anchor, a.heading, a.line_start, max(o.line) OVER (PARTITION BY o.doc_id, o.ord) AS line_end, o.line, o.text FROM ords o JOIN anchored a ON o.doc_id = a.doc_id AND o.ord = a.ord",
+    "body": "SELECT o.path, o.doc_id, o.ord, a.anchor, a.heading, a.line_start, max(o.line) OVER (PARTITION BY o.path, o.ord) AS line_end, o.line, o.text FROM ords o JOIN anchored a ON o.path = a.path AND o.ord = a.ord",
     "fenced": f"SELECT *, starts_with({trim('text')}, '```') AS is_fence FROM body WHERE line <> line_start",
-    "counted": "SELECT *, CAST(sum(is_fence::INT) OVER (PARTITION BY doc_id, ord ORDER BY line) AS INT) AS fences, CAST(sum(is_fence::INT) OVER (PARTITION BY doc_id, ord) AS INT) AS all_fences FROM fenced",
-    "code": f"""SELECT * FROM (SELECT doc_id, ord, anchor, heading, (fences + 1) // 2 AS block, min(line) AS line_start, max(line) AS line_end, {trim("string_agg(text, chr(10) ORDER BY line) FILTER (WHERE NOT is_fence)")} AS text
+    "counted": "SELECT *, CAST(sum(is_fence::INT) OVER (PARTITION BY path, ord ORDER BY line) AS INT) AS fences, CAST(sum(is_fence::INT) OVER (PARTITION BY path, ord) AS INT) AS all_fences FROM fenced",
+    "code": f"""SELECT * FROM (SELECT path, doc_id, ord, anchor, heading, (fences + 1) // 2 AS block, min(line) AS line_start, max(line) AS line_end, {trim("string_agg(text, chr(10) ORDER BY line) FILTER (WHERE NOT is_fence)")} AS text
         FROM counted WHERE (fences % 2 = 1 OR is_fence) AND all_fences >= 2 * ((fences + 1) // 2) GROUP BY ALL) WHERE text <> ''""",
     "prose": f"SELECT *, NOT is_fence AND fences % 2 = 0 AND {trim('text')} <> '' AS is_prose FROM counted",
     "bulleted": f"SELECT *, is_prose AND regexp_matches(text, '{BULLET}') AS is_bullet FROM prose",
-    "started": "SELECT *, is_prose AND (is_bullet OR NOT coalesce(lag(is_prose AND NOT is_bullet) OVER (PARTITION BY doc_id, ord ORDER BY line), FALSE)) AS starts FROM bulleted",
-    "islands": "SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, ord ORDER BY line) AS block FROM started",
-    "prose_blocks": f"""SELECT * FROM (SELECT doc_id, ord, anchor, heading, block, min(line) AS line_start, max(line) AS line_end, bool_or(is_bullet) AS is_step,
-        {trim("string_agg(" + trim(f"regexp_replace({trim('text')}, '{BULLET}', '')") + ", ' ' ORDER BY line)")} AS text FROM islands WHERE is_prose GROUP BY doc_id, ord, anchor, heading, block) WHERE text <> ''""",
+    "started": "SELECT *, is_prose AND (is_bullet OR NOT coalesce(lag(is_prose AND NOT is_bullet) OVER (PARTITION BY path, ord ORDER BY line), FALSE)) AS starts FROM bulleted",
+    "islands": "SELECT *, sum(starts::INT) OVER (PARTITION BY path, ord ORDER BY line) AS block FROM started",
+    "prose_blocks": f"""SELECT * FROM (SELECT path, doc_id, ord, anchor, heading, block, min(line) AS line_start, max(line) AS line_end, bool_or(is_bullet) AS is_step,
+        {trim("string_agg(" + trim(f"regexp_replace({trim('text')}, '{BULLET}', '')") + ", ' ' ORDER BY line)")} AS text FROM islands WHERE is_prose GROUP BY path, doc_id, ord, anchor, heading, block) WHERE text <> ''""",
     "sentences": "SELECT * EXCLUDE (text), list_filter(string_split(regexp_replace(" + squeeze("regexp_replace(regexp_replace(text, '[`*_>#]', ' ', 'g'), '\\[[^\\]]+\\]\\(([^)]+)\\)', '\\1', 'g')") + f", '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS parts FROM prose_blocks",
-    "pairs_of_sentences": "SELECT doc_id, ord, anchor, heading, line_start, line_end, is_step, n_at, array_to_string(parts[2 * n_at + 1 : 2 * n_at + 2], ' ') AS whole FROM (SELECT *, unnest(range(0, (len(parts) + 1) // 2)) AS n_at FROM sentences)",
+    "pairs_of_sentences": "SELECT path, doc_id, ord, anchor, heading, line_start, line_end, is_step, n_at, array_to_string(parts[2 * n_at + 1 : 2 * n_at + 2], ' ') AS whole FROM (SELECT *, unnest(range(0, (len(parts) + 1) // 2)) AS n_at FROM sentences)",
     "windows": f"SELECT * EXCLUDE (whole), {truncate('whole', 440)} AS text FROM pairs_of_sentences",
-    "spans": f"SELECT doc_id, ord, anchor, heading, line, unnest(range(0, len(found))) AS n_at, {trim('unnest(found)')} AS text FROM (SELECT *, regexp_extract_all(text, '`([^`]+)`', 1) AS found FROM fenced)",
+    "spans": f"SELECT path, doc_id, ord, anchor, heading, line, unnest(range(0, len(found))) AS n_at, {trim('unnest(found)')} AS text FROM (SELECT *, regexp_extract_all(text, '`([^`]+)`', 1) AS found FROM fenced)",
     "looked": f"""SELECT *, regexp_matches(text, '{WS}') AS has_space, regexp_replace(regexp_split_to_array(text, '{WS}+')[1], '^[''"]|[''"]$', '', 'g') AS first, regexp_matches(text, '[|][|]|&&|[|]|>|<|[$][(]|;') AS operator,
         regexp_matches(text, '(^|{WS})--[a-z0-9-]+') AS flagged, regexp_matches(text, '{T.FILE_NAME}') OR (regexp_matches(text, '{T.PATH_ONLY}') AND NOT regexp_matches(text, '{WS}')) AS file_like FROM spans""",
-    "inline": f"""SELECT doc_id, ord, anchor, heading, line, n_at, {truncate('text', 440)} AS text FROM (SELECT *, regexp_matches(first, '(?i)^({_TOOLS}|[.]?/)') AS known, lower(first) = '{T.OWN_TOOL}' AS own FROM looked)
+    "inline": f"""SELECT path, doc_id, ord, anchor, heading, line, n_at, {truncate('text', 440)} AS text FROM (SELECT *, regexp_matches(first, '(?i)^({_TOOLS}|[.]?/)') AS known, lower(first) = '{T.OWN_TOOL}' AS own FROM looked)
         WHERE text <> '' AND NOT (file_like AND NOT flagged AND NOT known) AND {_key}""",
-    "every_unit": f"""SELECT doc_id, ord, anchor, heading, line_start, line_end, 'command' AS type, {truncate('text', 440)} AS text, 0 AS kind, 0 AS n_at FROM code
-        UNION ALL SELECT doc_id, ord, anchor, heading, line_start, line_end, CASE WHEN is_step OR regexp_matches(text, '(?i)^({_VERBS})\\b') THEN 'step'
+    "every_unit": f"""SELECT path, doc_id, ord, anchor, heading, line_start, line_end, 'command' AS type, {truncate('text', 440)} AS text, 0 AS kind, 0 AS n_at FROM code
+        UNION ALL SELECT path, doc_id, ord, anchor, heading, line_start, line_end, CASE WHEN is_step OR regexp_matches(text, '(?i)^({_VERBS})\\b') THEN 'step'
             WHEN regexp_matches(text, '(?i)\\b(must|never|cannot|can''t|ensure|required|should not|do not|don''t)\\b') THEN 'constraint'
             WHEN regexp_matches(heading, '(?i)\\b(concept|overview|definition)\\b') OR regexp_matches(text, '(?i)\\b(means|is|refers to|defined as)\\b') THEN 'definition' ELSE 'fact' END, text, 1, n_at FROM windows
-        UNION ALL SELECT doc_id, ord, anchor, heading, line, line, 'command', text, 2, n_at FROM inline""",
-    "first_units": "SELECT * FROM (SELECT *, sha256(lower(text)) AS text_hash, row_number() OVER (PARTITION BY doc_id, anchor, line_start, line_end, sha256(lower(text)), type ORDER BY ord, kind, n_at, text) AS copy FROM every_unit) WHERE copy = 1",
+        UNION ALL SELECT path, doc_id, ord, anchor, heading, line, line, 'command', text, 2, n_at FROM inline""",
+    "first_units": "SELECT * FROM (SELECT *, sha256(lower(text)) AS text_hash, row_number() OVER (PARTITION BY doc_id, anchor, line_start, line_end, sha256(lower(text)), type ORDER BY path, ord, kind, n_at, text) AS copy FROM every_unit) WHERE copy = 1",
     "units": f"""SELECT 'unit_' || substr(sha256(concat_ws('|', doc_id, anchor, line_start, type, text)), 1, 12) AS unit_id, doc_id, anchor, line_start, line_end, type, text, {tokens('text')} AS keywords,
         CAST(greatest(1, ceil({js_length('text')} / 4.0)) AS INT) AS token_estimate, text_hash, 'corpus@1.0.0:' || doc_id || '#' || anchor || ':' || line_start || '-' || line_end AS citation_id, heading, doc_id || '#' || anchor AS ref FROM first_units""",
-    "block_lists": "SELECT doc_id, ord, list(text ORDER BY block) AS code_blocks FROM code GROUP BY doc_id, ord",
-    "bodies": "SELECT doc_id, ord, anchor, heading, line_start, line_end, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE line <> line_start), '') AS body FROM body GROUP BY doc_id, ord, anchor, heading, line_start, line_end",
+    "block_lists": "SELECT path, ord, list(text ORDER BY block) AS code_blocks FROM code GROUP BY path, ord",
+    "bodies": "SELECT path, doc_id, ord, anchor, heading, line_start, line_end, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE line <> line_start), '') AS body FROM body GROUP BY path, doc_id, ord, anchor, heading, line_start, line_end",
     "texts": "SELECT *, " + squeeze("regexp_replace(regexp_replace(body, '(?s)```.*?```', ' ', 'g'), '(?m)^#{1,6}\\s+', '', 'g')") + " AS text FROM bodies",
-    "sections": f"""SELECT 'sec_' || substr(sha256(concat_ws('|', doc_id, anchor, heading, line_start)), 1, 12) AS section_id, doc_id, ord, anchor, heading, line_start, line_end, text,
-        {truncate("(CASE WHEN text <> '' THEN text ELSE heading END)", 220)} AS snippet, coalesce(code_blocks, []) AS code_blocks, doc_id || '.md' AS source_path, body, doc_id || '#' || anchor AS ref FROM texts LEFT JOIN block_lists USING (doc_id, ord)""",
+    "sections": f"""SELECT 'sec_' || substr(sha256(concat_ws('|', doc_id, anchor, heading, line_start)), 1, 12) AS section_id, path, doc_id, ord, anchor, heading, line_start, line_end, text,
+        {truncate("(CASE WHEN text <> '' THEN text ELSE heading END)", 220)} AS snippet, coalesce(code_blocks, []) AS code_blocks, path AS source_path, body, doc_id || '#' || anchor AS ref FROM texts LEFT JOIN block_lists USING (path, ord)""",
     "token_df": "SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(keywords)) AS token FROM units) GROUP BY token",
     "queries": QUERIES,
     "profiled": f"""SELECT query_id, query, {first_distinct(tokens('query'))} AS tokens, list_distinct(regexp_extract_all(lower(query), '--[a-z0-9-]+')) AS flags,
