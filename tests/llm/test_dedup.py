@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -176,12 +177,16 @@ def test_simhash_equals_brute_force_over_distances(spark):
     fp = np.repeat(base, 6, axis=0)
     flips = rng.random((240, 256)) < 0.04
     fp ^= np.packbits(flips, axis=1).view(np.uint64)
-    root = simhash.bucket_edges(fp, 0, 10, 512, 71)
+    root = simhash.bucket_edges(fp, 71)
     distance = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
     near = distance <= 71
     assert all((root[a] == root[b]) == near[a, b] for a in range(240) for b in range(240))
-    capped = simhash.bucket_edges(fp, 0, 10, 64, 71)
-    assert (capped[:, None] == capped[None])[near].mean() >= 0.9
+    assert np.array_equal(simhash.bucket_edges(fp, 71, 64), root)
+    # two blocks: their own pairs are left to others
+    across = simhash.bucket_edges(fp, 71, 64, split=100)
+    linked = near[:100, 100:]
+    assert all(across[a] == across[100 + b] for a, b in zip(*np.nonzero(linked)))
+    assert all(across[a] == a for a in range(100) if not linked[a].any())
 
 
 def test_simhash_edge_cases(spark):
@@ -226,19 +231,39 @@ def test_oversized_buckets_are_compared_exactly():
         flip = np.zeros(256, np.uint8)
         flip[rng.permutation(256)[:d]] = 1
         fp[4096 + i] = fp[i] ^ np.packbits(flip).view(np.uint64)
-    root = simhash.bucket_edges(fp, 0, 10, 512, 71)
+    root = simhash.bucket_edges(fp, 71, 512)
     assert (root[:600] == root[4096:4696]).all()
     assert len(np.unique(root)) == 8192 - 600
-    one = simhash.bucket_edges(np.repeat(fp[:3], 2000, axis=0), 0, 10, 512, 71)
+    one = simhash.bucket_edges(np.repeat(fp[:3], 2000, axis=0), 71, 512)
     assert np.array_equal(one, np.repeat([0, 2000, 4000], 2000))
 
 
+def test_a_bucket_of_nearly_equal_fingerprints_ends_soon():
+    rng = np.random.default_rng(9)
+    fp = np.repeat(rng.integers(0, 1 << 64, (1, 4), dtype=np.uint64), 2000, axis=0) ^ np.packbits(rng.random((2000, 256)) < 0.02, axis=1).view(np.uint64)
+    start = time.process_time()
+    root = simhash.bucket_edges(fp, simhash.MAX_DISTANCE)
+    assert (root == 0).all() and time.process_time() - start < 2
+
+
+def test_blocks_of_big_buckets_lose_no_link(spark):
+    rng, texts = random.Random(12), []
+    for k in range(150):
+        base = vocabulary(rng, 60)
+        copy = list(base)
+        for at in rng.sample(range(60), 1 + k % 4):
+            copy[at] = rng.choice(W)
+        texts += [" ".join(base), " ".join(copy)]
+    whole, parted = ({r.doc_id: r.group_id for r in simhash.near_duplicates(docs(spark, *texts), cap=64, recall=0.5, big=b).collect()} for b in (simhash.BIG, 2))
+    assert whole == parted and len(set(whole.values())) < 300
+
+
 def test_recall_by_distance_up_to_the_limit(spark):
     rng, texts = random.Random(11), []
     for k in range(700):
         base = vocabulary(rng, 300)
         copy = list(base)
-        for at in rng.sample(range(300), 24 + k % 36):
+        for at in rng.sample(range(300), 6 + k % 36):
             copy[at] = rng.choice(W)
         texts += [" ".join(base), " ".join(copy)]
     raw = [t.encode() for t in texts]
@@ -249,7 +274,7 @@ def test_recall_by_distance_up_to_the_limit(spark):
     got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs(spark, *texts), cap=1).collect()}
     met = np.array([got[x + 1] == got[y + 1] for x, y in zip(a, b)])
     d = distance[a, b]
-    for least, most in ((0, 54), (55, 61), (62, simhash.MAX_DISTANCE)):
+    for least, most in ((0, 44), (45, 54), (55, simhash.MAX_DISTANCE)):
         band = met[(d >= least) & (d <= most)]
         assert len(band) >= 100 and band.mean() >= 0.92, (least, most, len(band), band.mean())
 

@@ -1,12 +1,14 @@
 """Near-duplicate documents by SimHash and random bit-sampling hashing.
 
 A document's fingerprint has 256 bits: the signs of the sums of the hashed
-word pairs of its whole text, with sums of zero settled by weights of the pairs
-so that texts of few words are as far apart as others. Documents with one fingerprint are grouped
+word pairs of its whole text, each pair once however often it occurs, with sums of zero
+settled by weights of the pairs so that texts of few words are as far apart as others.
+Documents with one fingerprint are grouped
 first, so that copies by the thousand count once. Each of several tables
 samples coordinates of the fingerprint; documents that agree on a table's
-sample share a bucket. All pairs of a bucket are verified by Hamming distance,
-those of a bucket with more than ``cap`` fingerprints tile by tile. Verified pairs are
+sample share a bucket. All pairs of a bucket are verified by Hamming distance.
+A bucket of more than ``BIG`` fingerprints is parted into blocks, and each two of
+its blocks are one group for some task. Verified pairs are
 edges; documents of one connected component are one group.
 """
 
@@ -24,13 +26,15 @@ from verbatrix.llm import common, components
 
 BITS = 256
 #: Largest Hamming distance of a pair, of 256 bits; recall is planned for pairs at this distance, which agree in this share of bits.
-MAX_DISTANCE = 71
+MAX_DISTANCE = 62
 PLANNED_AGREEMENT = 1 - MAX_DISTANCE / BITS
 RECALL = 0.95
 CAP = 512
 LEAST_SAMPLE = 10
-#: Least and most rows of a tile.
-TILE = (64, 1024)
+#: Fingerprints of a bucket that one task compares at most.
+BIG = 4096
+#: Rows of a tile.
+TILE = 1024
 RESULT = "doc_id bigint, group_id bigint, group_size bigint, kept boolean"
 
 _R = 0x9E3779B97F4A7C15 | 1
@@ -102,7 +106,7 @@ def _settled(f: np.ndarray, tied: np.ndarray) -> np.ndarray:
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """256-bit fingerprints (n, 4) of texts, and whether a text has any word.
-    Features are the pairs of neighbouring words, in a text of one word that word."""
+    Features are the different pairs of neighbouring words, in a text of one word that word."""
     h, doc = word_hashes(raw, offsets)
     n = len(offsets) - 1
     out = np.zeros((n, 4), np.uint64)
@@ -113,7 +117,7 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     pair = common.mix64(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:], 5) if len(h) > 1 else np.zeros(0, np.uint64)
     for i in np.flatnonzero(words):
         a, b = at[i], at[i + 1]
-        f = pair[a : b - 1] if b - a > 1 else h[a:b]
+        f = np.unique(pair[a : b - 1]) if b - a > 1 else h[a:b]
         sums = np.empty((4, 64))
         for k in range(4):
             octets = common.mix64(f, 11 + k).view(np.uint8).reshape(-1, 8)
@@ -208,23 +212,24 @@ def _components(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def bucket_edges(fp: np.ndarray, table: int, sample: int, cap: int, limit: int) -> np.ndarray:
-    """Component of each row of one bucket, from all its pairs. A bucket of more
-    than ``cap`` rows is compared in tiles, so that memory stays small."""
-    if len(fp) <= cap and len(fp) <= TILE[1]:
+def bucket_edges(fp: np.ndarray, limit: int, side: int = TILE, split: int | None = None) -> np.ndarray:
+    """Component of each row of one group, from all its pairs, or from those of its first
+    ``split`` rows with the others. More than ``side`` rows are compared in tiles, so that memory stays small."""
+    if split is None and len(fp) <= side:
         return _components(_near(fp, fp, limit))
-    side = min(max(cap, TILE[0]), TILE[1])
-    starts = range(0, len(fp), side)
     union = _Union(len(fp))
-    for s in starts:
-        union.parent[s : s + side] = s + _components(_near(fp[s : s + side], fp[s : s + side], limit))
-    for s in starts:
-        for t in range(s + side, len(fp), side):
-            near = _near(fp[s : s + side], fp[t : t + side], limit)
+    left, right = (range(0, len(fp), side), None) if split is None else (range(0, split, side), range(split, len(fp), side))
+    end = lambda s: min(s + side, split if split is not None and s < split else len(fp))
+    if split is None:
+        for s in left:
+            union.parent[s : s + side] = s + _components(_near(fp[s : s + side], fp[s : s + side], limit))
+    for s in left:
+        for t in right or range(s + side, len(fp), side):
+            near = _near(fp[s : end(s)], fp[t : end(t)], limit)
             if not near.any():
                 continue
             # one pair for each two components that meet, none for what is joined already
-            a, b = union.parent[s : s + side], union.parent[t : t + side]
+            a, b = union.parent[s : end(s)], union.parent[t : end(t)]
             x, y = np.nonzero(near & (a[:, None] != b[None, :]))
             if not len(x):
                 continue
@@ -234,35 +239,38 @@ def bucket_edges(fp: np.ndarray, table: int, sample: int, cap: int, limit: int)
     return union.parent
 
 
-def _edges(sample: int, cap: int, limit: int):
-    def flush(bucket: int, reps: list, fps: list) -> pa.RecordBatch | None:
-        rep, raw = np.concatenate(reps), b"".join(fps)
+def _edges(limit: int):
+    def flush(key: tuple, reps: list, fps: list, blocks: list) -> pa.RecordBatch | None:
+        rep, block, raw = np.concatenate(reps), np.concatenate(blocks), b"".join(fps)
         if len(rep) < 2:
             return None
-        order = np.argsort(rep, kind="stable")
+        order = np.lexsort((rep, block))
         rep, fp = rep[order], np.frombuffer(raw, np.uint64).reshape(-1, 4)[order]
-        root = bucket_edges(fp, bucket >> 48, sample, cap, limit)
+        # two blocks of a big bucket: their own pairs are compared where each meets itself
+        root = bucket_edges(fp, limit, split=None if key[1] == key[2] else int(np.count_nonzero(block == key[1])))
         new = np.flatnonzero(root != np.arange(len(rep)))
         if not len(new):
             return None
         return pa.RecordBatch.from_arrays([pa.array(rep[new]), pa.array(rep[root[new]])], ["a", "b"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, reps, fps = None, [], []
+        at, reps, fps, blocks = None, [], [], []
         for batch in it:
-            bucket = batch.column("bucket").to_numpy()
-            rep, fp = batch.column("rep").to_numpy(), b"".join(batch.column("fp").to_pylist())
+            bucket, low, high, block, rep = (batch.column(c).to_numpy() for c in ("bucket", "low", "high", "block", "rep"))
+            fp = b"".join(batch.column("fp").to_pylist())
             if not len(bucket):
                 continue
-            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+            cuts = np.r_[0, np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1, len(bucket)]
             for s, e in zip(cuts[:-1], cuts[1:]):
-                if bucket[s] != at:
-                    if reps and (out := flush(at, reps, fps)) is not None:
+                key = (int(bucket[s]), int(low[s]), int(high[s]))
+                if key != at:
+                    if reps and (out := flush(at, reps, fps, blocks)) is not None:
                         yield out
-                    at, reps, fps = int(bucket[s]), [], []
+                    at, reps, fps, blocks = key, [], [], []
                 reps.append(rep[s:e])
+                blocks.append(block[s:e])
                 fps.append(fp[32 * s : 32 * e])
-        if reps and (out := flush(at, reps, fps)) is not None:
+        if reps and (out := flush(at, reps, fps, blocks)) is not None:
             yield out
 
     return run
@@ -280,7 +288,7 @@ def plan(distinct: int, max_distance: int = MAX_DISTANCE, recall: float = RECALL
     return sample, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, cap: int = CAP, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, cap: int = CAP, recall: float = RECALL, big: int = BIG) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``group_id`` (the smallest
     id of its group), ``group_size`` (ids in the group), ``kept`` (true for the
     document whose id is the group's).
@@ -296,11 +304,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     sample, tables = plan(reps.count(), max_distance, recall, cap)
     spark = docs.sparkSession
+    coded = reps.mapInArrow(_table_rows(tables, sample), "bucket bigint, rep bigint, fp binary")
+    # a big bucket's rows are dealt to blocks, and go to each pair of blocks that has theirs
+    crowded = common.cut(coded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > big).select("bucket", F.ceil(F.col("n") / big).cast("int").alias("parts")))
+    block = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("parts"))).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
+    dealt = coded.join(crowded, "bucket", "left") if not crowded.isEmpty() else coded.withColumn("parts", F.lit(None).cast("int"))
     edges = (
-        reps.mapInArrow(_table_rows(tables, sample), "bucket bigint, rep bigint, fp binary")
-        .repartition(common.partitions(spark), "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_edges(sample, cap, max_distance), "a bigint, b bigint")
+        dealt.withColumn("block", block).select("bucket", "rep", "fp", "block", F.explode(met).alias("m")).select("bucket", "rep", "fp", "block", "m.low", "m.high")
+        .repartition(common.partitions(spark), "bucket", "low", "high")
+        .sortWithinPartitions("bucket", "low", "high")
+        .mapInArrow(_edges(max_distance), "a bigint, b bigint")
     )
     same = prints.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = common.cut(components.min_labels(edges.unionByName(same)))
