@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatrix.llm import common
@@ -160,11 +160,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     """Temperature with the least negative log-likelihood, by golden section on
-    its logarithm; 1 at least, for a separable sample would make it vanish."""
+    its logarithm. The targets are smoothed by one row of each other language, so that
+    a separable sample sharpens the model only as far as its number of rows supports."""
+    n, k = logits.shape
+    target = np.full((n, k), 1 / (n + k))
+    target[np.arange(n), y] = (n + 1) / (n + k)
+    target /= target.sum(1, keepdims=True)
+
     def loss(t: float) -> float:
-        return float(-np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)).mean())
+        return float(-(target * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))).sum(1).mean())
 
-    a, b, r = 0.0, np.log(20.0), (5**0.5 - 1) / 2
+    a, b, r = np.log(0.02), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(40):
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
@@ -173,7 +179,8 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model | None:
     """Model from all documents' n-gram statistics and up to ``fit_rows``
-    labelled rows, those with the smallest hash of id and text. None if no row has both a text and a label."""
+    labelled rows, or one for each language where these are more: of each language the same
+    number at most, those with the smallest hash of id and text. None if no row has both a text and a label."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     counts = texts.mapInArrow(_document_frequency, "feature bigint, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(SIZE)
@@ -184,10 +191,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     key = common.text_key(id_col, text_col)
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
     # the sample is chosen by keys alone; texts become gram counts where they lie
-    last = labelled.select("key").distinct().orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
-    if last is None:
+    names = labelled.select("lang").distinct().count()
+    if not names:
         return None
-    sample = labelled.where(F.col("key") <= last).mapInArrow(_gram_counts, "lang string, key bigint, grams binary, counts binary").dropDuplicates(["key", "lang"])
+    # the same number of rows for each language, so that a rare one has its class as well
+    quota = max(1, fit_rows // names)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    last = labelled.select("lang", "key").distinct().withColumn("n", nth).where(F.col("n") <= quota).groupBy("lang").agg(F.max("key").alias("last"))
+    last = {r.lang: r["last"] for r in last.collect()}
+    chosen = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    sample = labelled.where(F.col("key") <= F.element_at(chosen, F.col("lang"))).mapInArrow(_gram_counts, "lang string, key bigint, grams binary, counts binary").dropDuplicates(["key", "lang"])
     rows = sorted(sample.collect(), key=lambda r: (r.key, r.lang))
     langs = sorted({r.lang for r in rows})
     y = np.array([langs.index(r.lang) for r in rows])
