@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ RESULT = "conv_id bigint, n_turns int, n_tokens int, n_trained int, token_ids ar
 
 def render(turns: list[tuple[str, str]], trained: tuple[str, ...] = TRAINED) -> tuple[bytes, np.ndarray]:
     """UTF-8 text of (role, text) turns and the (n, 2) byte spans to be trained
-    on: the text and the closing mark of each turn of a trained role. Marks
-    within a turn's own text are ordinary text."""
+    on: the text and the closing mark of each turn of a trained role. A mark
+    within a turn's own role or text is broken by a zero-width space, so that it can't pass for a turn's end."""
     out, spans, at = [], [], 0
     for role, text in turns:
+        role, text = (x.replace("<|im_", "<\u200b|im_") for x in (role, text))
         head, body = f"{OPEN}{role}{MIDDLE}".encode(), f"{text}{CLOSE}".encode()
         if role in trained:
             spans.append((at + len(head), at + len(head) + len(body)))
@@ -58,8 +60,14 @@ def _encode(path: str, trained: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.tokenizer(path)
         for batch in it:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            talks = batch.column("talk")
+            # as many conversations at once as have about a megabyte of text
+            sizes = np.r_[0, np.cumsum(pc.binary_length(talks.flatten().field("text")).to_numpy(zero_copy_only=False))]
+            ends, start = sizes[np.cumsum(pc.list_value_length(talks).to_numpy(zero_copy_only=False))], 0
+            while start < batch.num_rows:
+                room = (ends[start - 1] if start else 0) + (1 << 20)
+                part = batch.slice(start, max(1, int(np.searchsorted(ends, room, side="right")) - start))
+                start += part.num_rows
                 ids, masks, turns = [], [], []
                 for talk in part.column("talk").to_pylist():
                     data, spans = render([(t["role"], t["text"]) for t in talk], trained)
