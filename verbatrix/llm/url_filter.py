@@ -180,17 +180,22 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(keyed, "key", levels, shards)
 
 
+#: Labels of unwanted hosts; a block list of one's own goes to ``build_filter`` as its second table.
+BAD_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+_ON_BAD_HOST = "^([^/]*[.])?(" + "|".join(BAD_HOSTS) + ")[.]"
+
+
 def block_list(pages: DataFrame) -> DataFrame:
-    """Keys of the URLs with a tracking parameter in some page's address."""
-    return pages.where(F.col("url").contains("utm_source=") | F.col("url").contains("ref=")).select(url_key("url").alias("key")).distinct()
+    """Keys of the pages on unwanted hosts, whatever the rest of their address."""
+    return pages.select(url_key("url").alias("key")).where(F.col("key").rlike(_ON_BAD_HOST)).distinct()
 
 
-OP6_SQL = r"""
+OP6_SQL = rf"""
 WITH keyed AS (
     SELECT page_id, url,
            regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^www\.', ''), '[?#].*$', ''), '/+$', '') AS key
     FROM pages
 )
-SELECT page_id, url, key, key IS NOT NULL AND key IN (SELECT key FROM keyed WHERE key IS NOT NULL AND (url LIKE '%utm_source=%' OR url LIKE '%ref=%')) AS listed
+SELECT page_id, url, key, key IS NOT NULL AND key IN (SELECT key FROM keyed WHERE key IS NOT NULL AND regexp_matches(key, '{_ON_BAD_HOST}')) AS listed
 FROM keyed
 """
