@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from verbatrix.errors import EngineError
 from verbatrix.functions import text as T
+from verbatrix.operators import lookups
 
 CANDIDATE = ["name", "selector", "source_type", "ecosystem", "canonical_url", "description", "versions", "trust_score", "benchmark_score", "confidence"]
 PROVIDERS = ("direct", "catalog", "npm", "github")
+MOST = 5
 SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "coverage")
 
 
@@ -62,10 +64,9 @@ def within_policy(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """``files`` (rel_path, content) that the policy admits, in order of path, with
     the running numbers of files and bytes and whether a limit is exceeded there."""
     kept = files.where(F.lower(F.regexp_extract("rel_path", "([.][^./]+)$", 1)).isin(*policy.allowed_extensions) & ~F.exists(F.split("rel_path", "/"), lambda p: p.isin(*policy.skipped_folders)))
-    order = Window.orderBy("rel_path").rowsBetween(Window.unboundedPreceding, 0)
+    # only paths and sizes are put in order
     sized = kept.select("rel_path", F.octet_length("content").cast("bigint").alias("bytes"))
-    # only paths and sizes pass through the running sums
-    running = sized.select("rel_path", "bytes", F.count("*").over(order).alias("files_so_far"), F.sum("bytes").over(order).alias("bytes_so_far"))
+    running = lookups.running(sized, [F.col("rel_path")], {"bytes_so_far": "bytes"}).select("rel_path", "bytes", F.col("number").alias("files_so_far"), "bytes_so_far")
     return running.withColumn("violates", (F.col("files_so_far") > policy.max_files) | (F.col("bytes_so_far") > policy.max_total_bytes))
 
 
@@ -100,14 +101,25 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def _asked(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """Captured results with every query: as many as the provider has returned."""
     return df.crossJoin(queries.select("query_id", F.trim("query").alias("query"), T.tokenize(F.trim("query")).alias("tokens")))
 
 
-def catalog_candidates(catalog: DataFrame, queries: DataFrame) -> DataFrame:
-    """Catalog entries for each query; a given confidence counts, else the match does."""
-    own = _asked(_typed(catalog).where("name <> '' and selector <> ''"), queries)
-    match = T.score_match(F.concat_ws(" ", "name", "description"), F.col("tokens"))
-    return own.withColumn("confidence", _three(F.when(F.col("confidence") != 0, F.col("confidence")).otherwise(match)))
+def catalog_candidates(catalog: DataFrame, queries: DataFrame, most: int = MOST, ecosystem: str = "") -> DataFrame:
+    """Catalog entries for each query; a given confidence counts, else the match does.
+    All that have a word of the query, and the ``most`` best of the others, which are the same for all queries."""
+    entries = _typed(catalog).where("name <> '' and selector <> ''").where((F.lit(ecosystem) == "") | (F.lower("ecosystem") == ecosystem.lower())).withColumn("about", F.concat_ws(" ", "name", "description"))
+    asked = queries.select("query_id", T.tokenize(F.trim("query")).alias("tokens"))
+    words = entries.select("name", "selector", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("about"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
+    terms = asked.select("query_id", F.explode(F.array_distinct("tokens")).alias("needle"))
+    known = lookups.runs_with(words.select("run"), terms.select("needle"))
+    met = words.join(known, "run").join(terms, "needle").select("query_id", "name", "selector").distinct()
+    match = F.when(F.col("confidence") != 0, F.col("confidence")).otherwise(T.score_match(F.col("about"), F.col("tokens")))
+    hits = entries.join(met, ["name", "selector"]).join(asked, "query_id").withColumn("confidence", _three(match))
+    rest = entries.withColumn("confidence", _three(F.col("confidence"))).orderBy(*_rank()).limit(most)
+    others = rest.join(asked, F.lit(True)).join(met, ["query_id", "name", "selector"], "left_anti")
+    columns = ["query_id", *[c for c in CANDIDATE]]
+    return hits.select(columns).unionByName(others.select(columns))
 
 
 def npm_candidates(packages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -142,18 +154,22 @@ def direct_candidates(queries: DataFrame) -> DataFrame:
         F.when(is_repo, "GitHub repository").otherwise("Documentation URL").alias("description"), F.array().cast("array<string>").alias("versions"), F.when(is_repo, 0.5).otherwise(0.4).alias("trust_score"), F.lit(0.0).alias("benchmark_score"), F.when(is_repo, 1.0).otherwise(0.95).alias("confidence"))
 
 
+def _rank() -> list[Column]:
+    return [F.desc("confidence"), F.desc("trust_score"), T.icu(F.col("name")), F.col("selector")]
+
+
 def _best(df: DataFrame, most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("trust_score"), T.icu(F.col("name")), "selector"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_rank()))
     return df.withColumn("position", rank).where(F.col("position") <= most)
 
 
-def discover(queries: DataFrame, catalog: DataFrame | None = None, npm: DataFrame | None = None, github: DataFrame | None = None, ecosystem: str = "", most: int = 5) -> DataFrame:
+def discover(queries: DataFrame, catalog: DataFrame | None = None, npm: DataFrame | None = None, github: DataFrame | None = None, ecosystem: str = "", most: int = MOST) -> DataFrame:
     """The ``most`` best candidates of all providers for each query, in order;
     of equal selectors the first provider's counts."""
     want = lambda df: df.where(F.lower("ecosystem") == ecosystem.lower()) if ecosystem else df
     offered = [direct_candidates(queries)]
     if catalog is not None:
-        offered.append(_best(want(catalog_candidates(catalog, queries)), most))
+        offered.append(_best(catalog_candidates(catalog, queries, most, ecosystem), most))
     if npm is not None:
         offered.append(_best(want(npm_candidates(npm, queries)), most))
     if github is not None:

@@ -1,14 +1,18 @@
 """Facts from source code without a parser: symbols, environment variables,
 routes and tooling signals, and the markdown that is derived from them.
 
-Patterns are applied to whole files by ``regexp_extract_all``. A pattern is
-extended by what lies before each match, so that line numbers follow from the
-newlines passed; the end of the file counts as a last match, so that no tail
-is searched twice.
+All patterns of a kind of fact pass over a file once, in Arrow batches: SQL's
+functions for regular expressions don't tell where a match lies, and finding its
+line with them takes copies of the text before it.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +48,36 @@ def _borders(pattern: str) -> str:
     return pattern.replace("{L}", "(?<![A-Za-z0-9_])").replace("{R}", "(?![A-Za-z0-9_])")
 
 
-def _with_prefix(pattern: str) -> str:
-    flag = "(?m)" if "(?m)" in pattern else ""
-    return f"{flag}([\\s\\S]*?)((?:{pattern.replace('(?m)', '').replace('(?i)', '')})|\\z)".replace("(?m)(", "(?mi)(" if "(?i)" in pattern else "(?m)(", 1)
+def _found(rules: list[tuple[int, tuple[str, ...], str]]):
+    """Batches of matches; ``rules`` are (number, extensions or none, pattern)."""
+    compiled = [(n, frozenset(e), re.compile(p)) for n, e, p in rules]
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out: list[tuple] = []
+            for path, extension, content in zip(*(c.to_pylist() for c in batch.columns)):
+                ends = None
+                for number, extensions, pattern in compiled:
+                    if extensions and extension not in extensions:
+                        continue
+                    for at, m in enumerate(pattern.finditer(content)):
+                        if ends is None:
+                            ends = [x.start() for x in re.finditer("\n", content)]
+                        g = [x or "" for x in m.groups()]
+                        out.append((path, number, at, bisect.bisect_left(ends, m.start()) + 1, g[0], g[1] if len(g) > 1 else ""))
+            if out:
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["source_path", "rule", "at", "line", "g1", "g2"])
 
-def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return run
 
 
-def matches(files: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """Rows ``source_path, line, g1..gN`` for each match in ``content``, in any order; ``at`` counts them."""
-    full = F.lit(_with_prefix(pattern))
-    parts = F.arrays_zip(*[F.regexp_extract_all("content", full, F.lit(i)).alias(f"p{i}") for i in range(1, groups + 3)])
-    zero = F.expr("named_struct('line', 1, 'lines', cast(array() as array<int>))")
-    step = lambda s, x: F.struct((s["line"] + _newlines(x["p1"]) + _newlines(x["p2"])).alias("line"), F.concat(s["lines"], F.array(s["line"] + _newlines(x["p1"]))).alias("lines"))
-    found = files.select("source_path", parts.alias("parts")).withColumn("lines", F.aggregate("parts", zero, step)["lines"])
-    each = found.select("source_path", F.posexplode(F.arrays_zip("parts", "lines")).alias("at", "m")).where(F.col("m.parts.p2") != "")
-    return each.select("source_path", "at", F.col("m.lines").alias("line"), *[F.col(f"m.parts.p{i + 2}").alias(f"g{i}") for i in range(1, groups + 1)])
+def matches(files: DataFrame, rules: list[tuple[int, tuple[str, ...], str]]) -> DataFrame:
+    """Rows ``source_path, rule, at, line, g1, g2`` for each match of each rule
+    (number, extensions or none for all, pattern) in ``content``; ``at`` counts a rule's matches in a file."""
+    extension = F.col("extension") if "extension" in files.columns else F.lit("")
+    rows = files.where("content is not null").select("source_path", extension.alias("extension"), "content")
+    return rows.mapInArrow(_found(rules), "source_path string, rule int, at int, line int, g1 string, g2 string")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -72,26 +88,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """``source_path, kind, name, signature, line``; ``files`` has source_path, extension, content."""
-    parts = []
-    for n, (kind, extensions, pattern, params) in enumerate(SYMBOLS):
-        found = matches(files.where(F.col("extension").isin(*extensions)), pattern, 2 if params else 1)
-        signature = F.concat("g1", F.lit("("), T.js_trim(F.col("g2")), F.lit(")")) if params else F.col("g1")
-        parts.append(found.select("source_path", F.lit(n).alias("rule"), "at", F.lit(kind).alias("kind"), F.col("g1").alias("name"), signature.alias("signature"), "line"))
-    return _union(parts)
+    """``source_path, rule, at, kind, name, signature, line``; ``files`` has source_path, extension, content."""
+    found = matches(files, [(n, extensions, pattern) for n, (_, extensions, pattern, _) in enumerate(SYMBOLS)])
+    kinds, called = (F.array(*[F.lit(x[i]) for x in SYMBOLS]) for i in (0, 3))
+    signature = F.when(F.get(called, F.col("rule")), F.concat("g1", F.lit("("), T.js_trim(F.col("g2")), F.lit(")"))).otherwise(F.col("g1"))
+    return found.select("source_path", "rule", "at", F.get(kinds, F.col("rule")).alias("kind"), F.col("g1").alias("name"), signature.alias("signature"), "line")
 
 
 def env_vars(files: DataFrame) -> DataFrame:
     """``source_path, name, line``, each once."""
-    return _union([matches(files, _borders(p), 1).select("source_path", F.col("g1").alias("name"), "line") for p in ENV]).distinct()
+    return matches(files, [(n, (), _borders(p)) for n, p in enumerate(ENV)]).select("source_path", F.col("g1").alias("name"), "line").distinct()
 
 
 def routes(files: DataFrame) -> DataFrame:
     """``source_path, route, line``, each once; a route without methods is a GET."""
-    plain = [matches(files, _borders(p), 2).select("source_path", F.concat(F.upper("g1"), F.lit(" "), F.col("g2")).alias("route"), "line") for p in ROUTES]
-    named = F.regexp_extract_all(F.coalesce("g2", F.lit("")), F.lit(f"{_T}([A-Za-z]+){_T}"), F.lit(1))
-    flask = matches(files, FLASK, 2).withColumn("method", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("GET")))))
-    return _union([*plain, flask.select("source_path", F.concat(F.upper("method"), F.lit(" "), F.col("g1")).alias("route"), "line")]).distinct()
+    found = matches(files, [(n, (), _borders(p)) for n, p in enumerate((*ROUTES, FLASK))])
+    named = F.regexp_extract_all("g2", F.lit(f"{_T}([A-Za-z]+){_T}"), F.lit(1))
+    flask = F.col("rule") == len(ROUTES)
+    methods = F.when(~flask, F.array("g1")).when(F.size(named) > 0, named).otherwise(F.array(F.lit("GET")))
+    path = F.when(flask, F.col("g1")).otherwise(F.col("g2"))
+    return found.select("source_path", path.alias("path"), "line", F.explode(methods).alias("method")).select("source_path", F.concat(F.upper("method"), F.lit(" "), "path").alias("route"), "line").distinct()
 
 
 def signals(files: DataFrame) -> DataFrame:
@@ -101,13 +117,15 @@ def signals(files: DataFrame) -> DataFrame:
     package = of("package.json").withColumn("json", F.from_json("content", "struct<scripts: map<string, string>, dependencies: map<string, string>>"))
     scripts = package.select("source_path", F.explode(F.map_keys("json.scripts")).alias("k")).select("source_path", F.lit("script").alias("kind"), F.concat(F.lit("npm run "), "k").alias("value"), F.lit(1).alias("line"))
     needs = package.select("source_path", F.explode(F.slice(F.array_sort(F.map_keys("json.dependencies")), 1, MAX_DEPENDENCIES)).alias("value")).select("source_path", F.lit("dependency").alias("kind"), "value", F.lit(1).alias("line"))
-    make = matches(of("makefile"), "(?m)^([A-Za-z0-9_.-]+)\\s*:", 1).where(~F.col("g1").startswith(".")).select("source_path", F.lit("make-target").alias("kind"), F.col("g1").alias("value"), "line")
-    docker = [matches(of("dockerfile"), f"(?m)(?i)^{d}\\s+(.+)$", 1).select("source_path", F.lit("docker").alias("kind"), F.concat(F.lit(f"{d} "), T.js_trim(F.col("g1"))).alias("value"), "line") for d in ("FROM", "EXPOSE", "CMD", "ENTRYPOINT", "HEALTHCHECK")]
-    required = matches(of("requirements.txt"), "(?m)^\\s*([A-Za-z0-9_.-]+)(?:[<>=!~]=.+)?\\s*$", 1).select("source_path", F.lit("dependency").alias("kind"), F.col("g1").alias("value"), "line")
-    project = matches(of("pyproject.toml"), f"(?m)^\\s*name\\s*=\\s*{_Q}([^\"']+){_Q}\\s*$", 1).select("source_path", F.lit("project").alias("kind"), F.col("g1").alias("value"), "line")
-    runtime = matches(of("pyproject.toml"), f"(?m)^\\s*requires-python\\s*=\\s*{_Q}([^\"']+){_Q}\\s*$", 1).select("source_path", F.lit("runtime").alias("kind"), F.concat(F.lit("python "), "g1").alias("value"), "line")
-    flows = matches(files.where(F.col("source_path").rlike("(?i)(^|/)[.]github/workflows/[^/]+[.]ya?ml$")), "(?m)^\\s*-\\s*run:\\s*(.+)$", 1).select("source_path", F.lit("ci-run").alias("kind"), T.js_trim(F.col("g1")).alias("value"), "line")
-    return _union([scripts, needs, make, *docker, required, project, runtime, flows]).distinct()
+    one = lambda df, pattern: matches(df, [(0, (), pattern)])
+    make = one(of("makefile"), "(?m)^([A-Za-z0-9_.-]+)\\s*:").where(~F.col("g1").startswith(".")).select("source_path", F.lit("make-target").alias("kind"), F.col("g1").alias("value"), "line")
+    steps = ("FROM", "EXPOSE", "CMD", "ENTRYPOINT", "HEALTHCHECK")
+    docker = matches(of("dockerfile"), [(n, (), f"(?mi)^{d}\\s+(.+)$") for n, d in enumerate(steps)]).select("source_path", F.lit("docker").alias("kind"), F.concat_ws(" ", F.get(F.array(*map(F.lit, steps)), F.col("rule")), T.js_trim(F.col("g1"))).alias("value"), "line")
+    required = one(of("requirements.txt"), "(?m)^\\s*([A-Za-z0-9_.-]+)(?:[<>=!~]=.+)?\\s*$").select("source_path", F.lit("dependency").alias("kind"), F.col("g1").alias("value"), "line")
+    project = one(of("pyproject.toml"), f"(?m)^\\s*name\\s*=\\s*{_Q}([^\"']+){_Q}\\s*$").select("source_path", F.lit("project").alias("kind"), F.col("g1").alias("value"), "line")
+    runtime = one(of("pyproject.toml"), f"(?m)^\\s*requires-python\\s*=\\s*{_Q}([^\"']+){_Q}\\s*$").select("source_path", F.lit("runtime").alias("kind"), F.concat(F.lit("python "), "g1").alias("value"), "line")
+    flows = one(files.where(F.col("source_path").rlike("(?i)(^|/)[.]github/workflows/[^/]+[.]ya?ml$")), "(?m)^\\s*-\\s*run:\\s*(.+)$").select("source_path", F.lit("ci-run").alias("kind"), T.js_trim(F.col("g1")).alias("value"), "line")
+    return _union([scripts, needs, make, docker, required, project, runtime, flows]).distinct()
 
 
 def _path_name(c: str = "source_path") -> Column:
@@ -138,6 +156,14 @@ def locations(found: DataFrame, key: str, most: int = 3) -> DataFrame:
     return shown.select(key, F.when(F.col("total") > most, F.concat("first", F.lit(", +"), F.col("total") - most, F.lit(" more"))).otherwise(F.col("first")).alias("places"))
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """One row: files, symbols, routes, environment variables and signals of a code base."""
+    code = code_files(files)
+    only, implicit = code.where(is_code()), code.where(is_implicit())
+    of = lambda df, name: df.agg(F.count("*").alias(name))
+    return of(code, "n_files").crossJoin(of(symbols(only), "n_symbols")).crossJoin(of(routes(only), "n_routes")).crossJoin(of(env_vars(only), "n_env_vars")).crossJoin(of(signals(implicit), "n_signals"))
+
+
 def bootstrap(files: DataFrame, library: str) -> DataFrame:
     """Markdown derived from code as one file (rel_path, content). Its size follows
     the number of facts; lines are sorted where they are made and joined once."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatrix.functions import text as T
+from verbatrix.operators.lookups import runs_with
 
 TOKEN = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]"
 POINT_COVERAGE, CLAIM_COVERAGE = 0.6, 0.75
@@ -225,8 +226,7 @@ def grep_hits(lines: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     runs = lines.select("rel_path", "n", F.explode(F.array_distinct(low)).alias("run"))
     per_file = runs.groupBy("run", "rel_path").agg(F.slice(F.array_sort(F.collect_list("n")), 1, most).alias("ns"))
     terms = asked.select("case_id", F.explode("terms").alias("term"))
-    grams = per_file.select("run").distinct().select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substring("run", i, F.lit(3))))).alias("gram"))
-    known = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3)).join(grams, "gram").where(F.col("run").contains(F.col("term"))).select("term", "run")
+    known = runs_with(per_file.select("run"), terms.select(F.col("term").alias("needle"))).withColumnRenamed("needle", "term")
     places = per_file.join(known, "run").select("term", "rel_path", F.explode("ns").alias("n")).distinct()
     ranked = places.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy(T.icu(F.col("rel_path")), "n"))).where(F.col("k") <= most)
     found = terms.join(ranked, "term").select("case_id", "rel_path", "n").distinct()

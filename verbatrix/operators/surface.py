@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from verbatrix.errors import EngineError
 from verbatrix.functions import text as T
+from verbatrix.operators import lookups
 
 EXTENSIONS = (".ts", ".tsx", ".js", ".mjs", ".cjs")
 IGNORED = ("node_modules", ".git", "coverage", ".cache", "tmp", "temp")
@@ -233,8 +234,8 @@ def source_files(files: DataFrame, entries: tuple[str, ...] = (), max_files: int
     limits: ``files`` with ``file_rank``. Paths and sizes alone are ranked."""
     kept = files.where(F.lower(F.regexp_extract("rel_path", "([.][^./]+)$", 1)).isin(*EXTENSIONS) & ~F.exists(F.split("rel_path", "/"), lambda p: p.isin(*IGNORED)))
     entry = F.coalesce(F.array_position(F.array(*map(F.lit, entries)), F.col("rel_path")), F.lit(0)) if entries else F.lit(0)
-    order = Window.orderBy(F.when(entry > 0, entry).otherwise(1 << 30), T.icu(F.col("rel_path")))
-    ranked = kept.select("rel_path", F.octet_length("content").alias("bytes"), entry.alias("entry")).select("rel_path", "bytes", F.row_number().over(order).cast("bigint").alias("file_rank"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("through"))
+    sized = kept.select("rel_path", F.octet_length("content").cast("bigint").alias("bytes"), F.when(entry > 0, entry).otherwise(1 << 30).alias("entry"))
+    ranked = lookups.running(sized, [F.col("entry"), T.icu(F.col("rel_path"))], {"through": "bytes"}).withColumnRenamed("number", "file_rank")
     within = ranked.where((F.col("file_rank") <= max_files) & (F.col("through") <= max_bytes)).select("rel_path", "file_rank")
     return kept.join(within, "rel_path")
 
@@ -275,7 +276,11 @@ def examples(files: DataFrame, symbols: DataFrame, most: int = MAX_EXAMPLES) ->
     block around it, in code the lines near it."""
     places = files.where(F.col("rel_path").rlike(EXAMPLE_ROOTS) & F.col("rel_path").rlike(EXAMPLE_FILES)).select(F.col("rel_path").alias("source_path"), F.regexp_replace("content", "\r\n", "\n").alias("content"))
     called = F.concat("name", F.lit("("))
-    hit = places.crossJoin(symbols.select("symbol_id", "fq_name", "name")).where(F.col("content").contains(F.col("fq_name")) | F.col("content").contains(called))
+    named = symbols.select("symbol_id", "fq_name", "name")
+    # either form has the name within a word of the file: files and names meet by words
+    words = places.select("source_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[\\p{L}\\p{N}_$]+"), F.lit(0)))).alias("run"))
+    met = words.join(lookups.runs_with(words.select("run"), named.select(F.col("name").alias("needle"))), "run").select("source_path", F.col("needle").alias("name")).distinct()
+    hit = places.join(met, "source_path").join(named, "name").where(F.col("content").contains(F.col("fq_name")) | F.col("content").contains(called))
     hit = hit.withColumn("needle", F.when(F.col("content").contains(F.col("fq_name")), F.col("fq_name")).otherwise(called))
     lined = hit.withColumn("lines", F.split("content", "\n", -1))
     code = lined.where(~F.col("source_path").rlike("(?i)[.](md|markdown|mdx)$")).select("symbol_id", "source_path", "needle", "lines", F.posexplode("lines").alias("pos", "line")).where(F.col("line").contains(F.col("needle")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatrix.functions import text as T
-from verbatrix.operators import acquire, codeintel, trails
+from verbatrix.operators import acquire, codeintel, surface, trails
 from verbatrix.plans import corpus, sql
+from verbatrix.sources import shared
 
 _EXT = {"en": ".ts", "fr": ".py", "de": ".go", "es": ".rs"}
 _BODY = (
@@ -15,6 +18,13 @@ _BODY = (
     "@app.get('/{S}')\n@app.route('/{L}', methods=['GET', 'post'])\nrouter.POST(\"/jobs\")\nDeno.env.get(\"TOKEN_A\")\n"
 )
 
+_TOOLS = (
+    ("package.json", '{"scripts": {"build-{L}": "x", "test": "y"}, "dependencies": {"{S}": "1", "dep-{N}": "2"}}'), ("Makefile", "all: x\n\tcc {S}\n{S}-{N}: y\n.PHONY: all\n"), ("Dockerfile", "FROM {S}:1\nRUN x\nEXPOSE 80{N}\ncmd run {L} \n"),
+    ("requirements.txt", "# pinned\n{S}==1.{N}\n{L}\n"), ("pyproject.toml", '[project]\nname = "{S}"\nrequires-python = ">=3.{N}"\n'), (".github/workflows/ci.yml", "jobs:\n  - run: test {L}\n  - uses: x\n  - run: lint {N} \n"),
+)
+_MODULE = "/** Adds {N} to it. */\nexport function f{N}(a: string, b = 2): number {\n  return 1;\n}\nexport class C{C} {\n  run(x) { return x; }\n}\nexport const v{N} = 1;\nexport type T{N} = { a: string };\nfunction hidden{N}() {}\nexport { hidden{N} as shown{N} };\n"
+_LOOKUPS = ("f7", "hidd", "run x")
+
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file for each document: declarations that name its source and
@@ -39,6 +49,66 @@ def code_routes(spark, d):
     return codeintel.routes(code(spark, d))
 
 
+def tools(spark, d) -> DataFrame:
+    """Tooling files of a code base, a package's, a build's, a container's or a workflow's for each document."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kind = F.col("doc_id") % len(_TOOLS)
+    name, body = F.lit(_TOOLS[0][0]), F.lit(_TOOLS[0][1])
+    for n, (path, text) in enumerate(_TOOLS[1:], 1):
+        name, body = F.when(kind == n, path).otherwise(name), F.when(kind == n, text).otherwise(body)
+    for mark, column in (("{L}", F.col("lang")), ("{S}", F.col("source")), ("{N}", (F.col("doc_id") % 20).cast("string"))):
+        body = F.replace(body, F.lit(mark), column)
+    return docs.select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("source_path"), body.alias("content"))
+
+
+def code_signals(spark, d):
+    return codeintel.signals(tools(spark, d))
+
+
+def code_totals(spark, d):
+    """Totals of the source files and the tooling files together."""
+    every = code(spark, d).select(F.col("source_path").alias("rel_path"), "content").unionByName(tools(spark, d).select(F.col("source_path").alias("rel_path"), "content"))
+    return codeintel.totals(every)
+
+
+def package(spark, d) -> DataFrame:
+    """A module for each document: a function, a class that many modules declare, a constant,
+    a type, and a function that is exported by another name, before its text as a comment."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = F.col("doc_id").cast("string")
+    body = F.replace(F.replace(F.lit(_MODULE), F.lit("{N}"), n), F.lit("{C}"), (F.col("doc_id") % 50).cast("string"))
+    return docs.select(F.concat(F.lit("src/m"), F.lpad(n, 8, "0"), F.lit(".ts")).alias("rel_path"), F.concat(body, F.lit("/*\n"), F.replace("text", F.lit("*/"), F.lit("")), F.lit("\n*/\n")).alias("content"))
+
+
+_SYMBOL = ["symbol_id", "name", "fq_name", "kind", "summary", "module_path", "line_start", "line_end"]
+
+
+def surface_symbols(spark, d):
+    symbols, _, _ = surface.surface(package(spark, d), "pkg")
+    return symbols.select(*_SYMBOL, F.array_join("signatures", "|").alias("signatures"))
+
+
+def surface_exports(spark, d):
+    _, exports, _ = surface.surface(package(spark, d), "pkg")
+    return exports.select("export_name", "kind", "symbol_id")
+
+
+def fn_lookup(spark, d):
+    """Symbols by an exact name, by a prefix and by words, each in the best tier that it has."""
+    symbols = shared.written(surface.surface(package(spark, d), "pkg")[0], "surface")
+    found = [surface.lookup(symbols, q).select(F.lit(q).alias("query"), "symbol_id", "match_type", T.fixed(F.col("match_score")).alias("match_score")) for q in _LOOKUPS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def code_examples(spark, d):
+    """Uses of twelve functions in an example file for each document."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    k = (F.col("doc_id") % 17).cast("string")
+    files = docs.select(F.concat(F.lit("examples/d"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".js")).alias("rel_path"), F.concat("text", F.lit("\ncall_"), k, F.lit("(x)\nApi.call_"), k, F.lit("\n"), "source").alias("content"))
+    symbols = spark.range(12).select(F.format_string("pkg::Api.call_%d", "id").alias("symbol_id"), F.format_string("Api.call_%d", "id").alias("fq_name"), F.format_string("call_%d", "id").alias("name"))
+    return surface.examples(files, symbols).select("symbol_id", "position", "source_path", "line_start", "line_end", "code")
+
+
 def code_locations(spark, d):
     return codeintel.locations(codeintel.env_vars(code(spark, d)), "name")
 
@@ -79,7 +149,7 @@ def trail_fold(spark, d):
     return state.select("trail_id", "objective", *[F.array_join(c, "|").alias(c) for c in ("visited_refs", "pinned_evidence", "coverage_tags")])
 
 
-_NAMES = (code_symbols, code_env_vars, code_routes, code_locations, trust_scan, host_policy, fetch_limits, discover, trail_fold)
+_NAMES = (code_symbols, code_env_vars, code_routes, code_locations, code_signals, code_totals, surface_symbols, surface_exports, fn_lookup, code_examples, trust_scan, host_policy, fetch_limits, discover, trail_fold)
 
 
 def queries() -> dict:
@@ -91,8 +161,14 @@ _B = "replace(replace('" + _BODY.replace("{{", "{").replace("}}", "}").replace("
 _CODE = f"WITH code AS (SELECT 'src/d' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || {_E} AS source_path, {_E} AS extension, {_B} || '/*' || chr(10) || text || chr(10) || '*/' || chr(10) || {_B} AS content FROM documents)"
 
 
+def _with_prefix(pattern: str) -> str:
+    """``pattern`` with what lies before each match; the end of the text counts as a last one."""
+    flag = re.match("\\(\\?(mi?)\\)", pattern)
+    return (f"(?{flag[1]})" if flag else "") + f"([\\s\\S]*?)((?:{pattern[len(flag[0]) if flag else 0:]})|\\z)"
+
+
 def _sql_matches(pattern: str, groups: int, where: str = "TRUE") -> str:
-    full = codeintel._with_prefix(pattern.replace("{L}", "\\b").replace("{R}", "\\b")).replace("'", "''")
+    full = _with_prefix(pattern.replace("{L}", "\\b").replace("{R}", "\\b")).replace("'", "''")
     nl = "(length(x) - length(replace(x, chr(10), '')))"
     lists = ", ".join(f"regexp_extract_all(content, '{full}', {i}) AS p{i}" for i in range(1, groups + 3))
     line = f"1 + list_sum(list_transform(p1[1:i], lambda x: {nl})) + coalesce(list_sum(list_transform(p2[1:i - 1], lambda x: {nl})), 0)"
@@ -118,8 +194,70 @@ def _routes() -> str:
     return " UNION ".join([*plain, f"SELECT source_path, upper(unnest(CASE WHEN len({named}) > 0 THEN {named} ELSE ['GET'] END)) || ' ' || g1, line FROM (SELECT source_path, line, g1, coalesce(g2, '') AS g2 FROM ({_sql_matches(codeintel.FLASK, 2)}))"])
 
 
+def _tool(i: int) -> str:
+    cases = " ".join(f"WHEN {n} THEN '" + t[i].replace("'", "''") + "'" for n, t in enumerate(_TOOLS))
+    return f"CASE doc_id % {len(_TOOLS)} {cases} END"
+
+
+_TOOL_FILES = f"SELECT 'p' || doc_id || '/' || {_tool(0)} AS source_path, replace(replace(replace({_tool(1)}, '{{L}}', lang), '{{S}}', source), '{{N}}', CAST(doc_id % 20 AS VARCHAR)) AS content FROM documents"
+
+
+def _signals() -> str:
+    """``SELECT``s over the table ``code`` of tooling files."""
+    at = lambda name: f"ends_with(source_path, '/{name}')"
+    m = lambda pattern, name: f"({_sql_matches(pattern, 1, at(name))})"
+    q = "[\"']"
+    return " UNION ".join([
+        f"SELECT source_path, 'script' AS kind, 'npm run ' || unnest(json_keys(content, '$.scripts')) AS value, 1 AS line FROM code WHERE {at('package.json')}",
+        f"SELECT source_path, 'dependency', unnest(list_sort(json_keys(content, '$.dependencies'))[1:12]), 1 FROM code WHERE {at('package.json')}",
+        f"SELECT source_path, 'make-target', g1, line FROM {m('(?m)^([A-Za-z0-9_.-]+)[ ]*:', 'Makefile')} WHERE NOT starts_with(g1, '.')",
+        *[f"SELECT source_path, 'docker', '{x} ' || trim(g1), line FROM {m(f'(?mi)^{x} +(.+)$', 'Dockerfile')}" for x in ("FROM", "EXPOSE", "CMD", "ENTRYPOINT", "HEALTHCHECK")],
+        f"SELECT source_path, 'dependency', g1, line FROM {m('(?m)^ *([A-Za-z0-9_.-]+)(?:[<>=!~]=.+)?$', 'requirements.txt')}",
+        f"SELECT source_path, 'project', g1, line FROM {m(f'(?m)^name *= *{q}([^{q[1:-1]}]+){q}', 'pyproject.toml')}", f"SELECT source_path, 'runtime', 'python ' || g1, line FROM {m(f'(?m)^requires-python *= *{q}([^{q[1:-1]}]+){q}', 'pyproject.toml')}",
+        f"SELECT source_path, 'ci-run', trim(g1), line FROM {m('(?m)^ *- *run: *(.+)$', '.github/workflows/ci.yml')}",
+    ])
+
+
+#: The first modules by path, up to the limits of a surface; a class counts where it is declared first.
+_MODULES = f"""WITH sized AS (SELECT doc_id AS n, 'src/m' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.ts' AS path, strlen(replace(replace('{_MODULE}', '{{N}}', CAST(doc_id AS VARCHAR)), '{{C}}', CAST(doc_id % 50 AS VARCHAR)) || '/*' || chr(10) || replace(text, '*/', '') || chr(10) || '*/' || chr(10)) AS bytes FROM documents),
+m AS (SELECT * FROM (SELECT *, row_number() OVER w AS file_rank, sum(bytes) OVER w AS through FROM sized WINDOW w AS (ORDER BY path ROWS UNBOUNDED PRECEDING)) WHERE file_rank <= {surface.MAX_FILES} AND through <= {surface.MAX_BYTES}),
+c AS (SELECT n % 50 AS k, min(path) AS path FROM m GROUP BY n % 50),
+symbols AS (SELECT 'pkg::' || fq_name AS symbol_id, * FROM (
+  SELECT 'f' || n AS name, 'f' || n AS fq_name, 'function' AS kind, 'Adds ' || n || ' to it.' AS summary, path AS module_path, 2 AS line_start, 4 AS line_end, 'f' || n || '(a: string, b = 2): number' AS signatures FROM m
+  UNION ALL SELECT 'C' || k, 'C' || k, 'class', '', path, 5, 7, 'class C' || k FROM c UNION ALL SELECT 'run', 'C' || k || '.run', 'method', '', path, 6, 6, 'run(x)' FROM c
+  UNION ALL SELECT 'v' || n, 'v' || n, 'function', '', path, 8, 8, 'v' || n FROM m UNION ALL SELECT 'T' || n, 'T' || n, 'type', '', path, 9, 9, 'type T' || n || ' = {{ a: string }}' FROM m
+  UNION ALL SELECT 'hidden' || n, 'hidden' || n, 'function', '', path, 10, 10, 'hidden' || n || '()' FROM m))"""
+
+
+def _lookup(query: str) -> str:
+    q = query.lower()
+    asked = sql.tokens(f"'{q}'")
+    words = sql.tokens("name || ' ' || fq_name || ' ' || signatures || ' ' || summary")
+    tier = f"CASE WHEN lower(name) = '{q}' OR lower(fq_name) = '{q}' OR ends_with(lower(symbol_id), '::{q}') THEN 1 WHEN starts_with(lower(fq_name), '{q}') OR contains(lower(fq_name), '.{q}') OR starts_with(lower(name), '{q}') THEN 2 ELSE 3 END"
+    rated = f"SELECT symbol_id, {tier} AS tier, len(list_filter({asked}, lambda t: list_contains({words}, t)))::DOUBLE / len({asked}) AS fuzzy FROM symbols"
+    scored = f"SELECT symbol_id, tier, CASE tier WHEN 1 THEN 1e0 WHEN 2 THEN 8e-1 ELSE fuzzy END AS score FROM ({rated})"
+    return f"SELECT '{query}' AS query, symbol_id, ['exact', 'prefix', 'fuzzy'][tier] AS match_type, {sql.fixed('score')} AS match_score FROM (SELECT *, min(tier) OVER () AS best FROM ({scored}) WHERE score > 0) WHERE tier = best"
+
+
+_EXAMPLES = f"""WITH files AS (SELECT 'examples/d' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.js' AS path, replace(text, chr(13) || chr(10), chr(10)) || chr(10) || 'call_' || (doc_id % 17) || '(x)' || chr(10) || 'Api.call_' || (doc_id % 17) || chr(10) || source AS content FROM documents),
+named AS (SELECT 'call_' || i AS name, 'Api.call_' || i AS fq FROM range(12) r(i)), hit AS (SELECT path, content, fq, CASE WHEN contains(content, fq) THEN fq ELSE name || '(' END AS needle FROM files JOIN named ON contains(content, fq) OR contains(content, name || '(')),
+lined AS (SELECT path, fq, needle, string_split(content, chr(10)) AS ls FROM hit), numbered AS (SELECT *, unnest(range(1, len(ls) + 1)) AS n FROM lined),
+near AS (SELECT DISTINCT fq, path, greatest(1, n - {surface.AROUND}) AS s, least(len(ls), n + {surface.AROUND}) AS e, ls FROM numbered WHERE contains(ls[n], needle)), cut AS (SELECT fq, path, s, e, {sql.trim('array_to_string(ls[s:e], chr(10))')} AS code FROM near),
+placed AS (SELECT *, row_number() OVER (PARTITION BY fq ORDER BY path, s) AS position FROM cut WHERE code <> '')
+SELECT 'pkg::' || fq AS symbol_id, position, path AS source_path, s AS line_start, e AS line_end, code FROM placed WHERE position <= {surface.MAX_EXAMPLES}"""
+
+
 def oracle_sql() -> dict[str, str]:
+    tools_ = f"WITH code AS ({_TOOL_FILES})"
+    count = lambda x: f"(SELECT count(*) FROM ({x}))"
     return {
+        "code_signals": f"{tools_} {_signals()}",
+        "code_totals": f"WITH {_CODE[len('WITH '):]}, t AS ({_TOOL_FILES}) SELECT (SELECT count(*) FROM code) + (SELECT count(*) FROM t) AS n_files, {count(_symbols())} AS n_symbols, {count(_routes())} AS n_routes, {count(_ENV)} AS n_env_vars, (SELECT count(*) FROM (WITH code AS (SELECT * FROM t) {_signals()})) AS n_signals",
+        "surface_symbols": f"{_MODULES} SELECT * FROM symbols",
+        "surface_exports": f"""{_MODULES} SELECT 'f' || n AS export_name, 'function' AS kind, 'pkg::f' || n AS symbol_id FROM m UNION ALL SELECT 'C' || k, 'class', 'pkg::C' || k FROM c UNION ALL SELECT 'v' || n, 'function', 'pkg::v' || n FROM m
+            UNION ALL SELECT 'T' || n, 'type', 'pkg::T' || n FROM m UNION ALL SELECT 'shown' || n, 'function', 'pkg::hidden' || n FROM m""",
+        "fn_lookup": f"{_MODULES} " + " UNION ALL ".join(map(_lookup, _LOOKUPS)),
+        "code_examples": _EXAMPLES,
         "code_symbols": f"{_CODE} {_symbols()}",
         "code_env_vars": f"{_CODE} {_ENV}",
         "code_routes": f"{_CODE} {_routes()}",

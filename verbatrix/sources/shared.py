@@ -19,7 +19,7 @@ def folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise EngineError("INVALID_CONFIG", "spark.checkpoint.dir is not set", "name a folder that all executors share")
+        raise EngineError("INVALID_ARGS", "spark.checkpoint.dir is not set", "name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="verbatrix-")
