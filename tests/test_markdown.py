@@ -65,3 +65,13 @@ def test_empty_corpus(spark):
     ix = Index.of(spark.createDataFrame([], "rel_path string, content string"))
     assert ix.sections.count() == ix.units.count() == ix.graph.count() == 0
     assert ix.stats().first().sections_per_doc == 0.0
+
+
+def test_files_with_one_document_id_are_parsed_apart(spark):
+    ix = build(spark, ("guide/index.md", "# B\ntwo\n\nsame line."), ("guide.md", "# A\none\n\nsame line.\n# A\nmore"))
+    rows = ix.sections.orderBy("source_path", "line_start").collect()
+    assert [(r.source_path, r.doc_id, r.anchor, r.line_start, r.line_end, r.text) for r in rows] == [
+        ("guide.md", "guide", "a", 1, 4, "one same line."), ("guide.md", "guide", "a-1", 5, 6, "more"), ("guide/index.md", "guide", "b", 1, 4, "two same line.")]
+    near = {(r.src_ref, r.dst_ref, r.kind) for r in ix.graph.where("kind < 2").collect()}
+    assert near == {("guide#a", "guide#b", 1), ("guide#b", "guide#a", 0), ("guide#b", "guide#a-1", 1), ("guide#a-1", "guide#b", 0)}
+    assert {(r.source_path, r.sections) for r in ix.list_docs().collect()} == {("guide.md", 3), ("guide/index.md", 3)}

@@ -30,6 +30,8 @@ L1, L2, RATE, BETA = 0.02, 0.02, 0.5, 1.0
 #: A document whose most probable language has less than this is rejected.
 MIN_PROBABILITY = 0.6
 SCALE = 64.0
+#: Bytes of text whose grams are made at once; they take some hundred bytes each.
+TEXT = 1 << 19
 #: Grams whose weights are looked up at once.
 PIECE = 1 << 18
 RESULT = "doc_id bigint, lang_pred string, probability double, rejected boolean"
@@ -84,7 +86,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _document_frequency(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, mark, n = np.zeros(SIZE, np.int64), np.zeros(SIZE, bool), 0
     for batch in it:
-        for part in common.batches_of(iter([batch]), "text", 2 << 20):
+        for part in common.batches_of(iter([batch]), "text", TEXT):
             g, off = grams(part.column("text").to_pylist())
             for i in range(part.num_rows):
                 own = g[off[i] : off[i + 1]]
@@ -99,7 +101,7 @@ def _document_frequency(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _gram_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        for part in common.batches_of(iter([batch]), "text", 2 << 20):
+        for part in common.batches_of(iter([batch]), "text", TEXT):
             g, off = grams(part.column("text").to_pylist())
             own = [np.unique(g[s:e], return_counts=True) for s, e in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([f.tobytes() for f, _ in own], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in own], pa.binary())], ["lang", "key", "grams", "counts"])
@@ -201,7 +203,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     last = {r.lang: r["last"] for r in last.collect()}
     chosen = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     sample = labelled.where(F.col("key") <= F.element_at(chosen, F.col("lang"))).mapInArrow(_gram_counts, "lang string, key bigint, grams binary, counts binary").dropDuplicates(["key", "lang"])
-    rows = sorted(sample.collect(), key=lambda r: (r.key, r.lang))
+    # in an order that is independent of the choice by key: what is held out has all languages
+    rows = sorted(sample.collect(), key=lambda r: (int(common.mix64(np.array([r.key]).view(np.uint64), 23)[0]), r.key, r.lang))
     langs = sorted({r.lang for r in rows})
     y = np.array([langs.index(r.lang) for r in rows])
     held = max(1, int(len(rows) * HELD_OUT)) if len(rows) > 4 else 0
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 def _predict(model: Model, least: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in common.batches_of(iter([batch]), "text", 2 << 20):
+            for part in common.batches_of(iter([batch]), "text", TEXT):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 g, off = grams(texts)
                 p = model.probabilities(g, off)
@@ -251,7 +254,7 @@ def _accepted(model: Model, least: float, text_col: str):
     """Rows that aren't rejected, all columns."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in common.batches_of(iter([batch]), text_col, 2 << 20):
+            for part in common.batches_of(iter([batch]), text_col, TEXT):
                 g, off = grams([x or "" for x in part.column(part.schema.get_field_index(text_col)).to_pylist()])
                 ok = (np.diff(off) > 0) & (model.probabilities(g, off).max(1) >= least)
                 yield part.filter(pa.array(ok))

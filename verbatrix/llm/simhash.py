@@ -135,7 +135,7 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.batches_of(it, "text", 4 << 20):
+    for batch in common.batches_of(it, "text", 1 << 20):
         fp, any_word = fingerprints(*common.text_bytes(batch.column("text")))
         some = np.flatnonzero(any_word)
         binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(some), [None, pa.py_buffer(np.ascontiguousarray(fp[some]))]).cast(pa.binary())

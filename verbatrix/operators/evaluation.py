@@ -91,17 +91,18 @@ def score_answers(answers: DataFrame) -> DataFrame:
     return out.withColumn("comprehension_score", final_score(*map(F.col, ("required_points_score", "citation_score", "judge_score", "forbidden_claims_penalty"))))
 
 
-def trim_blocks(blocks: DataFrame, max_tokens: int) -> DataFrame:
-    """Context blocks (case_id, position, text, citation) cut to a token budget:
+def trim_blocks(blocks: DataFrame, max_tokens: int | Column) -> DataFrame:
+    """Context blocks (case_id, position, text, citation) cut to a token budget, one number or a column of ``blocks``:
     whole blocks in order, the first that doesn't fit in part, none after it."""
-    clean = blocks.select("case_id", "position", T.js_trim(F.coalesce("text", F.lit(""))).alias("text"), T.js_trim(F.coalesce("citation", F.lit(""))).alias("citation")).where("text <> ''")
+    most = max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)
+    clean = blocks.select("case_id", "position", most.alias("most"), T.js_trim(F.coalesce("text", F.lit(""))).alias("text"), T.js_trim(F.coalesce("citation", F.lit(""))).alias("citation")).where("text <> ''")
     full = F.when(F.col("citation") != "", F.concat("text", F.lit("\n[citation] "), F.col("citation"))).otherwise(F.col("text"))
     used = clean.withColumn("tokens", count_tokens(full)).withColumn("through", F.sum("tokens").over(Window.partitionBy("case_id").orderBy("position")))
-    used = used.withColumn("before", F.col("through") - F.col("tokens")).withColumn("overflow", (F.col("through") > max_tokens).cast("int"))
+    used = used.withColumn("before", F.col("through") - F.col("tokens")).withColumn("overflow", (F.col("through") > F.col("most")).cast("int"))
     used = used.withColumn("overflows", F.sum("overflow").over(Window.partitionBy("case_id").orderBy("position")))
     # all blocks before the first that overflows fit; of that one the rest of the budget is filled
-    kept = used.where((F.col("overflows") == 0) | ((F.col("overflows") == 1) & (F.col("overflow") == 1) & (F.lit(max_tokens) - F.col("before") > 0)))
-    part = F.concat(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lit(1), F.greatest(F.lit(8), max_tokens - F.col("before") - 8).cast("int")), " "), F.lit(" ..."))
+    kept = used.where((F.col("overflows") == 0) | ((F.col("overflows") == 1) & (F.col("overflow") == 1) & (F.col("most") - F.col("before") > 0)))
+    part = F.concat(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lit(1), F.greatest(F.lit(8), F.col("most") - F.col("before") - 8).cast("int")), " "), F.lit(" ..."))
     return kept.select("case_id", "position", F.when(F.col("overflow") == 1, part).otherwise(F.col("text")).alias("text"), "citation")
 
 

@@ -226,7 +226,9 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, rank, content in zip(batch["rel_path"], batch["file_rank"], batch["content"]):
             rows, broken = scan(content)
             out += [{"module_path": path, "file_rank": rank, "seq": n, "broken": broken, **r} for n, r in enumerate(rows)]
-        yield pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names})
+        # no rows: no batch
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
 
 def source_files(files: DataFrame, entries: tuple[str, ...] = (), max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:

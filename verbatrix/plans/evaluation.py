@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verbatrix.functions import text as T
 from verbatrix.operators import evaluation as E
+from verbatrix.operators import hops
 from verbatrix.plans import corpus, sql
 
 _POINTS = ("run the job || execute the task", "token data", "the")
@@ -87,7 +88,26 @@ def eval_first_hop(spark, d):
     return cited.select("case_id", E.first_hop_precision(F.array(F.lit("D0000000"), F.lit("5.md")), F.col("cited")).alias("precision"))
 
 
-_NAMES = (eval_tool_agg, eval_pairwise, eval_gates, eval_scores, eval_citations, eval_tokens, eval_trim, eval_dup_ratio, grep_retrieve, eval_first_hop)
+def _full_cases(spark, d):
+    """Benchmark texts as cases with points, citations and claims to look for."""
+    arr = lambda *xs: F.array(*map(F.lit, xs))
+    return _cases(spark, d).withColumns({"required_points": arr(*_POINTS), "acceptable_citations": arr("d00000002.md", "5-7"), "forbidden_claims": arr(*_CLAIMS), "max_context_tokens": F.lit(300)})
+
+
+def eval_run(spark, d):
+    """Records of the grep tool over all cases, answered and judged by the stand-ins."""
+    cases = _full_cases(spark, d)
+    out = hops.run(cases, E.grep_retrieve(corpus.files(spark, d), cases), "grep")
+    return out.select("case_id", "tool", "pass_index", "retrieval_tokens", "answer_text", F.array_join("answer_citations", "|").alias("answer_citations"), "tokens_per_required_point", *_SCORES, "ok", "error")
+
+
+def eval_multi_hop(spark, d):
+    """Every case through all hops over the whole corpus."""
+    out = hops.multi_hop(corpus.stored(spark, d), _full_cases(spark, d))
+    return out.select("case_id", F.array_join(F.transform("context_blocks", lambda b: b["citation"]), "|").alias("citations"), F.array_join(F.transform("context_blocks", lambda b: b["text"]), "\n").alias("text"), *hops.META, "command_count")
+
+
+_NAMES = (eval_run, eval_multi_hop, eval_tool_agg, eval_pairwise, eval_gates, eval_scores, eval_citations, eval_tokens, eval_trim, eval_dup_ratio, grep_retrieve, eval_first_hop)
 
 
 def queries() -> dict:
@@ -159,5 +179,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT case_id, position, CASE WHEN k = 0 THEN text ELSE array_to_string(regexp_extract_all(text, '{token}')[1:greatest(8, 1200 - before - 8)], ' ') || ' ...' END AS text, citation FROM v WHERE k = 0 OR (k = 1 AND through > 1200 AND 1200 - before > 0)""",
         "eval_dup_ratio": f"WITH k AS (SELECT source AS case_id, nullif({_normalize('text')}, '') AS key FROM documents), a AS (SELECT case_id, (count(key) - count(DISTINCT key))::DOUBLE / greatest(1, count(*)) AS x FROM k GROUP BY case_id) SELECT case_id, {sql.fixed('x')} AS duplicate_context_ratio FROM a",
         "grep_retrieve": f"{_GREP} SELECT * FROM blocks",
+        "eval_run": f"""{_GREP}, b AS (SELECT case_id, position, {sql.trim('text')} AS text, citation FROM blocks), t AS (SELECT *, len(regexp_extract_all(CASE WHEN citation <> '' THEN text || chr(10) || '[citation] ' || citation ELSE text END, '{token}')) AS n FROM b WHERE text <> ''),
+            u AS (SELECT *, sum(n) OVER (PARTITION BY case_id ORDER BY position) AS through FROM t), v AS (SELECT *, through - n AS before, sum(CAST(through > 300 AS INT)) OVER (PARTITION BY case_id ORDER BY position) AS k FROM u),
+            w AS (SELECT case_id, position, CASE WHEN k = 0 THEN text ELSE array_to_string(regexp_extract_all(text, '{token}')[1:greatest(8, 300 - before - 8)], ' ') || ' ...' END AS text, citation FROM v WHERE k = 0 OR (k = 1 AND through > 300 AND 300 - before > 0)),
+            g AS (SELECT case_id, list(text ORDER BY position) AS ts, list(citation ORDER BY position) AS cs, CAST(sum(len(regexp_extract_all(text, '{token}')) + len(regexp_extract_all(citation, '{token}'))) AS INT) AS tokens FROM w GROUP BY case_id),
+            s0 AS (SELECT case_id, tokens, {sql.trim("'Based on the retrieved documentation, ' || q.text || ' ' || split_part(ts[1], chr(10), 1) || CASE WHEN len(ts) > 1 THEN ' ' || split_part(ts[2], chr(10), 1) ELSE '' END || chr(10) || chr(10) || 'Citations: ' || array_to_string(list_transform(cs[1:3], lambda c: '[' || c || ']'), ', ')")} AS a FROM g JOIN benchmark q ON q.item_id = g.case_id),
+            s1 AS (SELECT *, {sql.first_distinct(_CITES)} AS c, {_normalize('a')} AS h FROM s0), s2 AS (SELECT *, lower(array_to_string(c, chr(10)) || chr(10) || a) AS l, {' + '.join(f"CAST({_HIT(p, '6e-1')} AS INT)" for p in _POINTS)} AS hits, {forbidden} AS f0 FROM s1),
+            s3 AS (SELECT *, hits::DOUBLE / {len(_POINTS)} AS r0, (CAST(contains(l, 'd00000002.md') AS INT) + CAST(contains(l, '5-7') AS INT))::DOUBLE / 2 AS c0, CASE WHEN hits > 0 THEN tokens::DOUBLE / hits ELSE 0e0 END AS p0 FROM s2), s4 AS (SELECT *, {sql.fixed('r0')} AS r, {sql.fixed('c0')} AS cc, {sql.fixed('f0')} AS f, {sql.fixed('p0')} AS per FROM s3),
+            s5 AS (SELECT *, least(1e0, greatest(0e0, r * 7e-1 + cc * 3e-1)) AS j0 FROM s4), s6 AS (SELECT *, {sql.fixed('j0')} AS j FROM s5), s7 AS (SELECT *, greatest(0e0, least(1e0, r * 45e-2 + cc * 2e-1 + j * 35e-2 - f * 2e-1)) AS t0 FROM s6)
+            SELECT case_id, 'grep' AS tool, 1 AS pass_index, tokens AS retrieval_tokens, a AS answer_text, array_to_string(c, '|') AS answer_citations, per AS tokens_per_required_point, r AS required_points_score, cc AS citation_score, f AS forbidden_claims_penalty, j AS judge_score, {sql.fixed('t0')} AS comprehension_score, TRUE AS ok, '' AS error FROM s7""",
         "eval_first_hop": f"{_GREP}, p AS (SELECT case_id, count(*) FILTER (WHERE contains(lower(citation), 'd0000000') OR contains(lower(citation), '5.md'))::DOUBLE / count(*) AS x FROM blocks GROUP BY case_id) SELECT case_id, {sql.fixed('x')} AS precision FROM p",
     }
