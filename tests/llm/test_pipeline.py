@@ -43,6 +43,20 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert {r.doc_id for r in packed} <= ids and {r.doc_id for r in packed} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, shard int"
+    english = "the quick brown fox and the lazy dog went over the hills with some other words number "
+    rows = [(i, english + str(i) * 3 + " " + " ".join(f"w{i}x{j}" for j in range(30)), "en", "a", 1, "k", 1) for i in range(1, 13)]
+    rows += [rows[0], rows[0], (20, None, "en", "a", 1, None, None), (21, "", "en", "a", 0, "k", 1), (None, rows[3][1], None, None, None, "k", 1), (22, english * 3000, None, None, None, None, None), (23, "1 2 3", "en", "b", 5, "k", 2)]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "some/documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    ids = {r.doc_id for r in out}
+    assert not ids & {20, 21, 23} and ids <= {*range(1, 13), 22, None}
+    assert all(r.window is not None and r.n_tokens > 0 for r in out)
+    spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_entry_has_every_query():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *registry.queries()} <= names and set(__spark_entry__.oracle_sql()) <= names

@@ -152,6 +152,46 @@ def test_permutations():
     assert list(mixing.permute(np.arange(100), 100, 5)) != list(mixing.permute(np.arange(100), 100, 6))
 
 
+def test_draws_equal_a_plain_version(spark):
+    df, tok, wide = corpus(spark), tokens.tokenizer(), (1 << 64) - 1
+    weights, slots, side, block = {"a": 1.0, "b": 2.0, "c": 0.5}, 250, 64, 128
+
+    def mixed(h, seed):
+        h = (h + 0x9E3779B97F4A7C15 * (seed + 1)) & wide
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & wide
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & wide
+        return h ^ (h >> 31)
+
+    def image(x, n, seed):
+        bits = 1
+        while 1 << 2 * bits < n:
+            bits += 1
+        low = (1 << bits) - 1
+        while True:
+            left, right = x >> bits, x & low
+            for r in range(6):
+                left, right = right, left ^ (mixed(right ^ mixed(seed, r), r) & low)
+            x = left << bits | right
+            if x < n:
+                return x
+
+    total = {}
+    for r in df.collect():
+        total[r.source] = total.get(r.source, 0) + tok.count(r.text)
+    names, before, want = sorted(total), {s: 0 for s in total}, set()
+    share = np.array([weights[s] for s in names])
+    for shard in range(-(-slots // side)):
+        size, place = min(side, slots - shard * side), 0
+        for k, count in enumerate(np.random.default_rng([mixing.SEED, shard]).multinomial(size, share / share.sum()).tolist()):
+            own, n = names[k], -(-total[names[k]] // block)
+            for _ in range(count):
+                turn, index = divmod(before[own], n)
+                want.add((shard, image(place, size, shard + mixing.SEED + 1), own, image(index, n, (mixing.SEED << 32) + (turn << 16) + k), turn))
+                before[own], place = before[own] + 1, place + 1
+    got = mixing.mix(df, weights, block=block, slots=slots, shard_slots=side, bucket_docs=50).select("shard", "slot", "source", "block", "turn").collect()
+    assert len(got) == slots and {tuple(r) for r in got} == want
+
+
 def test_mixing_edge_cases(spark):
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "word one", "en", None, 1), (3, "long " * 60_000, None, "a", 1), (4, "same", "en", "a", 1), (4, "same", "en", "a", 1)]
     df = spark.createDataFrame(rows, DOCS).withColumn("bucket", F.lit("z")).withColumn("block", F.lit(1)).withColumn("key", F.lit(2)).withColumn("slot", F.lit(3))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -130,3 +131,44 @@ def test_counts_and_cuts_are_exact(text):
     assert "".join(parts) == text and parts == tok.cut_anchored(text, at, chars, passed)
     for c, p in zip(chars, passed):
         assert len(tok.encode(text[c:])) == n - p
+
+
+def test_training_equals_a_plain_version():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(40):
+        f = np.unique(rng.integers(0, 30, 6)).astype(np.uint32)
+        rows.append((f, rng.integers(1, 4, len(f)).astype(np.uint32)))
+    y, idf = rng.integers(0, 3, 40), np.ones(langid.SIZE) + rng.random(langid.SIZE)
+    w, bias = langid.train(rows, y, 3, idf, epochs=2)
+    z, n, bz, bn = {}, {}, [0.0] * 3, [0.0] * 3
+
+    def weight(f, k):
+        v = z.get((f, k), 0.0)
+        if abs(v) <= langid.L1:
+            return 0.0
+        return -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(n[f, k])) / langid.RATE + langid.L2)
+
+    def offset(k):
+        return -bz[k] / ((langid.BETA + math.sqrt(bn[k])) / langid.RATE + langid.L2)
+
+    for _ in range(2):
+        for (f, c), label in zip(rows, y):
+            x = {int(a): int(b) / int(c.sum()) * idf[a] * langid.SCALE for a, b in zip(f, c)}
+            scores = [sum(x[a] * weight(a, k) for a in x) + offset(k) for k in range(3)]
+            top = max(scores)
+            total = sum(math.exp(s - top) for s in scores)
+            for k in range(3):
+                g = math.exp(scores[k] - top) / total - (k == label)
+                for a in x:
+                    old, had, grad = weight(a, k), n.get((a, k), 0.0), x[a] * g
+                    n[a, k] = had + grad**2
+                    z[a, k] = z.get((a, k), 0.0) + grad - (math.sqrt(n[a, k]) - math.sqrt(had)) / langid.RATE * old
+                b, had = offset(k), bn[k]
+                bn[k] += g**2
+                bz[k] += g - (math.sqrt(bn[k]) - math.sqrt(had)) / langid.RATE * b
+    for a in range(30):
+        for k in range(3):
+            assert w[a, k] == pytest.approx(weight(a, k), abs=1e-9)
+    assert bias == pytest.approx([offset(k) for k in range(3)], abs=1e-9)
+    assert not w[30:].any()
