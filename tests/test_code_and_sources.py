@@ -115,3 +115,15 @@ def test_trees(spark, tmp_path):
     assert [r.source_path for r in files.code_tree(spark, str(tmp_path)).collect()] == ["x.py"]
     with pytest.raises(EngineError):
         files.markdown_files(spark, str(tmp_path / "empty"))
+
+
+def test_targets_stay_within_their_folder(tmp_path):
+    root = tmp_path / "docs"
+    root.mkdir()
+    assert project.require_within(root, root) == root.resolve()
+    assert project.require_within(root, root / "a" / ".." / "b.md") == (root / "b.md").resolve()
+    (root / "link").symlink_to(tmp_path)
+    for outside in (root / ".." / "x", tmp_path / "docs-2" / "x", "/", root / "link" / "x"):
+        with pytest.raises(EngineError) as e:
+            project.require_within(root, outside)
+        assert e.value.code == "POLICY_VIOLATION" and e.value.exit_status == 12

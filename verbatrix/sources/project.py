@@ -136,3 +136,12 @@ def local_package(name: str, start: str = ".") -> str | None:
     """Nearest ``node_modules`` folder of a package above ``start``."""
     here = Path(start).resolve()
     return next((str(p / "node_modules" / name) for p in (here, *here.parents) if (p / "node_modules" / name).is_dir()), None)
+
+
+def require_within(folder: str | Path, target: str | Path) -> Path:
+    """``target`` with links and dots resolved. Raises unless it is ``folder`` or lies under
+    it; whole names are compared, so that a sibling whose name starts like the folder's is outside."""
+    root, path = Path(folder).resolve(), Path(target).resolve()
+    if not path.is_relative_to(root):
+        raise EngineError("POLICY_VIOLATION", f"{path} lies outside of {root}", "Give a target under the snapshot's folder")
+    return path
