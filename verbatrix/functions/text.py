@@ -14,7 +14,9 @@ TOOLS = tuple(sorted("aws az bash cargo curl docker gcloud git go helm kubectl m
 #: This engine's own command; its bare name in a text is no command.
 OWN_TOOL = "verbatrix"
 #: White space as ECMAScript defines it; Java's \s covers ASCII only.
-WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+SPACES = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The intersection lets most characters fail at its first part instead of at each range.
+WS = "[ \\t-\\r\\u00a0-\\uffff&&[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]]"
 _LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 CONSTRAINT = f"(?i){_LEFT}(must|never|cannot|can't|ensure|required|should not|do not|don't){_RIGHT}"
@@ -32,7 +34,7 @@ SYMBOL_WORD = f"{_LEFT}{_NAME}(?:[.:]{_NAME})+{_RIGHT}|{_LEFT}{_NAME}[(][^)]*[)]
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
