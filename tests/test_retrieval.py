@@ -121,3 +121,18 @@ def test_extract_all_reads_every_section(spark):
     got = corpus.extract_all(spark, d).collect()
     assert len({r.ref.split("#")[0] for r in got} - {f"d0000000{n}" for n in range(1, 6)}) > 0
     assert any(r.ref.split("#")[1] not in langs.values() for r in got)
+
+
+def test_searched_overlap_writes_no_pairs(spark):
+    """Sets that all share an item: a few rows for each leave a task, those asked for get the edges that they have among all."""
+    from verbatrix.operators import similar
+    from verbatrix.sources import shared
+
+    sets = spark.range(300).selectExpr("format_string('r%03d', id) ref", "explode(array('all', 'a' || id % 3, 'b' || id % 7, 'c' || id % 40)) item")
+    every = {(r.src_ref, r["rank"]): (r.dst_ref, r.score) for r in graph.overlap(sets, 0.2).collect()}
+    some = {(r.src_ref, r["rank"]): (r.dst_ref, r.score) for r in graph.overlap(sets, 0.2, asked=spark.createDataFrame([("r007",), ("r100",), ("none",)], "ref string")).collect()}
+    assert some == {k: v for k, v in every.items() if k[0] in ("r007", "r100")} and len(some) == 10
+    numbers = shared.written(spark.range(200).selectExpr("id ordinal", "array(-1L, id % 5, 100 + id % 9) items"), "test-sets")
+    near = similar.nearest(numbers, numbers, 0.2, 6, chunk=16).collect()
+    want = {i: sorted((-len(x & y) / len(x | y), j) for j, y in own.items())[:6] for own in [{i: {-1, i % 5, 100 + i % 9} for i in range(200)}] for i, x in own.items()}
+    assert len(near) == 1200 and {i: sorted((-r.score, r.y) for r in near if r.x == i) for i in range(200)} == want
