@@ -75,3 +75,14 @@ def test_files_with_one_document_id_are_parsed_apart(spark):
     near = {(r.src_ref, r.dst_ref, r.kind) for r in ix.graph.where("kind < 2").collect()}
     assert near == {("guide#a", "guide#b", 1), ("guide#b", "guide#a", 0), ("guide#b", "guide#a-1", 1), ("guide#a-1", "guide#b", 0)}
     assert {(r.source_path, r.sections) for r in ix.list_docs().collect()} == {("guide.md", 3), ("guide/index.md", 3)}
+
+
+def test_files_are_parsed_in_one_pass(spark):
+    """Lines aren't rows that are sorted and grouped: beyond the files' own exchange only the choice among equal units needs one."""
+    files = spark.createDataFrame([("a.md", DOC)], "rel_path string, content string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for table in (markdown.prose_blocks(files), markdown.windows(files), markdown.code_blocks(files), markdown.sections(files)):
+        assert not any(x in plan(table) for x in ("Window", "Aggregate", "Generate", "Join"))
+    assert plan(markdown.units(files)).count("Window ") == 1
+    odd = "# T\n- a\n b\u0085c. d\n　```\nx\n```\n`npm  --a`\n"
+    assert [(r.line_start, r.line_end, r.is_step, r.text) for r in markdown.prose_blocks(spark.createDataFrame([("a.md", odd)], "rel_path string, content string")).orderBy("line_start").collect()] == [(2, 2, True, "a"), (3, 3, False, "b\u0085c. d"), (7, 7, False, "`npm  --a`")]

@@ -34,7 +34,7 @@ def refresh_units(files: DataFrame, path: str, checkpoint: str, library: str = m
         known = _read(spark, f"{path}/hashes", HASHES).where(F.col("batch") < number)
         last = known.groupBy("rel_path").agg(F.max_by("hash", "batch").alias("hash"))
         new = batch.dropDuplicates(["rel_path"]).withColumn("hash", F.sha2("content", 256)).join(last, ["rel_path", "hash"], "left_anti")
-        _overwrite(markdown.units(markdown.lines(new), library, version).join(new.select(markdown.T.to_doc_id(F.col("rel_path")).alias("doc_id"), "rel_path"), "doc_id"), f"{path}/units", number)
+        _overwrite(markdown.units(new, library, version).join(new.select(markdown.T.to_doc_id(F.col("rel_path")).alias("doc_id"), "rel_path"), "doc_id"), f"{path}/units", number)
         _overwrite(new.select("rel_path", "hash"), f"{path}/hashes", number)
 
     return files.writeStream.foreachBatch(batch_of).option("checkpointLocation", checkpoint)
