@@ -136,3 +136,23 @@ def test_searched_overlap_writes_no_pairs(spark):
     near = similar.nearest(numbers, numbers, 0.2, 6, chunk=16).collect()
     want = {i: sorted((-len(x & y) / len(x | y), j) for j, y in own.items())[:6] for own in [{i: {-1, i % 5, 100 + i % 9} for i in range(200)}] for i, x in own.items()}
     assert len(near) == 1200 and {i: sorted((-r.score, r.y) for r in near if r.x == i) for i in range(200)} == want
+
+
+def test_units_stay_where_they_are(spark, index):
+    """Candidates are keys until they are chosen: no text of the corpus is shuffled for them, nor for a choice among sections."""
+    near = retrieval.best_units(retrieval.unlocated(index.units), index.weighted(ask(spark, *QUERIES)))
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "FlatMapCoGroupsInArrow" not in plan and "text_hash" in plan
+    asked = spark.createDataFrame([("a", "hooks"), ("b", "hooks#token-use"), ("c", "hooks#none"), ("d", "none")], "query_id string, ref string")
+    assert "Window" not in index.select_sections(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.query_id for r in index.missing_refs(asked).collect()) == ["c", "d"]
+    assert "body:" not in index.missing_refs(asked)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_a_table_of_refs(spark, index):
+    q = ask(spark, *QUERIES, max_items=1)
+    within = spark.createDataFrame([("q0", "auth#rotate"), ("q0", "hooks#hooks"), ("q3", "hooks#token-use"), ("q3", "no#where")], "query_id string, ref string")
+    weighted = index.weighted(q)
+    every = retrieval.all_scores(index.marked(), weighted).join(within, ["query_id", "ref"]).collect()
+    got = index.candidates(q, within).collect()
+    assert {(r.query_id, r.unit_id, r.base_score, r.source_path) for r in got} == {(r.query_id, r.unit_id, r.base_score, r.source_path) for r in every} and got
