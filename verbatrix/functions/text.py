@@ -29,7 +29,8 @@ COMMAND_START = f"(?i)^({'|'.join((*TOOLS, OWN_TOOL))}|[.]?/)"
 FILE_NAME = "(?i)^[./A-Za-z0-9_-]+[.](cfg|ini|json|lock|md|toml|txt|ya?ml)$"
 PATH_ONLY = "^[./A-Za-z0-9_<>-]+/[A-Za-z0-9_./<>-]+$"
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
-SYMBOL_ANYWHERE = f"{_NAME}([.:]{_NAME})+|{_NAME}[(][^)]*[)]"
+#: Whether there is a symbol: a whole word is tried once, not again from each of its letters.
+SYMBOL_ANYWHERE = f"(?<![A-Za-z0-9_])[0-9]*+{_NAME}+(?:[.:][A-Za-z_]|[(][^)]*[)])"
 SYMBOL_WORD = f"{_LEFT}{_NAME}(?:[.:]{_NAME})+{_RIGHT}|{_LEFT}{_NAME}[(][^)]*[)]"
 
 
