@@ -49,3 +49,24 @@ def test_grep_falls_back_to_the_first_file(spark):
     rows = {(r.case_id, r.position): (r.text, r.citation) for r in E.grep_retrieve(files, cases).collect()}
     assert rows["hit", 1] == ("x\nneedle here\ny", "b.md:1-3") and rows["miss", 1] == ("start\nnothing", "a.md:1-12")
     assert rows["any", 1][1] == "a.md:1-2"
+
+
+def test_shares_are_computed_once(spark):
+    """Rounding reads a share many times; the words of the points are looked for once all the same."""
+    a = spark.createDataFrame([("x", ["a"], ["b"], ["c"])], "answer_text string, required_points array<string>, acceptable_citations array<string>, forbidden_claims array<string>")
+    plan = E.score_answers(a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(") == 1 and plan.count(">= 0.75") == 1
+
+
+def test_citations_are_those_of_plain_patterns(spark):
+    import re
+
+    plain = ("[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+:[A-Za-z0-9_./-]+#[A-Za-z0-9_./-]+:\\d+-\\d+", "[A-Za-z0-9_./-]+\\.md(?::\\d+(?:-\\d+)?)?")
+    texts = ["a@b:c#d:1-2x@y:z#w:3-4", "a.mdb.md:3-4c/d.md x.md.", "..md .md a@@b:c#d:1-2 a@b@c:d#e:1-22-3@f:g#h:4-5", "-a@b:c/d.md#e:1-2.md:7md.md:8-"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", E.extract_citations(F.col("t")).alias("c")).collect()
+    assert {r.i: r.c for r in rows} == {i: list(dict.fromkeys(x for p in plain for x in re.findall(p, t))) for i, t in enumerate(texts)}
+
+
+def test_normalized_text_has_no_marks(spark):
+    t = "`A*b_c#d>e[f](g){h},i.j:k;l!m?n\"o'p\u00a0 \u2003Q.\n"
+    assert spark.createDataFrame([(t,)], "t string").select(E.normalize(F.col("t"))).first()[0] == "a b c d e f g h i j k l m n o p q"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from verbatrix.functions import text as T
 from verbatrix.operators.lookups import runs_with
 
+#: What normalizing takes for white space.
+MARKS = "`*_#>\\[\\](){},.:;!?\"'"
 TOKEN = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]"
 POINT_COVERAGE, CLAIM_COVERAGE = 0.6, 0.75
 GREP_STOP = ("what", "when", "where", "which", "does", "with", "from", "that", "this")
@@ -20,7 +22,7 @@ AVERAGED = (
 
 
 def normalize(c: Column) -> Column:
-    return T.squeeze(F.translate(F.lower(F.coalesce(c, F.lit(""))), "`*_#>[](){},.:;!?\"'", " " * 19))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[{MARKS}{T.WS}]+", " "))
 
 
 def count_tokens(c: Column) -> Column:
@@ -33,8 +35,14 @@ def coverage(haystack: Column, needle: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda t: haystack.contains(t))) / F.size(words))
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is bound as the only element of an array and so computed once, however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _share(hits: Column, of: Column, empty: float) -> Column:
-    return F.when(F.coalesce(F.size(of), F.lit(0)) <= 0, empty).otherwise(T.fixed(hits / F.size(of)))
+    # rounding reads the share more than once
+    return F.when(F.coalesce(F.size(of), F.lit(0)) <= 0, empty).otherwise(_bound(hits / F.size(of), lambda x: T.fixed(x)))
 
 
 def score_required(text: Column, points: Column) -> Column:
@@ -44,20 +52,24 @@ def score_required(text: Column, points: Column) -> Column:
     return _share(F.size(F.filter(points, hit)), points, 1.0)
 
 
+def _run(of: str) -> str:
+    """A run of such characters, which is tried from its start or from the end of the match before only, not again
+    from each of its characters: what the run's start doesn't match none of them does."""
+    return f"(?:\\G|(?<![{of}]))[{of}]+"
+
+
 def extract_citations(answer: Column) -> Column:
     """Bracketed texts, citation ids and markdown paths in an answer, each once."""
     text = F.coalesce(answer, F.lit(""))
     brackets = F.filter(F.transform(F.regexp_extract_all(text, F.lit("\\[([^\\]]+)\\]"), F.lit(1)), T.js_trim), lambda x: T.js_length(x) >= 4)
-    ids = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+:[A-Za-z0-9_./-]+#[A-Za-z0-9_./-]+:\\d+-\\d+"), F.lit(0))
-    paths = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./-]+\\.md(?::\\d+(?:-\\d+)?)?"), F.lit(0))
+    ids = F.regexp_extract_all(text, F.lit(f"{_run('A-Za-z0-9_.-')}+@[A-Za-z0-9_.-]+:[A-Za-z0-9_./-]+#[A-Za-z0-9_./-]+:\\d+-\\d+"), F.lit(0))
+    paths = F.regexp_extract_all(text, F.lit(f"{_run('A-Za-z0-9_./-')}\\.md(?::\\d+(?:-\\d+)?)?"), F.lit(0))
     return F.array_distinct(F.concat(brackets, ids, paths))
 
 
 def score_citations(citations: Column, expected: Column, answer: Column) -> Column:
     whole = F.lower(F.concat_ws("\n", F.array_join(F.coalesce(citations, F.array().cast("array<string>")), "\n"), F.coalesce(answer, F.lit(""))))
-    # bound once as the only element of an array, not computed again for each expected one
-    hits = F.transform(F.array(whole), lambda w: F.size(F.filter(expected, lambda e: w.contains(F.lower(e)))))
-    return _share(F.element_at(hits, 1), expected, 1.0)
+    return _share(_bound(whole, lambda w: F.size(F.filter(expected, lambda e: w.contains(F.lower(e))))), expected, 1.0)
 
 
 def score_forbidden(text: Column, claims: Column) -> Column:
@@ -76,17 +88,12 @@ def final_score(required: Column, citations: Column, judge: Column, forbidden: C
     return T.fixed(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - finite(forbidden) * 0.2)))
 
 
-def _bound(answer: Column, score: Callable[[Column, Column], Column], other: Column) -> Column:
-    """``score`` of the normalized answer, which is bound as the only element of an array."""
-    return F.element_at(F.transform(F.array(normalize(answer)), lambda text: score(text, other)), 1)
-
-
 def score_answers(answers: DataFrame) -> DataFrame:
     """``answers`` (answer_text, required_points, acceptable_citations,
     forbidden_claims and others) with their citations and scores."""
     a = F.col("answer_text")
-    out = answers.withColumn("answer_citations", extract_citations(a))
-    out = out.withColumns({"required_points_score": _bound(a, score_required, F.col("required_points")), "citation_score": score_citations(F.col("answer_citations"), F.col("acceptable_citations"), a), "forbidden_claims_penalty": _bound(a, score_forbidden, F.col("forbidden_claims"))})
+    out = answers.withColumns({"answer_citations": extract_citations(a), "__text": normalize(a)})
+    out = out.withColumns({"required_points_score": score_required(F.col("__text"), F.col("required_points")), "citation_score": score_citations(F.col("answer_citations"), F.col("acceptable_citations"), a), "forbidden_claims_penalty": score_forbidden(F.col("__text"), F.col("forbidden_claims"))}).drop("__text")
     out = out.withColumn("judge_score", mock_judge(F.col("required_points_score"), F.col("citation_score")))
     return out.withColumn("comprehension_score", final_score(*map(F.col, ("required_points_score", "citation_score", "judge_score", "forbidden_claims_penalty"))))
 
