@@ -70,3 +70,30 @@ def test_citations_are_those_of_plain_patterns(spark):
 def test_normalized_text_has_no_marks(spark):
     t = "`A*b_c#d>e[f](g){h},i.j:k;l!m?n\"o'p\u00a0 \u2003Q.\n"
     assert spark.createDataFrame([(t,)], "t string").select(E.normalize(F.col("t"))).first()[0] == "a b c d e f g h i j k l m n o p q"
+
+
+def test_grep_takes_the_first_lines_of_all_files(spark):
+    """Lines that a file gives beyond its share leave room for those of the next file; a plain search gives the same."""
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "Gamma_ray", "delta", "omega", "xalphax", "no", ""]
+    files = [(f"{'aB'[i % 2]}{i:02d}.md", "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(30))) for i in range(12)] + [("none.md", None)]
+    cases = [(1, "which alpha?"), (2, "gamma or BETA"), (3, "is it"), (4, "ray"), (5, "zzz")]
+    terms = {1: ["alpha"], 2: ["gamma", "beta"], 3: None, 4: ["ray"]}
+    df, asked = spark.createDataFrame(files, "rel_path string, content string").repartition(5), spark.createDataFrame(cases, "case_id int, question string")
+    for most, per_file in ((5, 2), (8, 60), (40, 3)):
+        want = {}
+        for case, ts in terms.items():
+            lines = [(p, n) for p, c in sorted(files, key=lambda f: f[0].lower()) if c for n, line in [(n, x) for n, x in enumerate(c.split("\n"), 1) if (any(t in x.lower() for t in ts) if ts else x)][:per_file]]
+            want |= {(case, i): f"{p}:{n}-{n}" for i, (p, n) in enumerate(lines[:most], 1)}
+        got = {(r.case_id, r.position): r.citation for r in E.grep_retrieve(df, asked, max_blocks=most, window=0, per_file=per_file).collect()}
+        assert got == want | {(5, 1): "a00.md:1-12"}
+
+
+def test_grep_keeps_lines_where_they_are(spark):
+    """No line or word of the files is shuffled for a search."""
+    files = spark.createDataFrame([("a.md", "one two")], "rel_path string, content string")
+    asked = spark.createDataFrame([(1, ["two"])], "case_id int, terms array<string>")
+    hits = E.grep_hits(files, asked, 8, 60)
+    assert "Generate" not in hits._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in hits.collect()] == [(1, "a.md", 1, 1)]

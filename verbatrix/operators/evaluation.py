@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from verbatrix.functions import text as T
-from verbatrix.operators.lookups import runs_with
+from verbatrix.sources import shared
 
 #: What normalizing takes for white space.
 MARKS = "`*_#>\\[\\](){},.:;!?\"'"
 TOKEN = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]"
 POINT_COVERAGE, CLAIM_COVERAGE = 0.6, 0.75
+WORD = re.compile("[a-z0-9_]{3,}")
+#: Cases of a block, words a task remembers, and keys of lines that are broadcast at most.
+CASES, KNOWN, BROADCAST = 1 << 12, 1 << 18, 1 << 16
 GREP_STOP = ("what", "when", "where", "which", "does", "with", "from", "that", "this")
 AVERAGED = (
     ("first_hop_precision_at_k", "mean_first_hop_precision_at_k"), ("coverage_after_2_hops", "mean_coverage_after_2_hops"), ("coverage_after_3_hops", "mean_coverage_after_3_hops"),
@@ -222,25 +228,102 @@ def grep_terms(question: Column) -> Column:
     return F.slice(F.array_distinct(words), 1, 8)
 
 
-def grep_hits(lines: DataFrame, asked: DataFrame, most: int) -> DataFrame:
-    """(case_id, rel_path, n): the first ``most`` lines (rel_path, n, line) that
-    contain one of a case's ``terms``, or that aren't empty where it has none.
-
-    A term lies within one run of word characters, so that the runs that contain it
-    are looked up in the vocabulary, by the term's first three characters. A case's first
-    lines are among the first lines of its terms, of which each file and then each term
-    gives no more than ``most``."""
-    low = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9_]{3,}"), F.lit(0))
-    runs = lines.select("rel_path", "n", F.explode(F.array_distinct(low)).alias("run"))
-    per_file = runs.groupBy("run", "rel_path").agg(F.slice(F.array_sort(F.collect_list("n")), 1, most).alias("ns"))
-    terms = asked.select("case_id", F.explode("terms").alias("term"))
-    known = runs_with(per_file.select("run"), terms.select(F.col("term").alias("needle"))).withColumnRenamed("needle", "term")
-    places = per_file.join(known, "run").select("term", "rel_path", F.explode("ns").alias("n")).distinct()
-    ranked = places.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy(T.icu(F.col("rel_path")), "n"))).where(F.col("k") <= most)
-    found = terms.join(ranked, "term").select("case_id", "rel_path", "n").distinct()
-    # any line: the same few for all cases without terms
-    any_line = lines.where("line <> ''").orderBy(T.icu(F.col("rel_path")), "n").limit(most).select("rel_path", "n")
-    return found.unionByName(asked.where(F.size("terms") == 0).select("case_id").crossJoin(F.broadcast(any_line)))
+def _first_lines(asked: list[tuple[int, list[str]]], most: int, per_file: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first lines of a task for each case (number, terms), from files in order of their paths; lines of one path are
+    taken together. A file's words are looked up once each; a case that has its lines looks for nothing more."""
+    cases_of: dict[str, list[int]] = {}
+    for case, terms in asked:
+        for t in terms:
+            cases_of.setdefault(t, []).append(case)
+    lengths = sorted({len(t) for t in cases_of})
+
+    def terms_in(run: str) -> list[str]:
+        return list({run[i : i + n] for n in lengths for i in range(len(run) - n + 1)} & cases_of.keys())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = {case: most for case, _ in asked}
+        # terms and cases that are still looked for
+        wanted, empty = {t: list(c) for t, c in cases_of.items()}, [case for case, terms in asked if not terms]
+        known: dict[str, list[str]] = {}
+        out: list[tuple[int, str, int]] = []
+        path, own = None, {}
+
+        def close() -> None:
+            nonlocal wanted, empty
+            filled = False
+            for case, ns in own.items():
+                taken = sorted(ns)[: min(per_file, left[case])]
+                out.extend((case, path, n) for n in taken)
+                left[case] -= len(taken)
+                filled |= left[case] == 0
+            if filled:
+                wanted = {t: some for t, c in wanted.items() if (some := [x for x in c if left[x]])}
+                empty = [c for c in empty if left[c]]
+
+        def read(content: str) -> None:
+            ns: dict[int, set[int]] = {}
+            if empty:
+                some = [n for n, line in zip(range(1, len(content) + 2), content.split("\n")) if line][:most]
+                for case in empty:
+                    ns[case] = set(some)
+            low = content.lower()
+            met: dict[str, list[str]] = {}
+            for w in set(WORD.findall(low)) if wanted else ():
+                terms = known.get(w)
+                if terms is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    terms = known[w] = terms_in(w)
+                if terms and (some := [t for t in terms if t in wanted]):
+                    met[w] = some
+            if met:
+                full = 0
+                looked = {c for terms in met.values() for t in terms for c in wanted[t]}
+                for n, line in enumerate(low.split("\n"), 1):
+                    for case in {c for w in set(WORD.findall(line)) & met.keys() for t in met[w] for c in wanted[t]}:
+                        mine = ns.setdefault(case, set())
+                        if len(mine) < most:
+                            mine.add(n)
+                            full += len(mine) == most
+                    if full == len(looked):
+                        break
+            for case, some in ns.items():
+                own.setdefault(case, set()).update(some)
+
+        for batch in it:
+            for at in range(batch.num_rows):
+                here = batch.column(0)[at].as_py()
+                if here != path:
+                    close()
+                    path, own = here, {}
+                if wanted or empty:
+                    read(batch.column(1)[at].as_py())
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int32()))], ["case", "rel_path", "n"])
+
+    return run
+
+
+def grep_hits(files: DataFrame, asked: DataFrame, most: int, per_file: int) -> DataFrame:
+    """(case_id, rel_path, n): the first ``most`` lines, and of a file ``per_file``, that contain one of a case's
+    ``terms``, or that aren't empty where it has none.
+
+    Files are read where they lie, in one pass for all cases of a block; what leaves a task are keys, ``most``
+    for each case at most. The cases of a batch are collected to the driver."""
+    spark = files.sparkSession
+    rows = [tuple(r) for r in asked.select("case_id", "terms").collect()]
+    near = files.select("rel_path", "content").sortWithinPartitions(T.icu(F.col("rel_path")), "rel_path")
+    numbered = [(i, terms or []) for i, (_, terms) in enumerate(rows)]
+    found = None
+    for at in range(0, max(1, len(rows)), CASES):
+        part = near.mapInArrow(_first_lines(numbered[at : at + CASES], most, per_file), "case int, rel_path string, n int")
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("case").orderBy(T.icu(F.col("rel_path")), "n"))
+    first = found.distinct().withColumn("in_file", F.row_number().over(Window.partitionBy("case", "rel_path").orderBy("n"))).where(F.col("in_file") <= per_file)
+    first = first.withColumn("position", rank).where(F.col("position") <= most)
+    names = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(rows)], StructType([StructField("case", IntegerType()), StructField("case_id", asked.schema["case_id"].dataType)]))
+    return first.join(F.broadcast(names), "case").select("case_id", "rel_path", "n", "position")
 
 
 def grep_retrieve(files: DataFrame, cases: DataFrame, max_blocks: int = 8, window: int = 5, per_file: int = 60, preview: int = 12) -> DataFrame:
@@ -251,11 +334,10 @@ def grep_retrieve(files: DataFrame, cases: DataFrame, max_blocks: int = 8, windo
     their files are read again for the lines around the hits."""
     there = files.where("content is not null")
     asked = cases.select("case_id", grep_terms(F.col("question")).alias("terms"))
-    lines = there.select("rel_path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).select("rel_path", (F.col("pos") + 1).alias("n"), "line")
-    hit = grep_hits(lines, asked, max_blocks)
-    hit = hit.withColumn("in_file", F.row_number().over(Window.partitionBy("case_id", "rel_path").orderBy("n"))).where(F.col("in_file") <= per_file)
-    hit = hit.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy(T.icu(F.col("rel_path")), "n"))).where(F.col("position") <= max_blocks)
-    around = hit.join(there, "rel_path").withColumn("all", F.split("content", "\n", -1))
+    # the hits are written once: they are few, and files are then read for them without a shuffle where they are known to be
+    hit = shared.written(grep_hits(there, asked, max_blocks, per_file), "grep-hits")
+    small = F.broadcast if asked.count() * max_blocks <= BROADCAST else lambda df: df
+    around = there.join(small(hit), "rel_path").withColumn("all", F.split("content", "\n", -1))
     first, last = F.greatest(F.lit(1), F.col("n") - window), F.least(F.size("all"), F.col("n") + window)
     found = around.select("case_id", "position", T.js_trim(F.array_join(F.slice("all", first, last - first + 1), "\n")).alias("text"), F.concat(F.col("rel_path"), F.lit(":"), first, F.lit("-"), last).alias("citation")).where("text <> ''")
     without = asked.select("case_id").join(found.select("case_id").distinct(), "case_id", "left_anti")
