@@ -156,3 +156,8 @@ def test_candidates_of_a_table_of_refs(spark, index):
     every = retrieval.all_scores(index.marked(), weighted).join(within, ["query_id", "ref"]).collect()
     got = index.candidates(q, within).collect()
     assert {(r.query_id, r.unit_id, r.base_score, r.source_path) for r in got} == {(r.query_id, r.unit_id, r.base_score, r.source_path) for r in every} and got
+
+
+def test_queries_travel_to_the_units(spark, index):
+    plan = retrieval.all_scores(index.marked(), index.weighted(ask(spark, *QUERIES)))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildLeft" not in plan and "BuildRight, Cross" in plan

@@ -271,8 +271,9 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 
 
 def all_scores(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores of every unit for every query, for small batches and tests."""
-    return scored(units.crossJoin(queries))
+    """Scores of every unit for every query, for small batches and tests. The queries travel to the units: their size
+    can't be estimated, and a plan that sends the units or pairs partitions reads all units again and again."""
+    return scored(units.crossJoin(F.broadcast(queries)))
 
 
 def _final(novelty: Column) -> Column:
