@@ -135,3 +135,20 @@ def test_catalog_entries_that_cannot_be_best_are_not_sorted(spark):
     offered = acquire.catalog_candidates(catalog, asked)
     assert offered.groupBy("query_id").count().where("count > 5").count() == 0
     assert [r.name for r in acquire.discover(asked, catalog=catalog).where("query_id = 'b'").orderBy("position").collect()] == ["p123", "p499", "p498", "p497", "p496"]
+
+
+def test_facts_leave_in_small_batches():
+    """A task holds one file at a time and a bounded number of facts, however many files a batch has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 3000
+    text = "x" * 10000 + "\nimport a\n" * 4
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}.py" for i in range(n)]), pa.array([".py"] * n), pa.array([text] * n)], ["source_path", "extension", "content"])
+    run = codeintel._found([(0, (), "(import) (a)")])
+    tracemalloc.start()
+    rows = [out.num_rows for out in run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == 4 * n and max(rows) <= codeintel.FACTS and peak < 8 << 20

@@ -22,6 +22,8 @@ EXTENSIONS = (".js", ".mjs", ".cjs", ".ts", ".tsx", ".py", ".go", ".rs")
 IGNORED = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".cache", "vendor", "target", "__pycache__", "venv", ".venv")
 IMPLICIT = ("package.json", "makefile", "dockerfile", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml", "requirements.txt", "pyproject.toml", "procfile")
 MAX_DEPENDENCIES = 12
+#: Facts of a batch at most.
+FACTS = 1 << 12
 NAME = "([A-Za-z_][A-Za-z0-9_]*)"
 #: kind, extensions, pattern, whether the second group holds parameters
 SYMBOLS = (
@@ -52,22 +54,33 @@ def _found(rules: list[tuple[int, tuple[str, ...], str]]):
     """Batches of matches; ``rules`` are (number, extensions or none, pattern)."""
     compiled = [(n, frozenset(e), re.compile(p)) for n, e, p in rules]
 
+    def rows(path: str, extension: str, content: str) -> Iterator[tuple]:
+        ends = None
+        for number, extensions, pattern in compiled:
+            if extensions and extension not in extensions:
+                continue
+            for at, m in enumerate(pattern.finditer(content)):
+                if ends is None:
+                    ends = [x.start() for x in re.finditer("\n", content)]
+                g = [x or "" for x in m.groups()]
+                yield path, number, at, bisect.bisect_left(ends, m.start()) + 1, g[0], g[1] if len(g) > 1 else ""
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["source_path", "rule", "at", "line", "g1", "g2"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in it:
-            out: list[tuple] = []
-            for path, extension, content in zip(*(c.to_pylist() for c in batch.columns)):
-                ends = None
-                for number, extensions, pattern in compiled:
-                    if extensions and extension not in extensions:
-                        continue
-                    for at, m in enumerate(pattern.finditer(content)):
-                        if ends is None:
-                            ends = [x.start() for x in re.finditer("\n", content)]
-                        g = [x or "" for x in m.groups()]
-                        out.append((path, number, at, bisect.bisect_left(ends, m.start()) + 1, g[0], g[1] if len(g) > 1 else ""))
-            if out:
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["source_path", "rule", "at", "line", "g1", "g2"])
+            # one file at a time as Python's, and facts leave when there are some
+            for n in range(batch.num_rows):
+                for row in rows(*(c[n].as_py() for c in batch.columns)):
+                    out.append(row)
+                    if len(out) == FACTS:
+                        yield packed(out)
+                        out = []
+        if out:
+            yield packed(out)
 
     return run
 
