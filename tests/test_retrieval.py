@@ -161,3 +161,36 @@ def test_candidates_of_a_table_of_refs(spark, index):
 def test_queries_travel_to_the_units(spark, index):
     plan = retrieval.all_scores(index.marked(), index.weighted(ask(spark, *QUERIES)))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildLeft" not in plan and "BuildRight, Cross" in plan
+
+
+def test_expand_of_all_sections_needs_no_index(spark, monkeypatch):
+    from verbatrix.plans import corpus
+
+    def built(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(corpus, "stored", built)
+    df = corpus.expand(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and df.count() > 0
+
+
+def test_expand_from_files_equals_expand_of_an_index(spark):
+    """Files that share a document id, units that are equal but for case, ties, near copies, odd characters, commands and a heading that defines."""
+    from verbatrix.operators import expansion
+
+    long = " ".join(f"Sentence {i} tells of part {i % 7}. It goes on." for i in range(60))
+    docs = [
+        ("a.md", f"# Top\n\nRun it now. Then go.\nRUN IT NOW. THEN GO.\n\n- Run it now. Then go.\n- run it now. then go.\n\n## Overview of x\n\nPlain words here.\n\n{long}\n\n## Empty\n"),
+        ("a/index.md", "# Top\n\nRUN it now. Then go.\nrun it now. Then go.\n\n## Other\n\nYou MUST do it. İstanbul K \U0001f600 means x. Next `npm run x --flag` and `'git' log`, `x.json`, `a/b --c`, `verbatrix`, `foo --bar baz`."),
+        ("b.md", "# B\n\none two three four five six seven eight nine ten.\n\none two three four five six seven eight nine ten eleven.\n\nONE two three four five six seven eight nine ten!\n\nx.y(z) and f(a)\n\n```\nmake all\n```\n\n```\nMAKE ALL\n```\n" + "\n\n".join(f"Item {c}." for c in "zyxwvut")),
+        ("readme.md", "no heading\nat all `curl -s x`"), ("c.md", ""), ("d.md", None),
+    ]
+    files = spark.createDataFrame(docs, "rel_path string, content string")
+    ix = Index.of(files)
+    for budget, most in ((600, 5), (30, 9), (8, 2)):
+        asked = graph.refs(ix.sections).select(F.col("ref").alias("query_id"), "ref").distinct().withColumns({"budget": F.lit(budget), "max_items": F.lit(most)})
+        want, got = ix.expand(asked), expansion.of_files(files, budget, most)
+        same = [c for c in got.columns if c in want.columns]
+        assert len(same) == 21 and got.select(same).dtypes == want.select(same).dtypes
+        assert sorted(map(str, got.select(same).collect())) == sorted(map(str, want.select(same).collect())) != []

@@ -26,6 +26,7 @@ STEP_VERB = f"(?i)^({'|'.join(VERBS)}){_RIGHT}"
 ACTION_QUERY = f"(?i){_LEFT}({'|'.join(VERBS)}){_RIGHT}"
 EXPLAIN_QUERY = f"(?i){_LEFT}(compare|difference|explain|meaning|purpose|what|why){_RIGHT}"
 COMMAND_START = f"(?i)^({'|'.join((*TOOLS, OWN_TOOL))}|[.]?/)"
+OPERATOR = "[|][|]|&&|[|]|>|<|[$][(]|;"
 FILE_NAME = "(?i)^[./A-Za-z0-9_-]+[.](cfg|ini|json|lock|md|toml|txt|ya?ml)$"
 PATH_ONLY = "^[./A-Za-z0-9_<>-]+/[A-Za-z0-9_./<>-]+$"
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
@@ -111,7 +112,7 @@ def is_inline_command(c: Column) -> Column:
     has_space = c.rlike(WS)
     first = F.regexp_replace(F.split(c, f"{WS}+")[0], "^['\"]|['\"]$", "")
     known = first.rlike(COMMAND_START)
-    operator = c.rlike("[|][|]|&&|[|]|>|<|[$][(]|;")
+    operator = c.rlike(OPERATOR)
     flag = c.rlike(f"(^|{WS})--[a-z0-9-]+")
     file_like = c.rlike(FILE_NAME) | (c.rlike(PATH_ONLY) & ~has_space)
     own = F.lower(first) == OWN_TOOL

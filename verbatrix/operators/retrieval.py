@@ -80,10 +80,14 @@ def marked(units: DataFrame) -> DataFrame:
     return units.select(
         *UNIT, F.array_distinct("keywords").alias("words"), heading.alias("heading_words"),
         F.col("text").rlike(T.SYMBOL_ANYWHERE).alias("has_symbol"), T.is_low_signal(F.col("text")).alias("low_signal"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("token_estimate") / 120)).alias("cost"),
+        cost().alias("cost"),
     )
 
 
+def cost() -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("token_estimate") / 120))
+
+
 def _overlap(words: str) -> Column:
     total = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"])
     hit = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(F.array_contains(words, t["token"]), t["w"]).otherwise(0.0))
