@@ -194,3 +194,44 @@ def test_expand_from_files_equals_expand_of_an_index(spark):
         same = [c for c in got.columns if c in want.columns]
         assert len(same) == 21 and got.select(same).dtypes == want.select(same).dtypes
         assert sorted(map(str, got.select(same).collect())) == sorted(map(str, want.select(same).collect())) != []
+
+
+def test_symbol_overlap_needs_no_index(spark, monkeypatch):
+    from verbatrix.plans import corpus
+
+    def built(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(corpus, "stored", built)
+    assert corpus.graph_symbol_overlap(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_symbols_are_found_at_their_joints():
+    import random
+    import re
+
+    from verbatrix.functions import text as T
+    from verbatrix.operators import markdown
+
+    rng, pattern = random.Random(7), re.compile(T.SYMBOL_WORD)
+    for n in range(40000):
+        text = "".join(rng.choice("ab1_.:( )é\n" if n % 2 else "a1.:()") for _ in range(rng.randrange(16)))
+        assert markdown.symbols_in(text) == list(dict.fromkeys(pattern.findall(text))), text
+    # what never closes is not read again from each bracket, nor a long word from each letter
+    assert markdown.symbols_in("f(x) " + "g(" * 300_000 + "h" * 300_000) == ["f(x)"]
+
+
+def test_symbols_of_files_equal_those_of_sections(spark):
+    """Of two sections with one reference the last counts, symbols or none; an argument list may span lines, and what never closes is none."""
+    from verbatrix.operators import markdown
+
+    docs = [
+        ("a.md", "# Top\nx.y and f(a\nb)\n## Next\np.q(r) 3a.b(c)\n"), ("a/index.md", "# Top\n\n## Next\n\nnothing\n"), ("b.md", "# B\nopen( here\n```\nrun(x\n```\n```\nz.w\n```\n"),
+        ("c.md", "# C\nx.y z.w\n"), ("d.md", None), ("e.md", "plain x.y\nf(a\nb)"),
+    ]
+    files = spark.createDataFrame(docs, "rel_path string, content string")
+    own, stored = graph.symbol_sets(markdown.symbols(files)), graph.symbol_sets(markdown.sections(files))
+    got = sorted(map(tuple, own.collect()))
+    assert got == sorted(map(tuple, stored.collect()))
+    sets = {ref: {i for r, i in got if r == ref} for ref in ("a#top", "a#next", "b#b", "c#c", "e#document")}
+    assert sets == {"a#top": set(), "a#next": {"p.q", "b(c)"}, "b#b": {"z.w"}, "c#c": {"x.y", "z.w"}, "e#document": {"f(a\nb)"}}
